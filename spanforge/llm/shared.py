@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles at a time; a longer text is a step of its own.
@@ -54,7 +55,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: int, step_bytes: int = STEP
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at, total = 0, 0
         for row, n in enumerate(lengths.tolist()):
             if total and total + n > step_bytes:
