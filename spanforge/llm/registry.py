@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import mixing, quality, sharding, tokens
+from spanforge.llm import html, mixing, quality, sharding, tokens, warc
+from spanforge.llm.shared import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
@@ -40,11 +45,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stage_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_rendering": op6_html_rendering,
     "op8_kd_sharding": op8_kd_sharding,
     "op9_token_counts": op9_token_counts,
+    "op10_warc_archives": op10_warc_archives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": mixing.SQL,
+    "op10_warc_archives": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first < page_id OR page_id IS NULL AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id OR page_id IS NULL THEN first END AS refers_to
+        FROM f
+    """,
+}
