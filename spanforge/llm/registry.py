@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import html, mixing, quality, sharding, tokens, warc
+from spanforge.llm import html, mixing, packing, quality, sharding, tokens, warc
 from spanforge.llm.shared import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +56,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_retrieval_packing": op1_retrieval_packing,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_rendering": op6_html_rendering,
