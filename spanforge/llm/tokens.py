@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,38 +71,77 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(proved)
 
 
-class Counts(dict):
-    """Token counts by word, worked out as they are asked for."""
+#: Letters of ASCII and Latin-1, then marks that never join letters or digits in a pre-token: two parts, each on its own.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([.,!?;:|()]*)")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+ALPHABET = {chr(b): c for b, c in byte_alphabet().items()}
+
+
+class WordCache(dict):
+    """What each word gives, worked out as it is asked for. Two generations bound it: what is used stays."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.whole = tokenizer(path), whole_tokens(path)
-        self.normal, self.pre, self.merge = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.merge, self.old = self.tokenizer.model.tokenize, {}
+
+    def __missing__(self, word: bytes):
+        got = self.old.get(word)
+        if got is None:
+            letters, marks = m.groups() if (m := PLAIN.fullmatch(word)) else (b"", b"")
+            if not m:
+                got = self.odd(word)
+            elif letters and marks:
+                got = self[letters] + self[marks]
+            else:
+                got = self.piece(word.decode().lower().encode().decode("latin-1").translate(BYTES))
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+    def piece(self, text: str):
+        """Of one pre-token in the byte alphabet."""
+        raise NotImplementedError
 
-    def __missing__(self, word: bytes) -> int:
+    def odd(self, word: bytes):
+        """Of any word, by the library's own normaliser and pre-tokenizer."""
+        raise NotImplementedError
+
+
+BYTES = str.maketrans(ALPHABET)
+
+
+class Counts(WordCache):
+    def piece(self, text: str) -> int:
+        return 1 if text in self.whole else len(self.merge(text))
+
+    def odd(self, word: bytes) -> int:
         if b"<|" in word:  # may hold a special string
-            n = len(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        elif word.isalpha() and (low := word.lower().decode()) in self.whole:  # bytes.isalpha: ASCII letters only
-            n = 1
-        else:
-            n = sum(1 if x in self.whole else len(self.merge(x)) for x, _ in self.pre(self.normal(word.decode())))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = n
-        return n
+            return len(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        return sum(self.piece(x) for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word.decode())))
 
 
-class Ids(dict):
-    """Token ids by word, little-endian, of the given width."""
+class Ids(WordCache):
+    """Token ids, little-endian, of the given width."""
 
     def __init__(self, path: str, width: str) -> None:
-        self.encode, self.width = tokenizer(path).encode, width
+        super().__init__(path)
+        self.size = np.dtype(width).itemsize
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, self.width).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+    def piece(self, text: str) -> bytes:
+        return b"".join([t.id.to_bytes(self.size, "little") for t in self.merge(text)])
+
+    def odd(self, word: bytes) -> bytes:
+        return b"".join([i.to_bytes(self.size, "little") for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
 
 
 def counter(path: str) -> Callable[[list[bytes]], list[int]]:
