@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import html, mixing, packing, quality, sharding, tokens, warc
+from spanforge.llm import html, mixing, packing, quality, sharding, tokens, vectors, warc
 from spanforge.llm.shared import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_rendering": op6_html_rendering,
+    "op7_metric_range_join": op7_metric_range_join,
     "op8_kd_sharding": op8_kd_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_warc_archives": op10_warc_archives,
