@@ -55,13 +55,14 @@ def medians(rows: DataFrame, open_: list[Node], root: Node, tolerance: float) ->
         sums = part.groupBy("node", "digit").agg(F.sum("size").alias("bytes"))
         own = Window.partitionBy("node")
         run = sums.withColumns({"upto": F.sum("bytes").over(own.orderBy("digit")), "all": F.sum("bytes").over(own)})
-        wanted = F.coalesce(*[F.when(F.col("node") == f, (F.col("all") if s["total"] is None else F.lit(s["total"])) * (s["node"].leaves // 2) / s["node"].leaves - s["below"]) for f, s in waiting.items()])
+        part_left = {f: s["node"].leaves // 2 / s["node"].leaves for f, s in waiting.items()}
+        wanted = F.coalesce(*[F.when(F.col("node") == f, F.col("all") * part_left[f] if s["total"] is None else F.lit(s["total"] * part_left[f] - s["below"])) for f, s in waiting.items()])
         found = run.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("bytes") < wanted)).collect()
         for r in found:
             s = waiting[r["node"]]
             node: Node = s["node"]
             s["total"] = r["all"] if s["total"] is None else s["total"]
-            goal = s["total"] * (node.leaves // 2) / node.leaves
+            goal = s["total"] * part_left[r["node"]]
             low = s["below"] + r["upto"] - r["bytes"]
             s["prefix"] = (s["prefix"] << bits) + r["digit"]
             if r["bytes"] <= tolerance * s["total"] / node.leaves or not shift:
