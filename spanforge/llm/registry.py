@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import html, mixing, packing, quality, sharding, shingles, tokens, vectors, warc
+from spanforge.llm import html, mixing, packing, quality, sharding, shingles, substrings, tokens, vectors, warc
 from spanforge.llm.shared import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_retrieval_packing": op1_retrieval_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
