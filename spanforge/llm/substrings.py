@@ -334,16 +334,17 @@ def cut_docs(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col
     doc, text = with_keys(docs, id_col, text_col)
     spans = repeated_spans(docs, least, id_col, text_col).withColumnsRenamed({"doc": "_doc", "text": "_text", "spans": "_spans"})
     rows = docs.withColumns({"_a": doc, "_b": text}).join(spans, (F.col("_a") == F.col("_doc")) & (F.col("_b") == F.col("_text")), "left").select(*docs.columns, "_spans")
-    at = docs.columns.index(text_col)
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    at = names.index(text_col)
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, at):
-            texts = [None if t is None else rest_of(t.encode(), s)[0].decode(errors="ignore") if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(docs.columns)).to_pylist(), strict=True)]
+            texts = [None if t is None else rest_of(t.encode(), s)[0].decode(errors="ignore") if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, columns[at].type)
             if count is not None:
                 columns[count] = pa.array([None if t is None else len(t) for t in texts], columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, docs.schema)
