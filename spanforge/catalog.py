@@ -1,4 +1,558 @@
 """The registered queries over the reference data model, each with the SQL that states the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanforge.functions import hashing, paths, text
+from spanforge.operators import governance, graph, impact, mutation, retrieval, review, search
+from spanforge.plans.views import Views, sql
+from spanforge.sources import files, languages, parsing
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+POLICIES = [
+    {"id": "no-tests", "type": "protected_write", "pattern": "tests/*", "severity": "block", "message": "tests are fixed"},
+    {"id": "english", "type": "unguarded_path", "pattern": "*/en/*", "severity": "warn", "message": "reviewed by editors"},
+    {"id": "one-digit", "type": "unguarded_path", "pattern": "src/??/src[0-4]/*", "severity": "audit", "message": "first sources"},
+    {"id": "old-source", "type": "banned_import", "pattern": "src1?.", "severity": "block", "message": "retired"},
+]
+SKIPPED = ["json", "os", "setuptools"]
+
+
+def query(statement: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Query]:
+    """Register a query under its function's name, with its SQL if SQL can express it."""
+
+    def register(function: Callable[[Views], DataFrame]) -> Query:
+        run = lambda spark, sf_dir: function(Views(spark, sf_dir))
+        QUERIES[function.__name__] = run
+        if statement is not None:
+            ORACLE_SQL[function.__name__] = statement
+        return run
+
+    return register
+
+
+COSINE = "round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+
+
+# Vector search.
+
+
+def zero(v: Views) -> DataFrame:
+    return v.table("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
+@query(f"""SELECT c.vec_id, {COSINE} AS score, row_number() OVER (ORDER BY {COSINE} DESC, c.vec_id) AS rank
+FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id <> 0 QUALIFY rank <= 10""")
+def vector_topk(v: Views) -> DataFrame:
+    return search.nearest(v.table("embeddings"), zero(v), 10, "vec_id").select("vec_id", "score", F.col("rank").cast("long"))
+
+
+@query(f"""SELECT q.vec_id AS qid, c.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.vec_id) AS rank
+FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 10""")
+def vector_topk_batch(v: Views) -> DataFrame:
+    queries = v.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return search.nearest(v.table("embeddings"), queries, 10, "vec_id").select("qid", "vec_id", "score", F.col("rank").cast("long"))
+
+
+@query(sql(f"""SELECT c.id, c.path, {COSINE} AS score, row_number() OVER (ORDER BY {COSINE} DESC, c.id) AS rank
+FROM vectors c, embeddings q WHERE q.vec_id = 0 AND c.id <> 0 AND c.type = 'en' AND contains(c.path, 'src/') QUALIFY rank <= 10"""))
+def vector_filtered(v: Views) -> DataFrame:
+    found = search.filters(v.vectors, kind="en", path_contains="src/")
+    return search.nearest(found, zero(v), 10, keep=("path",)).select("id", "path", "score", F.col("rank").cast("long"))
+
+
+TEST = "(regexp_matches(lower(split_part(path, '/', -1)), '^test_|_test\\.py$|\\.(spec|test)\\.(js|ts|jsx|tsx)$') OR len(list_intersect(string_split(lower(path), '/'), ['tests', '__tests__', 'test', 'spec', '__test__'])) > 0)"
+
+
+@query(sql(f"""SELECT id, path, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM boosted QUALIFY rank <= 10""", f"""
+pool AS (SELECT c.id, c.path, {COSINE} AS score FROM vectors c, embeddings q WHERE q.vec_id = 0 AND c.id <> 0 ORDER BY 3 DESC, 1 LIMIT 35)""", f"""
+kept AS (SELECT * FROM pool WHERE NOT {TEST})""", """
+near AS (SELECT DISTINCT a.path, b.path AS other FROM kept a JOIN doc_paths x ON x.path = a.path JOIN doc_paths y ON y.repo = x.repo JOIN kept b ON b.path = y.path WHERE a.path <> b.path)""", """
+boosted AS (SELECT id, path, round(score + 0.05 * coalesce((SELECT count(*) FROM near n WHERE n.path = k.path), 0), 6) AS score FROM kept k)"""))
+def hybrid_search(v: Views) -> DataFrame:
+    return search.hybrid(v.vectors, zero(v), v.doc_refs).select("id", "path", "score", F.col("rank").cast("long"))
+
+
+@query(sql(f"""SELECT id, path, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT c.id, c.path, {COSINE} AS score FROM vectors c, embeddings q WHERE q.vec_id = 0 AND c.id <> 0) QUALIFY rank <= 10"""))
+def hybrid_boost_off(v: Views) -> DataFrame:
+    return search.hybrid(v.vectors, zero(v), None, exclude_tests=False).select("id", "path", "score", F.col("rank").cast("long"))
+
+
+@query(sql(f"""SELECT path, {TEST} AS is_test FROM doc_paths"""))
+def test_file_filter(v: Views) -> DataFrame:
+    return v.doc_paths.select("path", paths.is_test(F.col("path")).alias("is_test"))
+
+
+@query("""SELECT conv_id, turn, round(1 - (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / count(*) OVER (PARTITION BY conv_id), 6) AS score FROM conversations""")
+def fallback_scores(v: Views) -> DataFrame:
+    return search.fallback_scores(v.table("conversations"), "conv_id", [F.col("turn")]).select("conv_id", "turn", "score")
+
+
+# Graph (J1-J4, J8-J10, A1-A7, F22, V14).
+
+
+@query(sql("SELECT repo_id AS src, path AS dst FROM file JOIN repository ON id = repo_id"))
+def contains_edges(v: Views) -> DataFrame:
+    return graph.contains(v.repository, v.file).select("src", "dst")
+
+
+@query(sql("SELECT src, dst, type, repo_id FROM graph WHERE type = 'IMPORTS'"))
+def import_edges(v: Views) -> DataFrame:
+    return graph.edges(v.imports, "IMPORTS", "File", "Module").select("src", "dst", "type", "repo_id")
+
+
+@query(sql("SELECT src, dst, repo_id FROM defines"))
+def define_edges(v: Views) -> DataFrame:
+    return graph.edges(v.defines, "DEFINES", "File", "CodeBlock").select("src", "dst", "repo_id")
+
+
+@query(sql("""SELECT f.path, count(DISTINCT b.src) AS neighbours FROM file f LEFT JOIN graph a ON a.src = f.path
+LEFT JOIN graph b ON a.dst = b.dst AND a.repo_id = b.repo_id AND a.type = b.type AND a.type = 'IMPORTS' AND a.src <> b.src GROUP BY f.path"""))
+def neighbors_batch(v: Views) -> DataFrame:
+    near = search.co_references(v.imports.withColumn("type", F.lit("IMPORTS"))).groupBy("path").agg(F.count(F.lit(1)).alias("neighbours"))
+    return v.file.select("path").join(near, "path", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+
+
+def walk(v: Views, depth: int) -> DataFrame:
+    start = v.spark.createDataFrame([("File", "", "o1")], "label string, repo string, id string")
+    return graph.traverse(v.graph, start, depth, ["IMPORTS"])[1].select("src", "dst", "repo_id")
+
+
+def walk_sql(depth: int) -> str:
+    """Edges with an end within depth - 1 of the start."""
+    return sql(f"SELECT DISTINCT src, dst, repo_id FROM imports i WHERE EXISTS (SELECT 1 FROM w WHERE d < {depth} AND (n = 'f:' || src OR n = 'm:' || repo_id || ':' || dst))", f"""
+link AS (SELECT 'f:' || src AS a, 'm:' || repo_id || ':' || dst AS b FROM imports UNION SELECT 'm:' || repo_id || ':' || dst, 'f:' || src FROM imports)""", f"""
+w AS (SELECT 'f:o1' AS n, 0 AS d UNION SELECT b, d + 1 FROM w JOIN link ON a = n WHERE d < {depth - 1})""")
+
+
+@query(walk_sql(1))
+def traverse_d1(v: Views) -> DataFrame:
+    return walk(v, 1)
+
+
+@query(walk_sql(2))
+def traverse_d2(v: Views) -> DataFrame:
+    return walk(v, 2)
+
+
+@query(walk_sql(3))
+def traverse_d3(v: Views) -> DataFrame:
+    return walk(v, 3)
+
+
+@query(sql("SELECT n AS node_count, m AS edge_count, round(m / (n * (n - 1)), 6) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM graph) AS m)"))
+def graph_stats(v: Views) -> DataFrame:
+    return graph.stats(v.nodes, v.graph)
+
+
+@query(sql("""SELECT repo_id, n AS node_count, coalesce(m, 0) AS edge_count, CASE WHEN n > 1 THEN round(coalesce(m, 0) / (n * (n - 1)), 6) ELSE 0.0 END AS density
+FROM (SELECT repo_id, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN (SELECT repo_id, count(*) AS m FROM graph GROUP BY 1) USING (repo_id)"""))
+def graph_stats_by_repo(v: Views) -> DataFrame:
+    return graph.stats(v.nodes, v.graph, ["repo_id"])
+
+
+@query(sql("SELECT label, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*) FROM graph GROUP BY 1"))
+def label_counts(v: Views) -> DataFrame:
+    n = F.count(F.lit(1)).alias("n")
+    return v.nodes.groupBy("label").agg(n).unionByName(v.graph.groupBy(F.col("type").alias("label")).agg(n))
+
+
+@query(sql("SELECT path, number FROM modifies JOIN file USING (path)"))
+def file_prs(v: Views) -> DataFrame:
+    return v.modifies.join(v.file.select("path"), "path").select("path", "number")
+
+
+@query(sql("SELECT number, path, dst AS block FROM modifies JOIN file USING (path) LEFT JOIN (SELECT DISTINCT src, dst FROM defines) ON src = path"))
+def pr_impact(v: Views) -> DataFrame:
+    return graph.pull_request_impact(v.modifies, v.file, v.defines.withColumnRenamed("dst", "name"))
+
+
+@query(sql("SELECT src AS node, 'outgoing' AS direction, type, count(*) AS n FROM graph GROUP BY ALL UNION ALL SELECT dst, 'incoming', type, count(*) FROM graph GROUP BY ALL"))
+def edge_direction_split(v: Views) -> DataFrame:
+    return graph.directions(v.graph)
+
+
+@query(sql("SELECT dst, repo_id, src, row_number() OVER (PARTITION BY dst, repo_id ORDER BY type, src) AS place FROM graph QUALIFY place <= 5"))
+def incoming_caps(v: Views) -> DataFrame:
+    return graph.shown(v.graph).select("dst", "repo_id", "src", F.col("place").cast("long"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (true) AS last_id FROM events GROUP BY 1".replace("max(event_id) FILTER (true)", "max_by(event_id, (ts, event_id))"))
+def last_by_key(v: Views) -> DataFrame:
+    rows = v.table("events").withColumn("place", F.struct("ts", "event_id")).select("user_id", "event_type", F.col("event_id").alias("last_id"), "place")
+    return graph.last_by_key(rows, ["user_id"], "place").select("user_id", "event_type", "last_id")
+
+
+# Impact (J5-J7, J13, V9).
+
+
+@query(sql("""SELECT changed.repo_id, changed.path AS changed, count(DISTINCT i.path) AS importers FROM ifile changed JOIN iimp i
+ON i.repo_id = changed.repo_id AND starts_with(i.module, 'p' || changed.key) AND i.path <> changed.path GROUP BY 1, 2"""))
+def stem_importers(v: Views) -> DataFrame:
+    return impact.stem_importers(v.ifile, v.iimp).groupBy("repo_id", "changed").agg(F.count(F.lit(1)).alias("importers"))
+
+
+@query(sql("""SELECT d.src AS path, count(DISTINCT c.src) AS callers FROM defines d JOIN calls c ON c.repo_id = d.repo_id AND c.dst = d.dst AND c.src <> d.src GROUP BY 1"""))
+def function_callers(v: Views) -> DataFrame:
+    shape = lambda x: x.select(F.col("src").alias("path"), F.col("dst").alias("name"), "repo_id")
+    return impact.callers(v.file, shape(v.defines), shape(v.calls)).groupBy(F.col("changed").alias("path")).agg(F.count(F.lit(1)).alias("callers"))
+
+
+@query(sql("""SELECT d.repo_id, d.path AS changed, count(DISTINCT i.path) AS importers FROM idef d JOIN iimp i
+ON i.repo_id = d.repo_id AND ends_with(i.module, d.name) AND i.path <> d.path GROUP BY 1, 2"""))
+def symbol_importers(v: Views) -> DataFrame:
+    return impact.symbol_importers(v.ifile, v.idef, v.iimp).groupBy("repo_id", "changed").agg(F.count(F.lit(1)).alias("importers"))
+
+
+HITS = ["""
+hits AS (SELECT DISTINCT f.repo_id, f.path AS changed, i.path, 1 AS place, 'IMPORTS' AS relationship, 1.0::DOUBLE AS weight FROM ifile f JOIN iimp i ON i.repo_id = f.repo_id AND starts_with(i.module, 'p' || f.key) AND i.path <> f.path
+  UNION ALL SELECT DISTINCT d.repo_id, d.path, c.path, 2, 'CALLS', 1.0 FROM idef d JOIN icall c ON c.repo_id = d.repo_id AND c.name = d.name AND c.path <> d.path
+  UNION ALL SELECT DISTINCT d.repo_id, d.path, i.path, 3, 'IMPORTS', 0.5 FROM idef d JOIN iimp i ON i.repo_id = d.repo_id AND ends_with(i.module, d.name) AND i.path <> d.path)""", """
+total AS (SELECT repo_id, changed, path, sum(weight) + CASE WHEN regexp_matches(lower(path), 'auth|payment|billing|security|core|main') THEN 5.0 ELSE 0.0 END AS score, min_by(relationship, place) AS relationship FROM hits GROUP BY 1, 2, 3)""", """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, changed ORDER BY score DESC, path) AS rank FROM total QUALIFY rank <= 10)"""]
+
+
+@query(sql("SELECT repo_id, changed, path, score, relationship, rank FROM ranked", *HITS))
+def impact_radius(v: Views) -> DataFrame:
+    return impact.radius(v.ifile, v.iimp, v.idef, v.icall).select("repo_id", "changed", "path", "score", "relationship", F.col("rank").cast("long"))
+
+
+@query(sql("SELECT r.changed, r.path, r.rank, coalesce(f.key % 3 = 0, false) AS co_changed, coalesce(f.key % 5 = 0 AND f.key % 2 = 0, false) AS co_deleted FROM ranked r LEFT JOIN ifile f ON f.path = r.path AND f.repo_id = r.repo_id", *HITS))
+def impact_co_changed(v: Views) -> DataFrame:
+    out = impact.radius(v.ifile, v.iimp, v.idef, v.icall, together=v.ifile.where("key % 3 = 0"), deleted=v.ifile.where("key % 5 = 0 and key % 2 = 0"))
+    return out.select("changed", "path", F.col("rank").cast("long"), "co_changed", "co_deleted")
+
+
+# Review (J12, J19, P11, P12, V13, A14, X11, S10, S12).
+
+
+@query("""WITH RECURSIVE i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text) // 4) AS n, (length(text) // 4)::BIGINT AS t FROM conversations),
+s AS (SELECT conv_id, 1::BIGINT AS n, t AS total, 1::BIGINT AS kept, 0::BIGINT AS skipped FROM i WHERE n = 1
+  UNION ALL SELECT s.conv_id, i.n, CASE WHEN x THEN total ELSE total + t END, CASE WHEN x THEN kept ELSE kept + 1 END, CASE WHEN x THEN skipped + 1 ELSE skipped END
+  FROM s JOIN i ON i.conv_id = s.conv_id AND i.n = s.n + 1, LATERAL (SELECT total >= 200 OR (total + t > 200 AND total > 0) AS x))
+SELECT conv_id, kept, skipped, total FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1""")
+def context_budget(v: Views) -> DataFrame:
+    items = v.table("conversations").withColumn("t", text.token_estimate(F.col("text")))
+    return review.budgeted(items, "conv_id", ["turn", "role"], "t", 200)
+
+
+def changes(v: Views) -> DataFrame:
+    """Paths with a diff that adds an import of the document's source and takes other lines away."""
+    diff = F.concat(F.lit("+++ b/x\n+import "), "repo", F.lit(".a\n-"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n-")))
+    return v.doc_paths.select("path", "repo", diff.alias("diff"))
+
+
+@query(sql("""SELECT 'no-tests' AS policy_id, path, 'block' AS severity FROM doc_paths WHERE starts_with(path, 'tests/')
+UNION ALL SELECT 'english', path, 'warn' FROM doc_paths WHERE contains(path, '/en/')
+UNION ALL SELECT 'one-digit', path, 'audit' FROM doc_paths WHERE regexp_matches(path, '^src/../src[0-4]/')"""))
+def policy_path_glob(v: Views) -> DataFrame:
+    return review.violations([p for p in POLICIES if p["type"] != review.IMPORT_TYPE], changes(v)).select("policy_id", "path", "severity")
+
+
+@query(sql("SELECT 'old-source' AS policy_id, path, 'block' AS severity FROM doc_paths WHERE regexp_matches(repo, 'src1.$')"))
+def policy_banned_line(v: Views) -> DataFrame:
+    return review.violations([p for p in POLICIES if p["type"] == review.IMPORT_TYPE], changes(v)).select("policy_id", "path", "severity")
+
+
+@query(sql("SELECT severity, count(*) AS violations, count(DISTINCT path) AS files, severity = 'block' AS blocks FROM found GROUP BY 1", """
+found AS (SELECT path, 'block' AS severity FROM doc_paths WHERE starts_with(path, 'tests/')
+UNION ALL SELECT path, 'warn' FROM doc_paths WHERE contains(path, '/en/')
+UNION ALL SELECT path, 'audit' FROM doc_paths WHERE regexp_matches(path, '^src/../src[0-4]/')
+UNION ALL SELECT path, 'block' FROM doc_paths WHERE regexp_matches(repo, 'src1.$'))"""))
+def blockers(v: Views) -> DataFrame:
+    return review.by_severity(review.violations(POLICIES, changes(v)))
+
+
+DIFF = "diff --git a/lib/one.rs b/lib/one.rs\n--- a/lib/one.rs\n+++ b/lib/one.rs\n-pub fn gone(x: u8) {}\n-  pub struct Gone;\n+pub fn new() {}\ndiff --git a/two.py b/two.py\n-def old():\n-class Old:\n x = 1\ndiff --git a/Cargo.lock b/Cargo.lock\n+a\n"
+
+
+@query("""SELECT * FROM (VALUES ('lib/one.rs', 'lib/one.rs', false), ('two.py', 'two.py', false), ('Cargo.lock', 'Cargo.lock', true)) AS t(path, name_again, is_lock)""")
+def diff_split(v: Views) -> DataFrame:
+    rows = files.split_diffs(v.spark.createDataFrame([(DIFF,)], "diff string"))
+    again = F.regexp_extract("section", r"^diff --git a/(\S+)", 1)
+    return rows.select("path", again.alias("name_again"), paths.is_lock(F.col("path")).alias("is_lock"))
+
+
+@query("""SELECT path, symbol FROM (VALUES ('lib/one.rs', 'gone'), ('lib/one.rs', 'Gone'), ('two.py', 'old'), ('two.py', 'Old')) AS t(path, symbol)""")
+def removed_symbols(v: Views) -> DataFrame:
+    rows = files.split_diffs(v.spark.createDataFrame([(DIFF,)], "diff string"))
+    return review.removed_symbols(rows.withColumnRenamed("section", "diff")).select("path", "symbol")
+
+
+@query("""SELECT * FROM (VALUES ('a.py', 'A'), ('b.py', 'R'), ('c.py', 'M'), ('old.py', 'R'), ('new.py', 'A'), ('copy.py', 'M'), ('t.py', 'M'), ('x.py', 'M')) AS t(path, op)""")
+def changeset_renames(v: Views) -> DataFrame:
+    rows = [("A", "a.py", None), ("D", "b.py", None), ("M", "c.py", None), ("R100", "old.py", "new.py"), ("C", "src.py", "copy.py"), ("T", "t.py", None), ("X", "x.py", None)]
+    return mutation.change_operations(v.spark.createDataFrame(rows, "letter string, path string, new_path string"))
+
+
+OP = "CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'R' ELSE 'M' END"
+
+
+@query(f"SELECT user_id AS key, max_by({OP}, (ts, event_id)) AS op FROM events GROUP BY 1")
+def changeset_latest(v: Views) -> DataFrame:
+    op = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "R").otherwise("M")
+    rows = v.table("events").select(F.col("user_id").alias("key"), op.alias("op"), "ts", "event_id")
+    return mutation.latest_operation(rows, ["key"], ["ts", "event_id"])
+
+
+@query(sql("""SELECT l_orderkey AS key, op FROM (SELECT coalesce(a.k, b.k) AS l_orderkey, CASE WHEN a.k IS NULL THEN 'A' WHEN b.k IS NULL THEN 'R' WHEN a.v <> b.v THEN 'M' END AS op
+FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0) b ON a.k = b.k) WHERE op IS NOT NULL"""))
+def changeset_snapshots(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("v"))
+    new = o.withColumn("v", F.when(F.col("key") % 4 == 0, "Z").otherwise(F.col("v")))
+    return mutation.changeset(o.where("key % 3 <> 0"), new.where("key % 5 <> 0"), ["key"], "v")
+
+
+# Mutations.
+
+
+@query("""SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 7 = 0""")
+def incremental_upsert(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    come = o.where("key % 7 = 0").select("key", F.lit("new").alias("status"))
+    return mutation.upsert(o.where("status <> 'P'"), come, ["key"])
+
+
+@query(sql("""SELECT path, status FROM file WHERE status = 'O' UNION ALL SELECT path, 'fresh' FROM file WHERE status = 'P'"""))
+def incremental_apply(v: Views) -> DataFrame:
+    ops = v.file.select("repo_id", "path", F.when(F.col("status") == "F", "R").when(F.col("status") == "P", "M").alias("op")).where("op is not null")
+    fresh = v.file.withColumn("status", F.lit("fresh"))
+    return mutation.apply_changes(v.file, ops, fresh, ["repo_id", "path"]).select("path", "status")
+
+
+@query(sql("""SELECT 'file' AS kind, path, '' AS target FROM file WHERE status <> 'F' UNION ALL SELECT 'block', src, dst FROM defines JOIN file ON src = path WHERE status <> 'F'
+UNION ALL SELECT type, src, dst FROM graph JOIN file ON src = path WHERE status <> 'F'"""))
+def delete_closure(v: Views) -> DataFrame:
+    blocks = v.defines.select(F.col("src").alias("path"), "dst", "repo_id")
+    f, b, e = mutation.delete_files(v.file, blocks, v.graph, v.file.where("status = 'F'"))
+    return f.select(F.lit("file").alias("kind"), "path", F.lit("").alias("target")).unionAll(b.select(F.lit("block"), "path", "dst")).unionAll(e.select("type", "src", "dst"))
+
+
+@query(sql("SELECT type, count(*) AS n FROM (SELECT type, src FROM graph JOIN file ON src = path WHERE status <> 'O' UNION ALL SELECT 'DEFINES', src FROM defines) GROUP BY 1"))
+def delete_out_edges(v: Views) -> DataFrame:
+    every = v.graph.select("src", "dst", "repo_id", "type").unionByName(v.defines.withColumn("type", F.lit("DEFINES")))
+    return mutation.delete_out_edges(every, v.file.where("status = 'O'")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("""SELECT label, n AS source_rows, m AS target_rows, m >= n * 0.5 AS ok FROM (SELECT label, count(*) AS n, count(*) FILTER (repo_id <> '0') AS m FROM nodes GROUP BY 1)"""))
+def migration_verify(v: Views) -> DataFrame:
+    return retrieval.migrated(v.nodes, v.nodes.where("repo_id <> '0'"))
+
+
+# Retrieval quality.
+
+GOLD = [f"""
+results AS (SELECT q.vec_id AS qid, c.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 10)""", """
+gold AS (SELECT q.vec_id AS qid, q.label AS category, c.vec_id AS expected FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)""", """
+judged AS (SELECT g.qid, any_value(g.category) AS category, round(coalesce(1.0 / min(r.rank), 0), 6) AS reciprocal_rank,
+ round(count(DISTINCT CASE WHEN r.rank <= 3 THEN r.id END) / count(DISTINCT g.expected), 6) AS recall_at_3, round(count(DISTINCT CASE WHEN r.rank <= 5 THEN r.id END) / count(DISTINCT g.expected), 6) AS recall_at_5
+ FROM gold g LEFT JOIN results r ON r.qid = g.qid AND r.id = g.expected GROUP BY g.qid)"""]
+
+
+def gold(v: Views) -> tuple[DataFrame, DataFrame]:
+    e = v.table("embeddings")
+    results = QUERIES["vector_topk_batch"](v.spark, v.sf_dir).select("qid", F.col("vec_id").alias("id"), "rank")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("category"))
+    wanted = q.join(e, F.col("label") == F.col("category")).where("vec_id <> qid").select("qid", "category", F.col("vec_id").alias("expected"))
+    return results, wanted
+
+
+def judged(v: Views) -> DataFrame:
+    results, wanted = gold(v)
+    return retrieval.judged(results, wanted).join(wanted.select("qid", "category").distinct(), "qid")
+
+
+@query(sql("SELECT qid, reciprocal_rank, recall_at_3, recall_at_5 FROM judged", *GOLD))
+def recall_at_k(v: Views) -> DataFrame:
+    return judged(v).select("qid", "reciprocal_rank", "recall_at_3", "recall_at_5")
+
+
+SUMMARY = "count(*) AS queries, coalesce(round(avg(reciprocal_rank), 4), 0) AS mrr, coalesce(round(avg(recall_at_3), 4), 0) AS recall_at_3, coalesce(round(avg(recall_at_5), 4), 0) AS recall_at_5, coalesce(round(avg(CASE WHEN reciprocal_rank > 0 THEN 1.0 ELSE 0.0 END), 4), 0)::DOUBLE AS hit_rate FROM judged"
+
+
+@query(sql(f"SELECT {SUMMARY}", *GOLD))
+def mrr(v: Views) -> DataFrame:
+    return retrieval.summary(judged(v))
+
+
+@query(sql(f"SELECT category, {SUMMARY} GROUP BY 1", *GOLD))
+def mrr_by_category(v: Views) -> DataFrame:
+    return retrieval.summary(judged(v), ["category"])
+
+
+@query(sql("SELECT qid, expected FROM gold WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = gold.qid AND r.id = expected)", *GOLD))
+def gold_missing(v: Views) -> DataFrame:
+    results, wanted = gold(v)
+    return retrieval.missing(results, wanted).select("qid", "expected")
+
+
+@query("""SELECT source, base, experiment, CASE WHEN base <> 0 THEN round((experiment - base) / base * 100, 2) END AS lift_percent,
+CASE WHEN base = 0 THEN 'N/A' WHEN round((experiment - base) / base * 100, 2) > 0 THEN 'better' WHEN round((experiment - base) / base * 100, 2) < 0 THEN 'worse' ELSE 'same' END AS badge
+FROM (SELECT source, count(*) FILTER (lang = 'en')::BIGINT AS base, count(*) FILTER (lang <> 'en')::BIGINT AS experiment FROM documents GROUP BY 1)""")
+def lift(v: Views) -> DataFrame:
+    by = v.table("documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") != "en").alias("b"))
+    return retrieval.lift(by.select("source", F.col("a").alias("n")), by.select("source", F.col("b").alias("n")), "source", "n")
+
+
+@query("""SELECT c_mktsegment, CASE max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END) WHEN 2 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'success' END AS status,
+count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS failures FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def status_rollup(v: Views) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "partial").otherwise("success")
+    rows = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", status.alias("status"))
+    return retrieval.rollup(rows, ["c_mktsegment"])
+
+
+@query("""SELECT o_orderpriority AS track, count(*) AS tickets, round(avg(o_custkey % 5), 4) AS mean_quality, round(avg(CASE WHEN o_orderkey % 4 > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS hallucination_rate,
+round(CASE WHEN count(*) FILTER (o_orderkey % 3 = 0) > 0 THEN count(*) FILTER (o_orderkey % 3 = 0 AND o_custkey % 6 >= 4) / count(*) FILTER (o_orderkey % 3 = 0) ELSE 0 END, 4) AS refactor_success,
+round(sum(o_orderkey % 50) / sum(o_orderkey % 100), 4) AS compression FROM orders GROUP BY 1""")
+def experiment_stats(v: Views) -> DataFrame:
+    o = v.table("orders").selectExpr("o_orderpriority as track", "o_custkey % 5 as quality", "o_orderkey % 4 as hallucinations", "o_orderkey % 3 = 0 as trap", "o_custkey % 6 as correctness", "o_orderkey % 100 as tokens_in", "o_orderkey % 50 as tokens_out")
+    return retrieval.experiment(o, ["track"])
+
+
+# Functions.
+
+
+@query("""SELECT doc_id, regexp_replace(sha256(source || ':' || doc_id)[:32], '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS node_id, sha256(source || ':' || doc_id)[:16] AS short_id,
+regexp_replace(md5(source || ':' || doc_id), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS point_id FROM documents""")
+def deterministic_ids(v: Views) -> DataFrame:
+    one = F.concat_ws(":", "source", "doc_id")
+    return v.table("documents").select("doc_id", hashing.stable_uuid("source", F.col("doc_id").cast("string")).alias("node_id"), hashing.short_id("source", F.col("doc_id").cast("string")).alias("short_id"), hashing.point_id(one).alias("point_id"))
+
+
+@query("""SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN length(text) > 2000 THEN text[:990] || E'\\n...[TRUNCATED]...\\n' || right(text, 990) ELSE text END AS t FROM documents)""")
+def head_tail_truncate(v: Views) -> DataFrame:
+    t = text.head_tail(F.col("text"))
+    return v.table("documents").select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
+
+
+@query("SELECT doc_id, (length(text) // 4)::BIGINT AS tokens FROM documents")
+def token_estimate(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", text.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+@query("""SELECT doc_id, trim(regexp_extract(left(c, 500), '(?s)\"\"\"(.*?)\"\"\"', 1), E' \\n\\t\\r') AS docstring FROM (SELECT doc_id, '#!x' || E'\\n\"\"\" ' || left(coalesce(text, ''), 120) || E'\\n\"\"\"\\ncode' AS c FROM documents)""")
+def docstring(v: Views) -> DataFrame:
+    c = F.concat(F.lit('#!x\n""" '), F.substring(F.coalesce("text", F.lit("")), 1, 120), F.lit('\n"""\ncode'))
+    return v.table("documents").select("doc_id", text.docstring(c).alias("docstring"))
+
+
+@query(sql("""SELECT path, left('File: ' || path || coalesce(E'\\nImports: ' || i, '') || coalesce(E'\\nDefines: ' || d, ''), 4000) AS summary FROM file
+LEFT JOIN (SELECT src, string_agg(dst, ', ' ORDER BY dst) AS i FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM imports) WHERE n <= 20 GROUP BY 1) ON src = path
+LEFT JOIN (SELECT src AS s2, string_agg('def ' || dst, ', ' ORDER BY dst) AS d FROM defines GROUP BY 1) ON s2 = path"""))
+def file_summary(v: Views) -> DataFrame:
+    node = lambda x, t: x.select("repo_id", F.col("src").alias("path"), F.lit(t).alias("type"), F.lit("function").alias("kind"), F.col("dst").alias("name"), F.lit(1).alias("start_line"))
+    nodes = node(v.imports, "import").unionByName(node(v.defines, "definition"))
+    return parsing.summaries(v.file.select("repo_id", "path", F.lit("").alias("content")), nodes).select("path", "summary")
+
+
+@query("""SELECT page_id, nullif(regexp_extract(regexp_replace(url, '\\.git$', ''), '[:/]([^/:]+/[^/:]+)$', 1), '') AS repo FROM pages""")
+def repo_id_from_url(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", text.repo_id(F.col("url")).alias("repo"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}]', '', 'g') AS id FROM pages")
+def mermaid_id(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", text.diagram_id(F.col("url")).alias("id"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.risk_level'), 'UNKNOWN') AS risk_level FROM events")
+def json_props(v: Views) -> DataFrame:
+    return v.table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), text.reply_field(F.col("props"), "$.risk_level", F.lit("UNKNOWN")).alias("risk_level"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, 'severity' AS field, 'unknown value' AS reason FROM part WHERE p_size % 4 = 3
+UNION ALL SELECT p_partkey::VARCHAR, 'type', 'missing' FROM part WHERE p_size % 10 = 0
+UNION ALL SELECT p_partkey::VARCHAR, 'message', 'too short' FROM part WHERE p_size % 9 = 0""")
+def reject_rows(v: Views) -> DataFrame:
+    severity = F.element_at(F.array(*map(F.lit, ("block", "warn", "audit", "panic"))), (F.col("p_size") % 4 + 1))
+    rules = v.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 10 != 0, "banned_import").alias("type"), F.col("p_name").alias("pattern"), severity.alias("severity"), F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_type")).alias("message"), F.lit(None).cast("string").alias("precept_id"))
+    return governance.rejected(rules, "policy_rule")
+
+
+NAMES = ["json.tool", "numpy.linalg", "os", "osx.path", "setuptools"]
+
+
+@query("SELECT event_id, name FROM (SELECT event_id, ['json.tool', 'numpy.linalg', 'os', 'osx.path', 'setuptools'][1 + event_id % 5] AS name FROM events) WHERE split_part(name, '.', 1) NOT IN ('json', 'os', 'setuptools')")
+def stdlib_filter(v: Views) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 5 + 1).cast("int"))
+    return v.table("events").select("event_id", name.alias("name")).where(~paths.is_skipped_module(F.col("name"), SKIPPED))
+
+
+PATHS = ["src/a.py", "node_modules/x/b.js", "build/c.go", "src/d.PNG", "lib/yarn.lock", "e.log", "docs/f.md", "x.egg-info/g.py", "h.tar", "web/.env"]
+
+
+@query("""SELECT event_id, path, path IN ('node_modules/x/b.js', 'build/c.go', 'lib/yarn.lock', 'e.log', 'web/.env') AS ignored, path IN ('src/a.py', 'node_modules/x/b.js', 'build/c.go', 'docs/f.md', 'x.egg-info/g.py') AS supported,
+path = 'lib/yarn.lock' AS is_lock, path = 'src/d.PNG' AS is_binary FROM (SELECT event_id, ['src/a.py', 'node_modules/x/b.js', 'build/c.go', 'src/d.PNG', 'lib/yarn.lock', 'e.log', 'docs/f.md', 'x.egg-info/g.py', 'h.tar', 'web/.env'][1 + event_id % 10] AS path FROM events)""")
+def path_filters(v: Views) -> DataFrame:
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("event_id") % 10 + 1).cast("int"))
+    rows = v.table("events").select("event_id", path.alias("path"))
+    p = F.col("path")
+    return rows.select("event_id", "path", paths.is_ignored(p).alias("ignored"), F.lower(paths.extension(p)).isin(languages.supported()).alias("supported"), paths.is_lock(p).alias("is_lock"), paths.is_binary(p).alias("is_binary"))
+
+
+@query(sql("SELECT path, split_part(split_part(path, '/', -1), '.', 1) AS stem, starts_with(path, 'core/') AS critical FROM ifile"))
+def path_parts(v: Views) -> DataFrame:
+    return v.ifile.select("path", paths.stem(F.col("path")).alias("stem"), paths.is_critical(F.col("path")).alias("critical"))
+
+
+@query(sql("SELECT a.path, b.path AS other FROM doc_paths a JOIN doc_paths b ON b.doc_id = a.doc_id + 1 WHERE ends_with(lower(a.path), lower(split_part(b.path, '/', -1))) OR ends_with(lower(a.path), '.py')"))
+def path_match(v: Views) -> DataFrame:
+    a = v.doc_paths.select(F.col("doc_id").alias("k"), "path")
+    b = v.doc_paths.select((F.col("doc_id") - 1).alias("k"), F.col("path").alias("other"), paths.basename(F.col("path")).alias("name"))
+    return a.join(b, "k").where(retrieval.same_path(F.col("path"), F.col("name")) | retrieval.same_path(F.col("path"), F.lit(".py"))).select("path", "other")
+
+
+@query("""SELECT 'python' AS language, 1::BIGINT AS extensions, 2 AS definitions UNION ALL SELECT 'cpp', 5, 4 UNION ALL SELECT 'rust', 1, 6 UNION ALL SELECT 'kotlin', 2, 3""")
+def language_matrix(v: Views) -> DataFrame:
+    rows = languages.languages(v.spark).groupBy("language").agg(F.count(F.lit(1)).alias("extensions"), F.max("definitions").alias("definitions"))
+    return rows.where(F.col("language").isin("python", "cpp", "rust", "kotlin"))
+
+
+@query(sql("SELECT src AS path, dst AS name, src || ':' || dst AS usp FROM defines"))
+def export_signatures(v: Views) -> DataFrame:
+    nodes = v.defines.select("repo_id", F.col("src").alias("path"), F.lit("definition").alias("type"), F.col("dst").alias("name"), F.lit(1).alias("start_line"))
+    return parsing.exports(nodes).select("path", "name", "usp")
+
+
+@query(sql("""SELECT r.id, r.path, count(DISTINCT y.path) AS around FROM (SELECT c.id, c.path FROM vectors c, embeddings q WHERE q.vec_id = 0 AND c.id <> 0 ORDER BY round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, c.id LIMIT 3) r
+JOIN doc_paths x ON x.path = r.path LEFT JOIN doc_paths y ON y.repo = x.repo AND y.path <> r.path GROUP BY 1, 2"""))
+def search_context(v: Views) -> DataFrame:
+    top = search.nearest(v.vectors, zero(v), 3, keep=("path",)).select("id", "path")
+    near = search.co_references(v.doc_refs, top).groupBy("path").agg(F.count(F.lit(1)).alias("around"))
+    return top.join(near, "path", "left").select("id", "path", F.coalesce("around", F.lit(0)).alias("around"))
+
+
+@query(f"""SELECT count(*) AS hits, round(max({COSINE}), 6) AS best FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id <> 0 AND {COSINE} >= 0.3""")
+def verify_concept(v: Views) -> DataFrame:
+    e = v.table("embeddings")
+    scored = e.join(F.broadcast(zero(v)), F.col("vec_id") != F.col("qid")).select(F.round(search.cosine(F.col("embedding"), F.col("query")), 6).alias("s"))
+    return scored.where("s >= 0.3").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("s"), 6).alias("best"))
+
+
+# What needs Python: rows only, with unit tests.
+
+
+@query()
+def parse_nodes(v: Views) -> DataFrame:
+    code = F.concat(F.lit('"""Doc."""\nimport os.path, re\nfrom . import x\n\n\nclass C:\n    def m(self):\n        return db.save(len("'), F.col("p_name"), F.lit('"))\n'))
+    return parsing.parse(v.table("part").select(F.lit("r").alias("repo_id"), F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), code.alias("content"), F.lit("python").alias("language"))).drop("content")
+
+
+@query()
+def embed_hash(v: Views) -> DataFrame:
+    return v.table("benchmark").select("item_id", parsing.embedder(8)(F.col("text")).alias("vector"))
+
+
+@query()
+def rerank(v: Views) -> DataFrame:
+    rows = v.doc_paths.select(F.lit(0).alias("qid"), F.col("doc_id").alias("id"), "path", "text")
+    scored = parsing.lexical_reranker("the of and que")(rows)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))).where("rank <= 10").drop("text")
