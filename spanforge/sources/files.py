@@ -7,12 +7,13 @@ import subprocess
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanforge.functions.paths import extension, is_ignored
 from spanforge.sources.languages import registry, supported
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def lenient_text(raw: pd.Series) -> pd.Series:
     """UTF-8 with bad bytes left out."""
     return raw.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
