@@ -52,6 +52,7 @@ STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 GAP = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
+STILL_THERE = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)")
 KEEP_SPACE = re.compile(r"(?i)(?:^|;)\s*white-space\s*:\s*(?:pre|break-spaces)")
 #: Elements nested deeper become siblings, as in browsers; a table column is padded to this at most.
 DEEPEST, WIDEST, GUTTER = 400, 80, "  "
@@ -243,6 +244,8 @@ def flow(node: Node, page: Page, keep: bool, depth: int) -> None:
                 page.text(child, keep)
         elif shown(child, node):
             element(child, page, keep, depth)
+        elif child.tag in BLOCK and STILL_THERE.search(child.attributes.get("style", "")):
+            page.block(child.tag in SPACED)  # unseen, but it takes its place
 
 
 def inner(node: Node, keep: bool, depth: int) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.shared import stage
+from spanforge.llm.shared import packed, stage, unpacked
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -100,16 +100,16 @@ def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Ids must be unique and not null here, as the decisions are joined to them; other rows are left out.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_id"), "size", "full", "part").where("full > 0 or part > 0")
-    rows = docs.join(taken, docs[id_col] == F.col("_id")).withColumn("_copies", F.expr("sequence(1, cast(full + if(part > 0, 1, 0) as int))")).withColumn("_copy", F.explode("_copies"))
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("id"), "size", "full", "part").where("full > 0 or part > 0")
+    rows = packed(docs, id=docs[id_col], text=docs[text_col]).join(taken, "id").withColumn("copy", F.explode(F.expr("sequence(1, cast(full + if(part > 0, 1, 0) as int))")))
     # Pieces that each end with a word: joined again they keep the white space between.
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")
-    text = F.when((F.col("_copy") > F.col("full")) & (F.col("part") < F.col("size")), cut).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, text)
+    rows = rows.withColumn("text", F.when((F.col("copy") > F.col("full")) & (F.col("part") < F.col("size")), cut).otherwise(F.col("text")))
+    changed = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(rows, docs, **changed)
 
 
 #: DuckDB SQL of op4's rows.

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at a time; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = (1 << 20) - 64
+
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,11 +33,24 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanforge/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ARROW_BYTES while this holds: long texts and sets make large rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again, which cuts its lineage; also the path, for drop()."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    with small_batches(spark):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -63,3 +80,13 @@ def steps(batches: Iterator[pa.RecordBatch], column: int, step_bytes: int = STEP
                 at, total = row, 0
             total += n
         yield batch.slice(at)
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The columns of docs in one struct `row`, so that no name clashes with those that are added."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, some of them replaced."""
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.shared import drop, partitions, stage, steps
+from spanforge.llm.shared import drop, packed, partitions, stage, steps
 from spanforge.llm.suffixes import deep_shallow
 from spanforge.llm.words import U64, flat, mixed, powers, prefix_hash, span_hash
 
 #: Bytes of an anchor; entries that a task packs at a time, and that one part of the index should hold; runs sorted together.
-GRAM, PACK, PART, SORT = 32, 1 << 20, 1 << 20, 20_000
+GRAM, PACK, PART, SORT = 32, 1 << 18, 1 << 19, 20_000
 
 #: A run of windows with one anchor: `size` bytes from `start` on, the anchor `off` bytes behind it.
 ENTRY = np.dtype([("key", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("size", "<u2"), ("off", "<u2"), ("twice", "<u4")])
@@ -83,7 +83,7 @@ def entries(texts: DataFrame, least: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def packed() -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(held)
             e = e[np.lexsort((e["run"], e["key"]))]
             new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["run"][1:] != e["run"][:-1])])
@@ -112,10 +112,10 @@ def entries(texts: DataFrame, least: int, parts: int) -> DataFrame:
             held.append(e)
             n += len(e)
             if n >= PACK:
-                yield from packed()
+                yield from sent()
                 held, n = [], 0
         if n:
-            yield from packed()
+            yield from sent()
 
     return texts.mapInArrow(run, ENTRIES)
 
@@ -267,9 +267,9 @@ def repeated_spans(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     texts = docs.select(doc.alias("doc"), text.alias("text"), docs[text_col].cast("binary").alias("raw"))
     total = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
     parts = max(partitions(spark), -(-2 * total // ((least - GRAM + 2) * PART)))
-    packed, packed_path = stage(entries(texts, least, parts), "runs", compression="snappy")
-    flagged, flagged_path = stage(packed.where("part is not null").select("part", "entries").repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(judged, FLAGGED), "flagged")
-    known, known_path = stage(packed.where("part is null").select("doc", "text", "a", "b"), "known")
+    sorted_, packed_path = stage(entries(texts, least, parts), "runs", compression="snappy")
+    flagged, flagged_path = stage(sorted_.where("part is not null").select("part", "entries").repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(judged, FLAGGED), "flagged")
+    known, known_path = stage(sorted_.where("part is null").select("doc", "text", "a", "b"), "known")
     drop(spark, packed_path)
     wanted = flagged.where("compare").groupBy("doc", "text").agg(F.collect_list(F.struct("a", "b", "off", "key", "whole")).alias("spots"))
     cut = texts.join(wanted, ["doc", "text"]).select("doc", "text", "raw", "spots").mapInArrow(cuts, CUTS)
@@ -332,8 +332,9 @@ def cut_docs(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col
     n_chars, if docs has it, follows the text. Null texts stay null.
     """
     doc, text = with_keys(docs, id_col, text_col)
-    spans = repeated_spans(docs, least, id_col, text_col).withColumnsRenamed({"doc": "_doc", "text": "_text", "spans": "_spans"})
-    rows = docs.withColumns({"_a": doc, "_b": text}).join(spans, (F.col("_a") == F.col("_doc")) & (F.col("_b") == F.col("_text")), "left").select(*docs.columns, "_spans")
+    spans = repeated_spans(docs, least, id_col, text_col)
+    rows = packed(docs, doc=doc, text=text).join(spans, ["doc", "text"], "left")
+    rows = rows.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "spans")
     names = docs.columns
     at = names.index(text_col)
     count = names.index("n_chars") if "n_chars" in names else None
