@@ -55,11 +55,15 @@ def stage(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged tables that nothing reads any more.
+
+    Spark deletes the shuffle files behind them once the driver's garbage is collected, so that is asked for.
+    """
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    jvm.System.gc()
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

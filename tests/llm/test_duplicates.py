@@ -69,7 +69,7 @@ def corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("long", [16, 2])
+@pytest.mark.parametrize("long", [32, 2])
 def test_jaccard_join_equals_brute_force(make, monkeypatch, long):
     monkeypatch.setattr(shingles, "LONG", long)  # long lists are rare in small tables
     monkeypatch.setattr(shingles, "GIANT", long // 2)
@@ -86,6 +86,7 @@ def test_jaccard_join_equals_brute_force(make, monkeypatch, long):
 def test_heavy_shingles_and_subsets_change_nothing(make, monkeypatch):
     rows = [r for r in corpus(5) if r[0] is not None]
     monkeypatch.setattr(shingles, "HEAVY", 0.02)
+    monkeypatch.setattr(shingles, "LEAST_HEAVY", 3)
     assert sorted((str(r[0]), r[1], str(r[2])) for r in shingles.jaccard_components(make(rows)).collect()) == brute_jaccard(rows)
     monkeypatch.setattr(shingles.Threshold, "cost", lambda self, a: 0)  # subsets for all small sets
     assert sorted((str(r[0]), r[1], str(r[2])) for r in shingles.jaccard_components(make(rows)).collect()) == brute_jaccard(rows)
