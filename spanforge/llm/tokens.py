@@ -85,6 +85,15 @@ def byte_alphabet() -> dict[int, str]:
 ALPHABET = {chr(b): c for b, c in byte_alphabet().items()}
 
 
+def lowered(text: bytes) -> bytes:
+    """ASCII letters in lower case, so that fewer words differ, where the tokenizer's own lower-casing makes the same.
+
+    Not so beside combining marks (some compose with small letters only; those with ASCII letters begin with these
+    bytes in UTF-8), nor in special strings.
+    """
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class WordCache(dict):
     """What each word gives, worked out as it is asked for. Two generations bound it: what is used stays."""
 
@@ -95,13 +104,13 @@ class WordCache(dict):
     def __missing__(self, word: bytes):
         got = self.old.get(word)
         if got is None:
-            letters, marks = m.groups() if (m := PLAIN.fullmatch(word)) else (b"", b"")
-            if not m:
-                got = self.odd(word)
-            elif letters and marks:
-                got = self[letters] + self[marks]
+            if word.isalpha():  # bytes.isalpha: ASCII letters only, which stand for themselves
+                got = self.piece(word.lower().decode())
+            elif m := PLAIN.fullmatch(word):
+                letters, marks = m.groups()
+                got = self[letters] + self[marks] if letters and marks else self.piece(word.decode().lower().encode().decode("latin-1").translate(BYTES))
             else:
-                got = self.piece(word.decode().lower().encode().decode("latin-1").translate(BYTES))
+                got = self.odd(word)
         if len(self) >= CACHE_WORDS // 2:
             self.old = dict(self)
             self.clear()
@@ -135,13 +144,14 @@ class Ids(WordCache):
 
     def __init__(self, path: str, width: str) -> None:
         super().__init__(path)
-        self.size = np.dtype(width).itemsize
+        size = np.dtype(width).itemsize
+        self.bytes = [i.to_bytes(size, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def piece(self, text: str) -> bytes:
-        return b"".join([t.id.to_bytes(self.size, "little") for t in self.merge(text)])
+        return b"".join([self.bytes[t.id] for t in self.merge(text)])
 
     def odd(self, word: bytes) -> bytes:
-        return b"".join([i.to_bytes(self.size, "little") for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+        return b"".join([self.bytes[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
 
 
 def counter(path: str) -> Callable[[list[bytes]], list[int]]:
@@ -155,7 +165,7 @@ def counter(path: str) -> Callable[[list[bytes]], list[int]]:
         t = tokenizer(path)
         return lambda texts: [len(x.ids) for x in t.encode_batch_fast([t_.decode() for t_ in texts], add_special_tokens=False)]
     get = Counts(path).__getitem__
-    return lambda texts: [sum(map(get, t.split())) for t in texts]  # bytes.split: at ASCII white space
+    return lambda texts: [sum(map(get, lowered(t).split())) for t in texts]  # bytes.split: at ASCII white space
 
 
 @functools.cache
@@ -169,6 +179,12 @@ def kept_ids(path: str, width: str) -> Ids:
     return Ids(path, width)
 
 
+def forget() -> None:
+    """Free what this worker keeps for tokenizing; later tasks that need it make it again."""
+    for kept in (kept_counter, kept_ids, whole_tokens, tokenizer):
+        kept.cache_clear()
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text.
 
