@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.shared import packed, stage, unpacked
+from spanforge.llm.shared import numbered, stage, unpacked
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -60,7 +60,7 @@ def seats(parties: DataFrame, group: list[str], share: str, number: str, tie: st
     return k.groupBy(*keys, "_low").agg(F.sum("_won").alias("_more")).withColumn(out, F.col("_low") + F.col("_more")).drop("_low", "_more")
 
 
-def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, shard, shard_size, start, quota and taken of every document.
 
     Sizes are words. Blocks of `block` words go to sources by Sainte-Laguë, then by it to each source's shards
@@ -71,10 +71,12 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: st
 
     Null texts have size 0, null sources form one source that comes last, null ids are as any other id, rows
     that are alike each count. An empty table gives no rows. Reruns agree. Windows go over shards, never over a
-    source; only the table of sources is ordered as a whole.
+    source; only the table of sources is ordered as a whole. With row_col, a unique number of each row, that column
+    comes first, and rows of one id and size stand in the order of a hash of their texts.
     """
+    more = [] if row_col is None else [docs[row_col].alias("at"), F.xxhash64(docs[text_col]).alias("hash")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
-    sized, _ = stage(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), key.alias("key")), "mix")
+    sized, _ = stage(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), key.alias("key"), *more), "mix")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     sources = sources.withColumns({"blocks": F.ceil(F.col("total") / block), "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))})
     sources = seats(sources, [], "target", "blocks", "rank", "source_blocks")
@@ -86,22 +88,25 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: st
     sizes = rows.groupBy("rank", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
     quotas = seats(sizes, ["rank"], "shard_size", "source_blocks", "shard", "shard_blocks")
     quotas = quotas.select("rank", "shard", "shard_size", F.least(F.col("shard_blocks") * block, F.col("shard_size") * MOST_REPEATS).alias("quota"))
-    order = Window.partitionBy("rank", "shard").orderBy("key", "id", "size")
+    order = Window.partitionBy("rank", "shard").orderBy("key", "id", "size", *(["hash", "at"] if more else []))
     rows = rows.withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).join(quotas, ["rank", "shard"])
     full = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0)
     rows = rows.withColumn("full", full.cast("long"))
     rest = F.col("quota") - F.col("full") * F.col("shard_size")
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "shard", "shard_size", "start", "quota", "full", "part", (F.col("full") * F.col("size") + F.col("part")).alias("taken"))
+    return rows.select(*([F.col("at").alias(row_col)] if more else []), F.col("id").alias(id_col), "source", "size", "source_size", "target", "shard", "shard_size", "start", "quota", "full", "part", (F.col("full") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with docs' columns; a last part is cut after its words.
 
-    Ids must be unique and not null here, as the decisions are joined to them; other rows are left out.
+    Decisions are made and carried out row by row: rows without an id, or that share one, each have their own.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("id"), "size", "full", "part").where("full > 0 or part > 0")
-    rows = packed(docs, id=docs[id_col], text=docs[text_col]).join(taken, "id").withColumn("copy", F.explode(F.expr("sequence(1, cast(full + if(part > 0, 1, 0) as int))")))
+    staged, _ = numbered(docs, "numbered")
+    field = lambda c, name: F.col("row").getField(c).alias(name)
+    narrow = staged.select("at", field(id_col, "id"), field(text_col, "text"), field(source_col, "source"))
+    taken = mix(narrow, id_col="id", row_col="at", **options).select("at", "size", "full", "part").where("full > 0 or part > 0")
+    rows = staged.select("at", "row", field(text_col, "text")).join(taken, "at").withColumn("copy", F.explode(F.expr("sequence(1, cast(full + if(part > 0, 1, 0) as int))")))
     # Pieces that each end with a word: joined again they keep the white space between.
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")

@@ -94,3 +94,11 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
 def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     """The columns of docs again, some of them replaced."""
     return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(row, at) as a staged table, with its path: `at` tells each row from all others, whatever its id.
+
+    The numbers are only fixed once written, so whoever reads rows more than once needs the table.
+    """
+    return stage(packed(docs, at=F.monotonically_increasing_id()), name)
