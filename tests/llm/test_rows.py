@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from spanforge.llm import mixing
+from spanforge.llm import mixing, shingles, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,3 +41,20 @@ def test_mixed_docs_do_not_depend_on_the_partitioning(make):
     docs = make(mixed_rows())
     one, two = (sorted(map(str, mixing.mixed_docs(docs.repartition(n), block=4).collect())) for n in (1, 3))
     assert one == two
+
+
+def test_one_of_each_decides_by_row(make):
+    base, lone = prose(1, 80), [prose(500 + i, 60) for i in range(5)]
+    near = base + " another"
+    rows = [(20, base), (20, base), (21, near)]  # one group, two rows of it alike
+    rows += [(None, near), (None, lone[0]), (None, lone[1])]  # a near copy, and clean texts without an id
+    rows += [(30, lone[2]), (30, lone[3]), (31, lone[3])]  # one id, two texts, one of them copied
+    rows += [(None, lone[4]), (None, lone[4]), (None, None), (40, "")]
+    docs = make(rows, extra=True)
+    kept = shingles.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [(20, base), (None, lone[0]), (None, lone[1]), (30, lone[2]), (30, lone[3]), (None, lone[4]), (None, None), (40, "")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    cut = substrings.cut_docs(docs.sparkSession.createDataFrame(kept.collect(), docs.schema))
+    assert base in {r.text for r in cut.collect()}  # repeated rows no longer cut each other out
+    assert shingles.one_of_each(make([])).count() == 0
