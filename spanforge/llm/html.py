@@ -20,11 +20,16 @@ def names(text: str) -> frozenset[str]:
 #: Element names by their part in HTML's rules.
 VOID = names("area base br col embed hr img input link meta param source track wbr")
 RAW = names("script style textarea title xmp iframe noembed noframes")
-HIDDEN = names("head script style template noscript iframe noembed noframes object audio video canvas datalist map svg math param source track meta link base title colgroup col")
+HIDDEN = names("head script style template noscript iframe noembed noframes object audio video canvas datalist param source track meta link base title colgroup col")
 HEAD = names("head title base link meta style script template noscript")
 BLOCK = names("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp listing plaintext textarea caption")
 SPACED = names("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp listing")
 CLOSE_P = names("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp listing plaintext dd dt li")
+#: Within svg and math: what only describes, is referred to, or notes in another way what is shown; elements whose
+#: content is HTML again; and HTML elements that end the drawing or formula.
+UNDRAWN = names("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml")
+HTML_AGAIN = names("foreignobject desc title mi mo mn ms mtext annotation-xml")
+BREAKOUT = names("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var")
 HEADINGS = names("h1 h2 h3 h4 h5 h6")
 #: A start tag of the key closes open elements of the first set, up to one of the second.
 IMPLIED = {
@@ -51,18 +56,21 @@ TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 GAP = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
-STILL_THERE = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)")
+UNSEEN = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none")
+VISIBILITY = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 KEEP_SPACE = re.compile(r"(?i)(?:^|;)\s*white-space\s*:\s*(?:pre|break-spaces)")
 #: Elements nested deeper become siblings, as in browsers; a table column is padded to this at most.
 DEEPEST, WIDEST, GUTTER = 400, 80, "  "
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """An element; veiled: its own text is not visible, foreign: its children are of svg or math."""
 
-    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+    __slots__ = ("tag", "attributes", "children", "veiled", "foreign")
+
+    def __init__(self, tag: str, attributes: dict[str, str], veiled: bool = False, foreign: str = "") -> None:
+        self.tag, self.attributes, self.children, self.veiled, self.foreign = tag, attributes, [], veiled, foreign
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -113,6 +121,15 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def veiled(tag: str, a: dict[str, str], parent: Node) -> bool:
+    """Visibility is inherited, and a descendant can set it back."""
+    own = VISIBILITY.findall(a["style"])[-1:] if "style" in a else []
+    if not own and parent.foreign and "visibility" in a:
+        own = [a["visibility"].strip()]
+    value = own[0].lower() if own else "hidden" if tag == "mphantom" else ""
+    return value in ("hidden", "collapse") or value not in ("visible", "initial") and parent.veiled
+
+
 def tree(html: str) -> Node:
     root = Node("html", {})
     stack = [root]
@@ -129,6 +146,8 @@ def tree(html: str) -> Node:
             del stack[found:]
 
     for kind, name, rest in tokens(html):
+        if kind in ("text", "raw") and stack[-1].tag != "title" and (stack[-1].veiled or stack[-1].foreign == "svg" and all(x.tag != "text" for x in stack)):
+            continue
         if kind == "text":
             stack[-1].children.append(unescape(name) if "&" in name else name)
         elif kind == "raw":
@@ -136,6 +155,8 @@ def tree(html: str) -> Node:
         elif kind == "start":
             if name in ("html", "body") and any(x.tag == name for x in stack):
                 continue
+            while stack[-1].foreign and name in BREAKOUT:
+                stack.pop()
             if name not in HEAD:
                 close(names("head"), frozenset())  # a head ends where the body's content begins
             if name in CLOSE_P:
@@ -146,9 +167,12 @@ def tree(html: str) -> Node:
                 close(*IMPLIED[name])
             if name in ("button", "a", "nobr") and any(x.tag == name for x in stack):
                 close(frozenset([name]), WALLS - {name})
-            node = Node(name, attributes(rest) if rest.strip(" /\n\t\r\f") else {})
-            stack[-1].children.append(node)
-            if name not in VOID and len(stack) < DEEPEST:
+            a, parent = attributes(rest) if rest.strip(" /\n\t\r\f") else {}, stack[-1]
+            foreign = name if name in ("svg", "math") else "" if name in HTML_AGAIN else parent.foreign
+            node = Node(name, a, veiled(name, a, parent), foreign)
+            parent.children.append(node)
+            closed = (parent.foreign or foreign) and SELF_CLOSED.search(rest)
+            if name not in VOID and not closed and len(stack) < DEEPEST:
                 stack.append(node)
         else:
             if name == "br" or name == "p" and not any(x.tag == "p" for x in stack):
@@ -167,6 +191,8 @@ def shown(node: Node, parent: Node | None) -> bool:
     a = node.attributes
     if node.tag in HIDDEN or a and ("hidden" in a or "style" in a and UNSEEN.search(a["style"])):
         return False
+    if parent is not None and parent.foreign and (node.tag in UNDRAWN or a.get("display", "").strip().lower() == "none"):
+        return False
     if node.tag == "dialog" and "open" not in a:
         return False
     return not (parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary")
@@ -244,8 +270,6 @@ def flow(node: Node, page: Page, keep: bool, depth: int) -> None:
                 page.text(child, keep)
         elif shown(child, node):
             element(child, page, keep, depth)
-        elif child.tag in BLOCK and STILL_THERE.search(child.attributes.get("style", "")):
-            page.block(child.tag in SPACED)  # unseen, but it takes its place
 
 
 def inner(node: Node, keep: bool, depth: int) -> list[str]:
@@ -259,13 +283,17 @@ def element(node: Node, page: Page, keep: bool, depth: int) -> None:
     if tag == "br":
         page.newline()
     elif tag == "input":
-        if a.get("type", "").lower() in ("submit", "button", "reset") and a.get("value"):
+        if a.get("type", "").lower() in ("submit", "button", "reset") and a.get("value") and not node.veiled:
             page.text(a["value"], False)
-    elif tag == "q":
+    elif tag == "q" and not node.veiled:
         page.word("“")
         flow(node, page, keep, depth)
         page.space = False
         page.word("”")
+    elif node.foreign == "svg" and (tag == "text" or tag == "tspan" and a.keys() & {"x", "y", "dy"}):
+        page.space = True  # a label of its own
+        flow(node, page, keep, depth)
+        page.space = True
     elif tag == "table":
         page.block(True)
         for line in table(node, depth + 1):
@@ -295,7 +323,7 @@ def element(node: Node, page: Page, keep: bool, depth: int) -> None:
             page.put(line)
         page.block(tag in SPACED)
     else:
-        block = tag in BLOCK
+        block = tag in BLOCK or tag == "math" and a.get("display", "").lower() == "block"
         if block:
             page.block(tag in SPACED)
         if tag in ("pre", "listing", "textarea") and node.children and isinstance(node.children[0], str):
