@@ -48,6 +48,11 @@ def zero(v: Views) -> DataFrame:
     return v.table("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
 
 
+def hundredths(v: Views) -> DataFrame:
+    """The query set: every row whose id is divisible by 100."""
+    return v.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
 @query(f"""SELECT c.vec_id, {COSINE} AS score, row_number() OVER (ORDER BY {COSINE} DESC, c.vec_id) AS rank
 FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id <> 0 QUALIFY rank <= 10""")
 def vector_topk(v: Views) -> DataFrame:
@@ -57,8 +62,7 @@ def vector_topk(v: Views) -> DataFrame:
 @query(f"""SELECT q.vec_id AS qid, c.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.vec_id) AS rank
 FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 10""")
 def vector_topk_batch(v: Views) -> DataFrame:
-    queries = v.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    return search.nearest(v.table("embeddings"), queries, 10, "vec_id").select("qid", "vec_id", "score", F.col("rank").cast("long"))
+    return search.nearest(v.table("embeddings"), hundredths(v), 10, "vec_id").select("qid", "vec_id", "score", F.col("rank").cast("long"))
 
 
 @query(sql(f"""SELECT c.id, c.path, {COSINE} AS score, row_number() OVER (ORDER BY {COSINE} DESC, c.id) AS rank
@@ -68,6 +72,13 @@ def vector_filtered(v: Views) -> DataFrame:
     return search.nearest(found, zero(v), 10, keep=("path",)).select("id", "path", "score", F.col("rank").cast("long"))
 
 
+@query(sql(f"""SELECT q.vec_id AS qid, c.id, c.path, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) AS rank
+FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id AND c.type = 'en' AND contains(c.path, 'src/') QUALIFY rank <= 10"""))
+def vector_filtered_batch(v: Views) -> DataFrame:
+    found = search.filters(v.vectors, kind="en", path_contains="src/")
+    return search.nearest(found, hundredths(v), 10, keep=("path",)).select("qid", "id", "path", "score", F.col("rank").cast("long"))
+
+
 TEST = "(regexp_matches(lower(split_part(path, '/', -1)), '^test_|_test\\.py$|\\.(spec|test)\\.(js|ts|jsx|tsx)$') OR len(list_intersect(string_split(lower(path), '/'), ['tests', '__tests__', 'test', 'spec', '__test__'])) > 0)"
 
 
@@ -85,6 +96,21 @@ def hybrid_boost_off(v: Views) -> DataFrame:
     return search.hybrid(v.vectors, zero(v), None, exclude_tests=False).select("id", "path", "score", F.col("rank").cast("long"))
 
 
+@query(sql("""SELECT qid, id, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM boosted QUALIFY rank <= 10""", f"""
+pool AS (SELECT q.vec_id AS qid, c.id, c.path, {COSINE} AS score FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) <= 35)""", f"""
+kept AS (SELECT * FROM pool WHERE NOT {TEST})""", """
+near AS (SELECT DISTINCT a.qid, a.path, b.path AS other FROM kept a JOIN doc_paths x ON x.path = a.path JOIN doc_paths y ON y.repo = x.repo JOIN kept b ON b.path = y.path AND b.qid = a.qid WHERE a.path <> b.path)""", """
+boosted AS (SELECT qid, id, path, round(score + 0.05 * coalesce((SELECT count(*) FROM near n WHERE n.path = k.path AND n.qid = k.qid), 0), 6) AS score FROM kept k)"""))
+def hybrid_search_batch(v: Views) -> DataFrame:
+    return search.hybrid(v.vectors, hundredths(v), v.doc_refs).select("qid", "id", "path", "score", F.col("rank").cast("long"))
+
+
+@query(sql(f"""SELECT q.vec_id AS qid, c.id, c.path, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) AS rank
+FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id QUALIFY rank <= 10"""))
+def hybrid_boost_off_batch(v: Views) -> DataFrame:
+    return search.hybrid(v.vectors, hundredths(v), None, exclude_tests=False).select("qid", "id", "path", "score", F.col("rank").cast("long"))
+
+
 @query(sql(f"""SELECT path, {TEST} AS is_test FROM doc_paths"""))
 def test_file_filter(v: Views) -> DataFrame:
     return v.doc_paths.select("path", paths.is_test(F.col("path")).alias("is_test"))
@@ -537,6 +563,22 @@ def verify_concept(v: Views) -> DataFrame:
     return scored.where("s >= 0.3").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("s"), 6).alias("best"))
 
 
+@query(sql(f"""SELECT r.qid, r.id, r.path, count(DISTINCT y.path) AS around FROM (SELECT q.vec_id AS qid, c.id, c.path FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) <= 3) r JOIN doc_paths x ON x.path = r.path LEFT JOIN doc_paths y ON y.repo = x.repo AND y.path <> r.path GROUP BY 1, 2, 3"""))
+def search_context_batch(v: Views) -> DataFrame:
+    top = search.nearest(v.vectors, hundredths(v), 3, keep=("path",)).select("qid", "id", "path")
+    near = search.co_references(v.doc_refs, top).groupBy("path").agg(F.count(F.lit(1)).alias("around"))  # the same for every query
+    return top.join(near, "path", "left").select("qid", "id", "path", F.coalesce("around", F.lit(0)).alias("around"))
+
+
+@query(f"""SELECT q.vec_id AS qid, count(c.vec_id) AS hits, round(max({COSINE}), 6) AS best FROM embeddings q LEFT JOIN embeddings c ON c.vec_id <> q.vec_id AND {COSINE} >= 0.3 WHERE q.vec_id % 100 = 0 GROUP BY 1""")
+def verify_concept_batch(v: Views) -> DataFrame:
+    queries = hundredths(v)
+    scored = v.table("embeddings").join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", F.round(search.cosine(F.col("embedding"), F.col("query")), 6).alias("s"))
+    found = scored.where("s >= 0.3").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("s"), 6).alias("best"))
+    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "best")
+
+
 # What needs Python: rows only, with unit tests.
 
 

@@ -40,21 +40,24 @@ def pool_size(limit: int, rerank: bool = False, exclude_tests: bool = False, boo
     return int(limit * ((10 if rerank else 1) + 0.5 * exclude_tests + 2 * boost))
 
 
-def co_references(refs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(path, neighbour): files that refer to the same target in the same repository in the same way."""
-    a = refs.select("repo_id", "type", "dst", F.col("src").alias("path"))
+def co_references(refs: DataFrame, sources: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, neighbour): files that refer to the same target in the same repository in the same way.
+
+    With `by`, columns of refs, only references alike in these meet, and the columns come first.
+    """
+    a = refs.select(*by, "repo_id", "type", "dst", F.col("src").alias("path"))
     if sources is not None:
         a = a.join(sources.select("path").distinct(), "path", "left_semi")
-    b = refs.select("repo_id", "type", "dst", F.col("src").alias("neighbour"))
-    return a.join(b, ["repo_id", "type", "dst"]).where("path <> neighbour").select("path", "neighbour").distinct()
+    b = refs.select(*by, "repo_id", "type", "dst", F.col("src").alias("neighbour"))
+    return a.join(b, [*by, "repo_id", "type", "dst"]).where("path <> neighbour").select(*by, "path", "neighbour").distinct()
 
 
 def boosted(pool: DataFrame, refs: DataFrame, weight: float = 0.05, digits: int = 6) -> DataFrame:
-    """Adds weight to a score for each other path of the pool that shares a reference (V5)."""
-    paths = pool.select("path").distinct()
-    near = co_references(refs.join(paths.withColumnRenamed("path", "src"), "src", "left_semi"))
-    counts = near.groupBy("path").agg(F.count(F.lit(1)).alias("together"))
-    return pool.join(counts, "path", "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("together", F.lit(0)), digits)).drop("together")
+    """Adds weight to a score for each other path of the same query's pool that shares a reference (V5)."""
+    paths = pool.select("qid", F.col("path").alias("src")).distinct()
+    near = co_references(refs.select("src", "repo_id", "type", "dst").join(paths, "src"), by=("qid",))
+    counts = near.groupBy("qid", "path").agg(F.count(F.lit(1)).alias("together"))
+    return pool.join(counts, ["qid", "path"], "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("together", F.lit(0)), digits)).drop("together")
 
 
 def hybrid(corpus: DataFrame, query: DataFrame, refs: DataFrame | None, limit: int = 10, exclude_tests: bool = True, weight: float = 0.05, rerank: Callable[[DataFrame], DataFrame] | None = None, **conditions) -> DataFrame:
