@@ -470,6 +470,13 @@ def docstring(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", text.docstring(c).alias("docstring"))
 
 
+@query("""SELECT doc_id, trim(CASE WHEN regexp_matches(h, '(?s)\"\"\".*?\"\"\"') THEN regexp_extract(h, '(?s)\"\"\"(.*?)\"\"\"', 1) ELSE regexp_extract(h, '(?s)''''''(.*?)''''''', 1) END, E' \\n\\t\\r\\x0B\\f') AS docstring
+FROM (SELECT doc_id, left('#!x' || E'\\n\"\"\" ' || coalesce(text, '') || E'\\n\"\"\"\\ncode', 500) AS h FROM documents)""")
+def docstring_whole(v: Views) -> DataFrame:
+    c = F.concat(F.lit('#!x\n""" '), F.coalesce("text", F.lit("")), F.lit('\n"""\ncode'))
+    return v.table("documents").select("doc_id", text.docstring(c).alias("docstring"))
+
+
 @query(sql("""SELECT path, left('File: ' || path || coalesce(E'\\nImports: ' || i, '') || coalesce(E'\\nDefines: ' || d, ''), 4000) AS summary FROM file
 LEFT JOIN (SELECT src, string_agg(dst, ', ' ORDER BY dst) AS i FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM imports) WHERE n <= 20 GROUP BY 1) ON src = path
 LEFT JOIN (SELECT src AS s2, string_agg('def ' || dst, ', ' ORDER BY dst) AS d FROM defines GROUP BY 1) ON s2 = path"""))

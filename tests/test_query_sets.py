@@ -18,3 +18,8 @@ def test_a_query_set_holds_the_single_query(spark):
     every = catalog.QUERIES["hybrid_search_batch"](spark, DATA).collect()
     assert {(r.id, r.score, r["rank"]) for r in every if r.qid == 0} == one
     assert len({r.qid for r in every}) > 1
+
+
+def test_docstrings_are_of_whole_texts(spark):
+    rows = {r.doc_id: r.docstring for r in catalog.QUERIES["docstring_whole"](spark, DATA).collect()}
+    assert max(map(len, rows.values())) > 120 and "" in rows.values()
