@@ -549,6 +549,11 @@ def language_matrix(v: Views) -> DataFrame:
     return rows.where(F.col("language").isin("python", "cpp", "rust", "kotlin"))
 
 
+@query("""SELECT * FROM (VALUES ('bash', 2, 1), ('c_sharp', 1, 5), ('cpp', 5, 4), ('css', 1, 0), ('dart', 1, 3), ('elixir', 2, 1), ('go', 1, 3), ('haskell', 1, 4), ('html', 2, 0), ('java', 1, 4), ('javascript', 2, 3), ('json', 1, 0), ('kotlin', 2, 3), ('lua', 1, 2), ('ocaml', 2, 3), ('php', 1, 3), ('python', 1, 2), ('ruby', 1, 4), ('rust', 1, 6), ('scala', 1, 4), ('sql', 1, 0), ('swift', 1, 5), ('toml', 1, 0), ('typescript', 2, 3), ('yaml', 2, 0), ('zig', 1, 1)) AS t(language, extensions, definitions)""")
+def language_matrix_whole(v: Views) -> DataFrame:
+    return languages.languages(v.spark).groupBy("language").agg(F.count(F.lit(1)).alias("extensions"), F.max("definitions").alias("definitions"))
+
+
 @query(sql("SELECT src AS path, dst AS name, src || ':' || dst AS usp FROM defines"))
 def export_signatures(v: Views) -> DataFrame:
     nodes = v.defines.select("repo_id", F.col("src").alias("path"), F.lit("definition").alias("type"), F.col("dst").alias("name"), F.lit(1).alias("start_line"))
@@ -600,6 +605,11 @@ def embed_hash(v: Views) -> DataFrame:
     return v.table("benchmark").select("item_id", parsing.embedder(8)(F.col("text")).alias("vector"))
 
 
+@query()
+def embed_hash_documents(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", parsing.embedder()(F.col("text")).alias("vector"))
+
+
 @query()
 def rerank(v: Views) -> DataFrame:
     rows = v.doc_paths.select(F.lit(0).alias("qid"), F.col("doc_id").alias("id"), "path", "text")

@@ -23,3 +23,10 @@ def test_a_query_set_holds_the_single_query(spark):
 def test_docstrings_are_of_whole_texts(spark):
     rows = {r.doc_id: r.docstring for r in catalog.QUERIES["docstring_whole"](spark, DATA).collect()}
     assert max(map(len, rows.values())) > 120 and "" in rows.values()
+
+
+def test_whole_registry_and_documents_are_read(spark):
+    assert catalog.QUERIES["language_matrix_whole"](spark, DATA).count() == 26
+    found = catalog.QUERIES["embed_hash_documents"](spark, DATA)
+    assert found.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert {len(r.vector) for r in found.limit(50).collect()} == {64}
