@@ -256,7 +256,7 @@ def impact_co_changed(v: Views) -> DataFrame:
     return out.select("changed", "path", F.col("rank").cast("long"), "co_changed", "co_deleted")
 
 
-# Review (J12, J19, P11, P12, V13, A14, X11, S10, S12).
+# Review (J12, J19, P11, P12, V13, A14, X11, S10).
 
 
 @query("""WITH RECURSIVE i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text) // 4) AS n, (length(text) // 4)::BIGINT AS t FROM conversations),
