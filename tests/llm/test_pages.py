@@ -90,3 +90,29 @@ def test_damage_is_found(spark):
     path.write_bytes(gzip.compress(raw))
     with pytest.raises(Exception, match="damaged"):
         warc.read(spark, folder).collect()
+
+
+def test_reruns_give_equal_archives(spark):
+    """With more rows than range partitioning samples, after other jobs, and from other partitions."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 5 == 0, F.lit(7)).otherwise(F.col("id") * 7919 % 100_003).alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), 2).alias("html"))
+    made = []
+    for rows in (df, df.orderBy(F.xxhash64("url")).repartition(7)):
+        spark.range(10).count()
+        folder = shared.stage_path(spark, "warc")
+        made.append(sorted(map(tuple, warc.write(rows, folder, roll_bytes=1 << 18, level=1, part_bytes=1 << 20).collect())))
+    assert made[0] == made[1] and sum(f[1] for f in made[0]) == 100_000
+    parts = {}
+    for name, records, *_ in made[0]:
+        parts[name[:11]] = parts.get(name[:11], 0) + records
+    assert 5 < len(parts) < 10 and max(parts.values()) < 25_000  # null ids and the hot id are split
+
+
+def test_two_step_search(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 5, 40):
+        bounds = [f"{2 * i + 1:03}" for i in range(n)]
+        got = spark.range(90).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("k")).select("k", warc.place(F.col("k"), bounds).alias("p")).collect()
+        assert all(r.p == sum(b <= r.k for b in bounds) for r in got)
