@@ -29,7 +29,7 @@ class Rules:
 
 
 def suffix_array(key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and LCP array of many sequences at once, by prefix doubling.
+    """Suffix array and LCP array of many sequences at once, by prefix doubling; memory is linear.
 
     key: a number for each element; last: the position after the sequence's end, for each element. Suffixes end
     with their sequence; an end sorts first. lcp[k] is the length that suffixes sa[k - 1] and sa[k] share, 0 for
@@ -43,7 +43,7 @@ def suffix_array(key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels, h, active = [rank.copy()], 1, None
+    h = 1
     size = np.diff(np.append(np.flatnonzero(new), n))
     active = order[np.repeat(size > 1, size)]
     while len(active):
@@ -58,23 +58,41 @@ def suffix_array(key: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndar
         sub[1:] |= second[1:] != second[:-1]
         spot = np.arange(len(at))
         rank[at] = first + np.maximum.accumulate(np.where(sub, spot, 0)) - np.maximum.accumulate(np.where(group, spot, 0))
-        levels.append(rank.copy())
         h *= 2
         size = np.diff(np.append(np.flatnonzero(sub), len(at)))
         active = at[np.repeat(size > 1, size)]
-    sa = np.empty(n, np.int64)
+    sa = order  # its place is free
     sa[rank] = np.arange(n)
-    lcp = np.zeros(n, np.int64)
+    return sa, common_prefixes(key, last, sa, rank)
+
+
+#: Common prefixes up to this length are compared for all suffixes at once.
+ALL_AT_ONCE = 16
+
+
+def common_prefixes(key: np.ndarray, last: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """LCP array. Prefixes that go beyond ALL_AT_ONCE elements, few in most texts, are measured in the order of
+    the text: a suffix shares at least one element less than the suffix before it, so no element is compared twice."""
+    lcp = np.zeros(len(sa), np.int64)
     pair = 1 + np.flatnonzero(key[sa[1:]] == key[sa[:-1]])
-    a, b = sa[pair - 1].copy(), sa[pair].copy()
-    got = np.zeros(len(pair), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        ok = (a < last[sa[pair - 1]]) & (b < last[sa[pair]])
-        ok[ok] = levels[level][a[ok]] == levels[level][b[ok]]
-        for x in (got, a, b):
-            x[ok] += 1 << level
-    lcp[pair] = got
-    return sa, lcp
+    lcp[pair] = 1
+    for k in range(1, ALL_AT_ONCE):
+        a, b = sa[pair - 1] + k, sa[pair] + k
+        ok = (a < last[a - k]) & (b < last[b - k])
+        ok[ok] = key[a[ok]] == key[b[ok]]
+        pair = pair[ok]
+        lcp[pair] = k + 1
+    keys, shared, before = memoryview(key), 0, -2
+    for i in np.sort(sa[pair]).tolist():
+        at = int(rank[i])
+        j = int(sa[at - 1])
+        shared = max(shared - 1, ALL_AT_ONCE) if i == before + 1 else ALL_AT_ONCE
+        most = min(int(last[i]) - i, int(last[j]) - j)
+        while shared < most and keys[i + shared] == keys[j + shared]:
+            shared += 1
+        lcp[at] = shared
+        before = i
+    return lcp
 
 
 def repeats(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -87,10 +105,9 @@ def repeats(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 def covered(longest: np.ndarray, least: int, width: int | None = None) -> np.ndarray:
     """Elements within the union of the repeats of at least `least` elements (each cut to width, if given)."""
     at = np.flatnonzero(longest >= least)
-    steps_ = np.zeros(len(longest) + 1, np.int64)
-    np.add.at(steps_, at, 1)
-    np.add.at(steps_, at + (longest[at] if width is None else width), -1)
-    return np.cumsum(steps_)[:-1] > 0
+    n = len(longest) + 1
+    begins, ends = np.bincount(at, minlength=n), np.bincount(at + (longest[at] if width is None else width), minlength=n)
+    return np.cumsum(begins - ends)[:-1] > 0
 
 
 def per_doc(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -120,22 +137,21 @@ def measure(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     raw, at = flat(column)
     prefix = prefix_hash(raw)
     w = words(raw, at, prefix=prefix)
-    n_words = np.diff(w.first)
-    key = mixed(w.hash ^ mixed(w.doc.astype(U64) + U64(1)))
-    sa, lcp = suffix_array(key, np.repeat(w.first[1:], n_words))
-    longest = repeats(sa, lcp)
-    starts_char = (raw & 0xC0) != 0x80
-    most = np.zeros(len(n_words), np.int64)
-    np.maximum.at(most, w.doc, longest)
     out = {
-        "n_words": n_words,
-        "word_chars": per_doc(starts_char & ~SPACE[raw], at),
+        "n_words": np.diff(w.first),
+        "word_chars": per_doc(((raw & 0xC0) != 0x80) & ~SPACE[raw], at),
         "n_symbols": per_doc(SYMBOL[raw], at),
         "n_dup_lines": duplicate_lines(raw, at, prefix, w),
-        "n_repeat_words": per_doc(covered(longest, 3, 3), w.first),
-        "n_covered_words": per_doc(covered(longest, rules.min_repeat), w.first),
-        "longest_repeat": most,
     }
+    n_words = out["n_words"]
+    key, doc, first = mixed(w.hash ^ mixed(w.doc.astype(U64) + U64(1))), w.doc, w.first
+    del prefix, w  # the suffix array needs the room
+    longest = repeats(*suffix_array(key, np.repeat(first[1:], n_words)))
+    most = np.zeros(len(n_words), np.int64)
+    np.maximum.at(most, doc, longest)
+    out["n_repeat_words"] = per_doc(covered(longest, 3, 3), first)
+    out["n_covered_words"] = per_doc(covered(longest, rules.min_repeat), first)
+    out["longest_repeat"] = most
     out["base_failed"] = (n_words < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_words_percent * n_words)
     out["kept"] = ~(out["base_failed"] | (100 * out["n_covered_words"] > rules.max_covered_percent * n_words) | (most > rules.max_longest_repeat))
     return out

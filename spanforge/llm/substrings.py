@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.shared import drop, packed, partitions, stage, steps
 from spanforge.llm.suffixes import deep_shallow
-from spanforge.llm.words import U64, flat, mixed, powers, prefix_hash, span_hash
+from spanforge.llm.words import U64, back, flat, mixed, prefix_hash, span_hash
 
 #: Bytes of an anchor; entries that a task packs at a time, and that one part of the index should hold; runs sorted together.
 GRAM, PACK, PART, SORT = 32, 1 << 18, 1 << 19, 20_000
@@ -43,7 +43,7 @@ def runs(raw: np.ndarray, at: np.ndarray, least: int) -> Runs:
         z = np.zeros(0, np.int64)
         return Runs(z, z, z, z, z.astype(U64), z.astype(U64))
     prefix = prefix_hash(raw)
-    gram = (prefix[GRAM:] - prefix[:-GRAM]) * powers(n + 1)[1][: n + 1 - GRAM]
+    gram = (prefix[GRAM:] - prefix[:-GRAM]) * back(np.arange(n + 1 - GRAM))
     low = ((gram * U64(0xD6E8FEB86659FD93)) & U64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=U64)
     wide = 1
     while wide * 2 <= span:

@@ -32,21 +32,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 TABLE = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least; the last size is kept."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
+#: BASE**i for i < 2**16, and the same of its inverse; higher powers are products of one of these and one of _high.
+CHUNK = 1 << 16
+LOW = []
+for _base in (BASE, BASE_INVERSE):
+    _x = np.full(CHUNK, _base, U64)
+    _x[0] = 1
+    LOW.append(np.multiply.accumulate(_x))
+_high: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def high_powers(chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**(CHUNK * i) and its inverse for i < chunks at least; the last size is kept."""
+    size = 1 << max(8, (chunks - 1).bit_length())
+    if size not in _high:
+        _high.clear()
         both = []
         for base in (BASE, BASE_INVERSE):
-            x = np.full(size, base, U64)
+            x = np.full(size, pow(base, CHUNK, 1 << 64), U64)
             x[0] = 1
             both.append(np.multiply.accumulate(x))
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
+        _high[size] = (both[0], both[1])
+    return _high[size]
+
+
+def back(at: np.ndarray) -> np.ndarray:
+    """BASE**-i for each position."""
+    high = high_powers((int(at.max()) >> 16) + 1 if len(at) else 1)[1]
+    return LOW[1][at & (CHUNK - 1)] * high[at >> 16]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,15 +76,23 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
+    """8 bytes for each byte, and no more while it is made."""
     out = np.zeros(len(raw) + 1, U64)
-    np.cumsum(TABLE[raw] * powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
+    x = out[1:]
+    x[:] = TABLE[raw] if len(raw) <= 16 * CHUNK else 0
+    high = high_powers(-(-len(raw) // CHUNK) or 1)[0]
+    for i, at in enumerate(range(0, len(raw), CHUNK)):
+        part = x[at : at + CHUNK]
+        if len(raw) > 16 * CHUNK:
+            part[:] = TABLE[raw[at : at + CHUNK]]
+        part *= LOW[0][: len(part)] * high[i] if i else LOW[0][: len(part)]
+    np.cumsum(x, out=x)
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of the bytes [start, end) of the text that prefix was made from."""
-    back = powers(len(prefix))[1]
-    return mixed((prefix[end] - prefix[start]) * back[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mixed((prefix[end] - prefix[start]) * back(start) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 @dataclass
