@@ -6,6 +6,7 @@ import functools
 import re
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +57,7 @@ TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 GAP = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none")
+DISPLAY = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?")
 VISIBILITY = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)")
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 KEEP_SPACE = re.compile(r"(?i)(?:^|;)\s*white-space\s*:\s*(?:pre|break-spaces)")
@@ -73,6 +74,14 @@ class Node:
         self.tag, self.attributes, self.children, self.veiled, self.foreign = tag, attributes, [], veiled, foreign
 
 
+def opens_value(html: str, first: int, at: int) -> bool:
+    """Whether the character at `at` follows an equals sign, white space between."""
+    at -= 1
+    while at >= first and html[at] in " \t\n\r\f":
+        at -= 1
+    return at >= first and html[at] == "="
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes): kinds are text, raw (text as it stands), start and end."""
     at, n = 0, len(html)
@@ -91,10 +100,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             at = n if end < 0 else end + 1
         elif m := TAG.match(html, cut):
             end = m.end()
+            unclosed = ""  # quotes that don't come again, so that the page is searched to its end for each once only
             while (s := STOP.search(html, end)) and s[0] != ">":
-                close = html.find(s[0], s.end())
+                close = -1 if s[0] in unclosed else html.find(s[0], s.end())
+                unclosed += s[0] if close < 0 else ""
                 # A quote that opens no value, or never closes, is an ordinary character.
-                end = close + 1 if close >= 0 and html[: s.start()].endswith("=") or close >= 0 and html[max(m.end(), s.start() - 8) : s.start()].rstrip().endswith("=") else s.end()
+                end = close + 1 if close >= 0 and opens_value(html, m.end(), s.start()) else s.end()
             at = s.end() if s else n
             name = m[1].lower()
             if html[cut + 1] == "/":
@@ -187,9 +198,18 @@ def tree(html: str) -> Node:
     return root
 
 
+def displayed(style: str) -> str:
+    """The value of display that holds: the last one, or the last important one; empty if there is none."""
+    found = DISPLAY.findall(style)
+    return ([v for v, important in found if important] or [v for v, _ in found] or [""])[-1].lower()
+
+
 def shown(node: Node, parent: Node | None) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN or a and ("hidden" in a or "style" in a and UNSEEN.search(a["style"])):
+    if node.tag in HIDDEN:
+        return False
+    display = displayed(a["style"]) if a and "style" in a else ""
+    if display == "none" or "hidden" in a and not display:  # an author's display overrides the attribute
         return False
     if parent is not None and parent.foreign and (node.tag in UNDRAWN or a.get("display", "").strip().lower() == "none"):
         return False
@@ -334,6 +354,11 @@ def element(node: Node, page: Page, keep: bool, depth: int) -> None:
             page.block(tag in SPACED)
 
 
+def wide(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for marks that join the one before."""
+    return len(text) if text.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def span(a: dict[str, str], name: str, most: int) -> int:
     value = a.get(name, "1").strip()
     return min(most, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
@@ -389,7 +414,7 @@ def table(node: Node, depth: int) -> list[str]:
     for cells in rows:
         for i, (column, lines) in enumerate(cells):
             if i + 1 < len(cells):
-                width[column] = max(width.get(column, 0), *(min(WIDEST, len(x)) for x in lines or [""]))
+                width[column] = max(width.get(column, 0), *(min(WIDEST, wide(x)) for x in lines or [""]))
     left: dict[int, int] = {}
     total = 0
     for column in sorted(set(width) | {c for cells in rows for c, _ in cells}):
@@ -401,7 +426,8 @@ def table(node: Node, depth: int) -> list[str]:
             line = ""
             for column, lines in cells:
                 if i < len(lines) and lines[i]:
-                    line = (line + GUTTER if len(line) > left[column] - len(GUTTER) and line else line).ljust(left[column]) + lines[i]
+                    line += GUTTER if wide(line) > left[column] - len(GUTTER) and line else ""
+                    line += " " * (left[column] - wide(line)) + lines[i]
             out.append(line.rstrip())
     return out
 
@@ -434,8 +460,10 @@ def deep() -> None:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, title (null if none), text, n_chars and n_lines of every page.
 
-    Null and empty pages give an empty text. Ids may be null or repeat; other columns are not read. No shuffle;
-    memory goes with the longest page.
+    Null and empty pages give an empty text. Ids may be null or repeat, and rows that are alike give rows that are
+    alike; other columns, whatever their names, are not read. Text between the cells of a table stands before the
+    table, where browsers put it. No shuffle; time and memory go with the length of a page, and a very long one is
+    a step of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
