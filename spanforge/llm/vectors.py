@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 from spanforge.llm.components import components
 from spanforge.llm.shared import partitions, stage
 
-#: Vectors of a cell's block, which a task holds while the others stream by; pivots at most.
-BLOCK, MOST_PIVOTS = 4096, 1024
-SLACK = 1e-9
+#: Vectors, and bytes of them, of a cell's block, which a task holds while the others stream by.
+BLOCK, BLOCK_BYTES = 1 << 16, 32 << 20
+#: Vectors of a cell that is worth a pivot; pivots at most; leading numbers of a vector that are compared before the whole.
+CELL, MOST_PIVOTS, HEAD = 4096, 256, 12
+#: Rows of one side that are multiplied at a time.
+STRIDE = 1024
+
+
+def slack(size: int) -> float:
+    """More than the rounding error of a distance worked out as sqrt(2 - 2 xy) from unit vectors of `size` numbers.
+
+    A product of unit vectors is off by (size + 8) * 2**-53 at most, normalising included; under the root that is
+    largest near 0, where it becomes its own root.
+    """
+    return 2 * float(np.sqrt(2 * (size + 8) * 2.0**-52))
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -22,6 +34,13 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def headed(x: np.ndarray) -> np.ndarray:
+    """The first HEAD numbers of each vector, and the length of the rest: products of these are never below those
+    of the whole vectors, as the rest's product is at most the product of its lengths (Cauchy-Schwarz)."""
+    k = min(HEAD, x.shape[1])
+    return np.concatenate([x[:, :k], np.linalg.norm(x[:, k:], axis=1)[:, None]], axis=1)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector as doubles, size) of the rows whose vector can have a cosine."""
     v = vectors[vector_col]
@@ -44,14 +63,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Pivots:
-    """The pivots of each vector length, and the bound that says into which cells a vector must go."""
+    """The pivots of each vector length, and the bounds that say into which cells a vector must go."""
 
     def __init__(self, rows: list, radius: float) -> None:
-        self.radius, self.by = radius, {}
+        self.radius, self.by, self.rings = radius, {}, {}
         for size in {r["size"] for r in rows}:
             x = unit([bytes(r["vector"]) for r in rows if r["size"] == size])
-            apart = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
-            self.by[size] = (x, apart)
+            self.by[size] = (x, np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)))
 
     def home(self, size: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the nearest pivot of each vector, and the distances to all."""
@@ -59,14 +77,23 @@ class Pivots:
         return distance.argmin(1), distance
 
     def reach(self, size: int, home: np.ndarray, distance: np.ndarray) -> np.ndarray:
-        """Which other cells may hold a vector within the radius of x.
+        """Which cells may hold a vector within the radius of x.
 
-        If y is there, d(y, q) <= d(y, p), so d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2 r. As distances
-        are Euclidean, x must also lie within r of the plane halfway between p and q.
+        If y is in the cell of q, d(y, q) <= d(y, p) for every p, so with r the radius d(x, q) <= d(x, p) + 2 r;
+        as distances are Euclidean, x also lies within r of the plane halfway between p and q. And for every pivot
+        p, |d(x, p) - d(y, p)| <= r, so x lies within r of the ring of the cell's distances to p.
         """
+        r = self.radius + slack(10 * size)
         own = distance[np.arange(len(home)), home][:, None]
         apart = self.by[size][1][home]
-        return (distance <= own + 2 * self.radius + SLACK) & (distance**2 - own**2 <= 2 * apart * self.radius + SLACK)
+        out = (distance <= own + 2 * r) & (distance**2 - own**2 <= 2 * apart * r + 2 * slack(size))
+        if size in self.rings:
+            low, high = self.rings[size]  # by cell and pivot
+            for q in range(out.shape[1]):
+                at = np.flatnonzero(out[:, q])
+                d = distance[at]
+                out[at, q] = ((d >= low[q] - r) & (d <= high[q] + r)).all(1)
+        return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -74,41 +101,56 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
 
     Equal vectors are one class that is compared once; members link with each other and with what the class
     links with. Classes go to the cell of their nearest pivot and, where the triangle inequality allows a
-    partner, to other cells as guests; each pair of cells meets in one of them. A cell of more than BLOCK
-    members is cut into blocks, each a task's share of its own. Tasks stream the guests past their block and
-    return counts and a spanning set of the links, never all pairs of a group.
+    partner, to other cells as guests; each pair of cells meets in one of them. Of a cell the least and largest
+    distance to every pivot are known, so all pivots say whether a vector must go there. A cell is cut into blocks
+    of BLOCK vectors, each a task's share of its own. Tasks stream the guests past their block; of two vectors the
+    first numbers and the lengths of the rest tell whether they can be near, before the whole is multiplied.
+    They return counts and a spanning set of the links, never all pairs of a group.
 
     Null, zero and non-finite vectors, and vectors with null components, have no links and are their own
     component; so have vectors of different lengths none with each other. A null id takes part; its row's
     component is the least id that is not null. Rows with the same id are distinct vectors whose component is
-    one. On data without clusters no metric bound can prune, and the join then compares all pairs of classes.
+    one. Other columns, whatever their names, are not read; an empty table gives no rows. On data without clusters
+    no metric bound can keep cells apart: each class is then sent to each block, though only few pairs are
+    multiplied as a whole.
     """
     spark = vectors.sparkSession
     rows, _ = stage(usable(vectors, id_col, vector_col), "vectors")
     classes, _ = stage(rows.groupBy("size", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes")
     number = classes.count()
     radius = float(np.sqrt(2 - 2 * threshold))
-    wanted = min(MOST_PIVOTS, max(1, -(-number // BLOCK)))
-    pivots = Pivots(classes.select("size", "vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect() if number else [], radius)
-    sizes = list(pivots.by)
-    missing = classes.where(~F.col("size").isin(sizes)).select("size").distinct() if sizes else None
-    if missing is not None and (others := [r["size"] for r in missing.collect()]):  # a pivot for each further length
-        firsts = [classes.where(F.col("size") == s).select("size", "vector").orderBy(F.xxhash64("vector"), "vector").first() for s in others]
-        extra = Pivots(firsts, radius)
-        pivots.by |= extra.by
+    order = F.struct(F.xxhash64("vector").alias("hash"), "vector")
+    wanted = min(MOST_PIVOTS, max(1, -(-number // min(CELL, BLOCK))))
+    # The first in the order of a hash, and one at least for each length of vectors.
+    first = classes.select("size", "vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()
+    every = classes.groupBy("size").agg(F.min(order).alias("first")).select("size", "first.vector").collect()
+    pivots = Pivots([*first, *(r for r in every if r["size"] not in {f["size"] for f in first})], radius)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each cell: members, and its least and largest distances to the pivots, by task."""
+        held: dict = {}
         for batch in batches:
             size = batch.column(0).to_numpy()
-            out = np.zeros(len(size), np.int32)
             raw = batch.column(1).to_pylist()
-            for s in np.unique(size):
-                at = np.flatnonzero(size == s)
-                out[at] = pivots.home(int(s), unit([raw[i] for i in at]))[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), batch.column(2)], ["size", "home", "class"])
-
-    counted = classes.select("size", "vector", "class").mapInArrow(homes, "size int, home int, class bigint").groupBy("size", "home").count().collect()
-    blocks = {(r["size"], r["home"]): -(-r["count"] // BLOCK) for r in counted}
+            for s in np.unique(size).tolist():
+                home, distance = pivots.home(s, unit([raw[i] for i in np.flatnonzero(size == s)]))
+                for q in np.unique(home).tolist():
+                    d = distance[home == q]
+                    n, low, high = held.get((s, q), (0, np.inf, -np.inf))
+                    held[s, q] = n + len(d), np.minimum(low, d.min(0)), np.maximum(high, d.max(0))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((s, q, n, low, high) for (s, q), (n, low, high) in held.items()), strict=True), [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 2], strict=True)], ["size", "home", "n", "low", "high"])
+
+    rings = classes.select("size", "vector").mapInArrow(homes, "size int, home int, n bigint, low array<double>, high array<double>")
+    spots = rings.select("size", "home", "n", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "d"))
+    cells = spots.groupBy("size", "home", "pivot").agg(F.sum("n").alias("n"), F.min("d.low").alias("low"), F.max("d.high").alias("high")).collect()
+    blocks: dict = {}
+    for s, (x, _) in pivots.by.items():
+        pivots.rings[s] = np.full((len(x), len(x)), np.inf), np.full((len(x), len(x)), -np.inf)  # a cell without members: none
+    for c in cells:
+        low, high = pivots.rings[c["size"]]
+        low[c["home"], c["pivot"]], high[c["home"], c["pivot"]] = c["low"], c["high"]
+        blocks[c["size"], c["home"]] = -(-c["n"] // min(BLOCK, max(1, BLOCK_BYTES // (8 * c["size"]))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block in which a class is a host (role 0) or a guest (role 1)."""
@@ -148,8 +190,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                     if cell is not None:
                         yield from cell.done()
                     cell = Cell(tuple(key[:3, a]), threshold)
-                for c in range(a, b, 1024):
-                    d = min(b, c + 1024)
+                for c in range(a, b, STRIDE):
+                    d = min(b, c + STRIDE)
                     part = (number_[c:d], copies[c:d], unit(raw[c:d]))
                     if role[a] == 0:
                         cell.hosts.append(part)
@@ -189,6 +231,7 @@ class Cell:
 
     def __init__(self, key: tuple, threshold: float) -> None:
         self.key, self.threshold, self.hosts, self.ready = key, threshold, [], False
+        self.compared = 0  # pairs multiplied as a whole
 
     def begin(self) -> None:
         if not self.ready:
@@ -197,16 +240,31 @@ class Cell:
             self.x = np.concatenate([h[2] for h in self.hosts]) if self.hosts else np.zeros((0, 1))
             self.n = np.zeros(len(self.number), np.int64)
             self.parent, self.ready, self.hosts = list(range(len(self.number))), True, []
-            for a in range(0, len(self.x), 1024):
-                hit = self.linked(self.x[a : a + 1024], self.x[: a + 1024])  # those before, themselves included
-                i, j = np.nonzero(hit)
+            self.head = headed(self.x)
+            for a in range(0, len(self.x), STRIDE):
+                i, j = self.linked(self.x[a : a + STRIDE], a + STRIDE)  # those before, themselves included
                 i, j = (i + a)[i + a > j], j[i + a > j]
                 np.add.at(self.n, i, self.copies[j])
                 np.add.at(self.n, j, self.copies[i])
                 self.join(i, j)
 
-    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return x @ y.T >= self.threshold
+    def linked(self, x: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x and among the hosts before `end` of the pairs that link, sorted."""
+        found, head = [], headed(x)
+        least = self.threshold - 2.0**-40  # far more than products are off by
+        for b in range(0, len(self.x) if end is None else min(end, len(self.x)), 8 * STRIDE):
+            y = self.x[b : min(b + 8 * STRIDE, end or len(self.x))]
+            i, j = np.nonzero(head @ self.head[b : b + len(y)].T >= least)
+            self.compared += len(i)
+            if 8 * len(i) > len(x) * len(y):  # many: all of them at once
+                i, j = np.nonzero(x @ y.T >= self.threshold)
+            elif len(i):
+                near = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) >= self.threshold
+                i, j = i[near], j[near]
+            found.append((i, j + b))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        by = np.lexsort((j, i))
+        return i[by], j[by]
 
     def root(self, i: int) -> int:
         parent = self.parent
@@ -225,7 +283,7 @@ class Cell:
         self.begin()
         if not len(self.number):
             return
-        i, j = np.nonzero(self.linked(x, self.x))
+        i, j = self.linked(x)
         if not len(i):
             return
         np.add.at(self.n, j, copies[i])
