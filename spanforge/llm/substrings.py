@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.shared import drop, packed, partitions, stage, steps
+from spanforge.llm.shared import STEP_BYTES, drop, packed, partitions, stage, steps
 from spanforge.llm.suffixes import deep_shallow
-from spanforge.llm.words import U64, back, flat, mixed, prefix_hash, span_hash
+from spanforge.llm.words import U64, flat, mixed, prefix_hash, scale, span_hash
 
 #: Bytes of an anchor; entries that a task packs at a time, and that one part of the index should hold; runs sorted together.
 GRAM, PACK, PART, SORT = 32, 1 << 18, 1 << 19, 20_000
 
+#: Runs of one anchor beyond which they are dealt on by more of their bytes, and the offsets of a part of them then.
+HOT, OFFSETS = 1000, 8
+
 #: A run of windows with one anchor: `size` bytes from `start` on, the anchor `off` bytes behind it.
 ENTRY = np.dtype([("key", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("size", "<u2"), ("off", "<u2"), ("twice", "<u4")])
 
@@ -43,7 +46,8 @@ def runs(raw: np.ndarray, at: np.ndarray, least: int) -> Runs:
         z = np.zeros(0, np.int64)
         return Runs(z, z, z, z, z.astype(U64), z.astype(U64))
     prefix = prefix_hash(raw)
-    gram = (prefix[GRAM:] - prefix[:-GRAM]) * back(np.arange(n + 1 - GRAM))
+    gram = prefix[GRAM:] - prefix[:-GRAM]
+    scale(gram, inverse=True)
     low = ((gram * U64(0xD6E8FEB86659FD93)) & U64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=U64)
     wide = 1
     while wide * 2 <= span:
@@ -70,6 +74,17 @@ def runs(raw: np.ndarray, at: np.ndarray, least: int) -> Runs:
     return Runs(doc, first - at[doc], stop - first, a - first, mixed(gram[a]), span_hash(prefix, first, stop))
 
 
+def sections(raw: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, raw, at): texts as they are, but a very long one in sections, which share the bytes that windows
+    across their edges need, so that each window lies in one section and memory doesn't go with the text."""
+    if len(at) > 2 or len(raw) <= 2 * STEP_BYTES:
+        yield 0, raw, at
+        return
+    for first in range(0, len(raw) - least + 1, STEP_BYTES):
+        cut = raw[first : first + STEP_BYTES + least - 1]
+        yield first, cut, np.array([0, len(cut)])
+
+
 ENTRIES = "part bigint, doc bigint, text bigint, a int, b int, entries binary"
 
 
@@ -105,15 +120,16 @@ def entries(texts: DataFrame, least: int, parts: int) -> DataFrame:
 
         for batch in steps(batches, 2):
             raw, at = flat(batch.column(2))
-            r = runs(raw, at, least)
-            e = np.zeros(len(r.doc), ENTRY)
-            for name, x in (("key", r.key), ("run", r.run), ("doc", batch.column(0).to_numpy()[r.doc]), ("text", batch.column(1).to_numpy()[r.doc]), ("start", r.start), ("size", r.size), ("off", r.off)):
-                e[name] = x
-            held.append(e)
-            n += len(e)
-            if n >= PACK:
-                yield from sent()
-                held, n = [], 0
+            for first, cut, cut_at in sections(raw, at, least):
+                r = runs(cut, cut_at, least)
+                e = np.zeros(len(r.doc), ENTRY)
+                for name, x in (("key", r.key), ("run", r.run), ("doc", batch.column(0).to_numpy()[r.doc]), ("text", batch.column(1).to_numpy()[r.doc]), ("start", r.start + first), ("size", r.size), ("off", r.off)):
+                    e[name] = x
+                held.append(e)
+                n += len(e)
+                if n >= PACK:
+                    yield from sent()
+                    held, n = [], 0
         if n:
             yield from sent()
 
@@ -164,16 +180,34 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from one()
 
 
-CUTS = "key bigint, doc bigint, text bigint, a int, off int, whole boolean, bytes binary"
+CUTS = "key bigint, low int, doc bigint, text bigint, a int, off int, whole boolean, bytes binary"
 
 
-def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs that are to be compared."""
+def cuts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs that are to be compared, under the key of those that they are to be compared with.
+
+    Windows with the anchor at offsets low to high share low bytes before it and least - GRAM - high bytes behind
+    it. So the runs of an anchor that has many are dealt on by these bytes, once for each OFFSETS offsets that they
+    have, and only runs that share all but a few bytes of a window still meet. Other anchors' runs meet as they are,
+    with low = -1, for all offsets.
+    """
     for batch in steps(batches, 2):
         doc, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[tuple] = []
         for i, (raw, spots) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            out += [(x["key"], doc[i], text[i], x["a"], x["off"], x["whole"], raw[x["a"] : x["b"]]) for x in spots]
+            for x in spots:
+                a, b, off = x["a"], x["b"], x["off"]
+                row = (doc[i], text[i], a, off, x["whole"], raw[a:b])
+                if not x["hot"]:
+                    out.append((x["key"], -1, *row))
+                    continue
+                for low in range((off - (b - a - least)) // OFFSETS * OFFSETS, off + 1, OFFSETS):
+                    high, at = min(low + OFFSETS - 1, least - GRAM), a + off
+                    around = b"%d %d " % (x["key"], low) + raw[max(a, at - low) : at + least - high]
+                    out.append((int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little", signed=True), low, *row))
+            if len(out) > 10_000:
+                yield batch_of([list(c) for c in zip(*out, strict=True)], CUTS)
+                out = []
         if out:
             yield batch_of([list(c) for c in zip(*out, strict=True)], CUTS)
 
@@ -188,8 +222,9 @@ def classes(order: np.ndarray, common: np.ndarray, wanted: int) -> np.ndarray:
     return out
 
 
-def compared(key: list[int], off: np.ndarray, runs_: list[bytes], least: int) -> Iterator[tuple[int, int, int]]:
-    """(run, first, end) of the windows that repeat in another run of the same key; key is sorted.
+def compared(key: list, off: np.ndarray, runs_: list[bytes], least: int, part: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(run, first, end) of the windows that repeat in another run of the same key; key is sorted. Of runs with
+    a part (not -1) only the OFFSETS offsets from it on are looked at.
 
     Runs of a key are sorted by what follows the anchor's begin and, read backwards, by what precedes it. Two
     windows that begin o bytes before the anchor are equal if the runs lie together in both orders: to a depth
@@ -213,10 +248,12 @@ def compared(key: list[int], off: np.ndarray, runs_: list[bytes], least: int) ->
             at = end
         sorted_.append((np.array(order), np.array(common)))
     size = np.array([len(b) for b in runs_])
-    low = off - (size - least)  # the offsets of a run's windows are low..off
+    low, high = off - (size - least), off  # the offsets of a run's windows
+    if part is not None:
+        low, high = np.where(part < 0, low, np.maximum(low, part)), np.where(part < 0, high, np.minimum(high, part + OFFSETS - 1))
     again = np.zeros((n, least - GRAM + 2), bool)
     for o in range(least - GRAM + 1):
-        here = np.flatnonzero((low <= o) & (o <= off))
+        here = np.flatnonzero((low <= o) & (o <= high))
         if len(here) < 2:
             continue
         c = classes(*sorted_[0], least - o)[here] * (n + 1) + classes(*sorted_[1], o)[here]
@@ -237,16 +274,17 @@ def spans_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     held: list[tuple] = []
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, doc, text, start, off, whole, raw = (list(c) for c in zip(*rows, strict=True))
-        out = [(doc[r], text[r], start[r] + a, start[r] + b) for r, a, b in compared(key, np.array(off), raw, least) if not whole[r]]
+        key, low, doc, text, start, off, whole, raw = (list(c) for c in zip(*rows, strict=True))
+        found = compared(list(zip(key, low, strict=True)), np.array(off), raw, least, np.array(low))
+        out = [(doc[r], text[r], start[r] + a, start[r] + b) for r, a, b in found if not whole[r]]
         if out:
             yield batch_of([list(c) for c in zip(*out, strict=True)], SPANS)
 
-    for batch in steps(batches, 6):
+    for batch in steps(batches, 7):
         held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
         if len(held) >= SORT:
             cut = len(held) - 1
-            while cut and held[cut - 1][0] == held[-1][0]:
+            while cut and held[cut - 1][:2] == held[-1][:2]:
                 cut -= 1
             if cut:
                 yield from one(held[:cut])
@@ -271,9 +309,11 @@ def repeated_spans(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     flagged, flagged_path = stage(sorted_.where("part is not null").select("part", "entries").repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(judged, FLAGGED), "flagged")
     known, known_path = stage(sorted_.where("part is null").select("doc", "text", "a", "b"), "known")
     drop(spark, packed_path)
-    wanted = flagged.where("compare").groupBy("doc", "text").agg(F.collect_list(F.struct("a", "b", "off", "key", "whole")).alias("spots"))
-    cut = texts.join(wanted, ["doc", "text"]).select("doc", "text", "raw", "spots").mapInArrow(cuts, CUTS)
-    dealt = cut.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    several = flagged.where("compare")
+    hot = several.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+    wanted = several.join(hot, "key", "left").groupBy("doc", "text").agg(F.collect_list(F.struct("a", "b", "off", "key", "whole", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
+    cut = texts.join(wanted, ["doc", "text"]).select("doc", "text", "raw", "spots").mapInArrow(lambda batches: cuts(batches, least), CUTS)
+    dealt = cut.repartition(partitions(spark), "key", "low").sortWithinPartitions("key", "low")
     found, found_path = stage(dealt.mapInArrow(lambda batches: spans_of(batches, least), SPANS), "spans")
     spans = known.unionAll(flagged.where("whole").select("doc", "text", "a", "b")).unionAll(found)
     out, _ = stage(spans.distinct().groupBy("doc", "text").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
@@ -300,13 +340,15 @@ def removal(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, judged on the input as it is.
 
     The windows of `least` bytes are gathered to runs of one anchor; runs without a partner of the same anchor
-    go at once, equal runs are settled by 128 bits of hashes, and the rest are suffix-sorted within their anchor
-    by deep-shallow sorting, which decides each window exactly. Anchors deal the work out; no text is compared
-    with all others.
+    go at once, runs that are equal as a whole are settled by 128 bits of hashes of their bytes and their anchors,
+    and the rest are suffix-sorted within their anchor by deep-shallow sorting, which decides each of their windows
+    by its bytes. Anchors deal the work out, and hot ones are dealt on by the bytes around them; no text is
+    compared with all others.
 
     Null and shorter texts lose nothing. Matches never cross rows. A row that occurs twice is removed in both
     places, as each is elsewhere for the other; ids may be null or repeat. Removal may cut a character: what is
-    left is bytes.
+    left is bytes. A very long text is a step of its own and worked through in sections. Other columns,
+    whatever their names, are not read; an empty table gives no rows.
     """
     doc, text = with_keys(docs, id_col, text_col)
     spans = repeated_spans(docs, least, id_col, text_col)

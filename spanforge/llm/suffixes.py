@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Depth that quicksort goes to beyond what is known to be shared, and the group size that goes to a trie at once.
-SHALLOW, FEW = 16, 24
+SHALLOW, FEW = 16, 2
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -72,7 +72,7 @@ def deep_shallow(texts: list[bytes], which: list[int], depth: int = 0) -> tuple[
     """Order of the given texts, which share their first `depth` bytes, and what each shares with the one before.
 
     A ternary quicksort by one byte at a time, smaller, equal and larger; groups that still share the shallow
-    depth, or that are few, are ordered by a blind trie.
+    depth, and pairs, are ordered by a blind trie.
     """
     limit = depth + SHALLOW
     order: list[int] = []

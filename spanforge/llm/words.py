@@ -56,6 +56,14 @@ def high_powers(chunks: int) -> tuple[np.ndarray, np.ndarray]:
     return _high[size]
 
 
+def scale(x: np.ndarray, inverse: bool = False) -> None:
+    """Multiply each x[i] by BASE**i, or divide by it, in place."""
+    low, high = LOW[inverse], high_powers(-(-len(x) // CHUNK) or 1)[inverse]
+    for i, at in enumerate(range(0, len(x), CHUNK)):
+        part = x[at : at + CHUNK]
+        part *= low[: len(part)] * high[i] if i else low[: len(part)]
+
+
 def back(at: np.ndarray) -> np.ndarray:
     """BASE**-i for each position."""
     high = high_powers((int(at.max()) >> 16) + 1 if len(at) else 1)[1]
@@ -79,13 +87,8 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """8 bytes for each byte, and no more while it is made."""
     out = np.zeros(len(raw) + 1, U64)
     x = out[1:]
-    x[:] = TABLE[raw] if len(raw) <= 16 * CHUNK else 0
-    high = high_powers(-(-len(raw) // CHUNK) or 1)[0]
-    for i, at in enumerate(range(0, len(raw), CHUNK)):
-        part = x[at : at + CHUNK]
-        if len(raw) > 16 * CHUNK:
-            part[:] = TABLE[raw[at : at + CHUNK]]
-        part *= LOW[0][: len(part)] * high[i] if i else LOW[0][: len(part)]
+    np.take(TABLE, raw, out=x, mode="clip")  # no copy, as bytes are never out of range
+    scale(x)
     np.cumsum(x, out=x)
     return out
 
