@@ -55,8 +55,9 @@ def cut_at_spaces(path: str) -> bool:
 def whole_tokens(path: str) -> frozenset[str]:
     """The vocabulary strings, in the byte alphabet and without the word end, proved to encode alone as one token.
 
-    Each is proved by running the library on it: it must be one pre-token, and the model must give just its id.
-    A pre-token is encoded without regard to what surrounds it, so the proof holds in every text.
+    Each is proved by running the library's model on it, which must give just its id. The model encodes a
+    pre-token without regard to what surrounds it, so the proof holds wherever the string is a whole pre-token;
+    only pre-tokens are looked up here.
     """
     t = tokenizer(path)
     with open(path, encoding="utf-8") as file:
@@ -71,8 +72,10 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(proved)
 
 
-#: Letters of ASCII and Latin-1, then marks that never join letters or digits in a pre-token: two parts, each on its own.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([.,!?;:|()]*)")
+#: The pre-tokens of a word of ASCII, without the apostrophe, and letters of Latin-1: runs of letters, single digits,
+#: runs of marks. Each is encoded on its own.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+ALL_PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -106,9 +109,14 @@ class WordCache(dict):
         if got is None:
             if word.isalpha():  # bytes.isalpha: ASCII letters only, which stand for themselves
                 got = self.piece(word.lower().decode())
-            elif m := PLAIN.fullmatch(word):
-                letters, marks = m.groups()
-                got = self[letters] + self[marks] if letters and marks else self.piece(word.decode().lower().encode().decode("latin-1").translate(BYTES))
+            elif ALL_PLAIN.fullmatch(word) and b"<|" not in word:  # those may hold a special string
+                parts = PLAIN.findall(word)
+                if len(parts) == 1:
+                    got = self.piece(word.decode().lower().encode().decode("latin-1").translate(BYTES))
+                else:
+                    got = self[parts[0]]
+                    for part in parts[1:]:
+                        got += self[part]
             else:
                 got = self.odd(word)
         if len(self) >= CACHE_WORDS // 2:
