@@ -31,6 +31,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes are integers, not null; loops and repeated edges don't matter. Rounds end when the edges, which by
     then tie each node to the least of its component, no longer change. The result is a staged table.
     """
+    return components_staged(edges, a, b)[0]
+
+
+def components_staged(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
+    """components(), and the path of its table."""
     spark = edges.sparkSession
     now, path = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
@@ -42,4 +47,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if new == mark:
             break
         mark = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), path

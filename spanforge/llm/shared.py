@@ -54,21 +54,38 @@ def stage(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again, which cuts its lineage; also the path, for drop()."""
     spark = df.sparkSession
     path = stage_path(spark, name)
+    staged_paths(spark).add(path)
     with small_batches(spark):
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
+def drop(spark: SparkSession, *paths: str, collect: bool = False) -> None:
     """Delete staged tables that nothing reads any more.
 
-    Spark deletes the shuffle files behind them once the driver's garbage is collected, so that is asked for.
+    Spark deletes the shuffle files behind them once the driver's garbage is collected, which may be half an hour
+    later; with collect that is asked for at once, where much has been shuffled.
     """
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    jvm.System.gc()
+        staged_paths(spark).discard(path)
+    if collect:
+        jvm.System.gc()
+
+
+_staged: dict[str, set[str]] = {}
+
+
+def staged_paths(spark: SparkSession) -> set[str]:
+    """Tables that this application has staged and not yet deleted."""
+    return _staged.setdefault(spark.sparkContext.applicationId, set())
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that is still staged: to be called once the results that read it have been written."""
+    drop(spark, *list(staged_paths(spark)), collect=True)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

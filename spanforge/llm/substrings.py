@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from spanforge.llm.shared import STEP_BYTES, drop, packed, partitions, stage, steps
 from spanforge.llm.suffixes import deep_shallow
@@ -294,8 +295,11 @@ def spans_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """Two numbers that name a row: its id (null: 0) and a hash of its text. Rows that share both are alike."""
-    return F.coalesce(docs[id_col].cast("long"), F.lit(0)), F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))
+    """Two numbers that name a row: its id (null: 0; no whole number: a hash) and a hash of its text. Rows that
+    share both are alike."""
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    number = docs[id_col].cast("long") if whole else F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col]))
+    return F.coalesce(number, F.lit(0)), F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))
 
 
 def repeated_spans(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
