@@ -192,7 +192,7 @@ def label_counts(v: Views) -> DataFrame:
 
 @query(sql("SELECT path, number FROM modifies JOIN file USING (path)"))
 def file_prs(v: Views) -> DataFrame:
-    return v.modifies.join(v.file.select("path"), "path").select("path", "number")
+    return graph.file_pull_requests(v.modifies, v.file)
 
 
 @query(sql("SELECT number, path, dst AS block FROM modifies JOIN file USING (path) LEFT JOIN (SELECT DISTINCT src, dst FROM defines) ON src = path"))
@@ -228,7 +228,7 @@ def stem_importers(v: Views) -> DataFrame:
 @query(sql("""SELECT d.src AS path, count(DISTINCT c.src) AS callers FROM defines d JOIN calls c ON c.repo_id = d.repo_id AND c.dst = d.dst AND c.src <> d.src GROUP BY 1"""))
 def function_callers(v: Views) -> DataFrame:
     shape = lambda x: x.select(F.col("src").alias("path"), F.col("dst").alias("name"), "repo_id")
-    return impact.callers(v.file, shape(v.defines), shape(v.calls)).groupBy(F.col("changed").alias("path")).agg(F.count(F.lit(1)).alias("callers"))
+    return impact.caller_counts(v.file, shape(v.defines), shape(v.calls)).select(F.col("changed").alias("path"), "callers")
 
 
 @query(sql("""SELECT d.repo_id, d.path AS changed, count(DISTINCT i.path) AS importers FROM idef d JOIN iimp i

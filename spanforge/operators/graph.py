@@ -1,4 +1,4 @@
-"""Property graph: building, traversal, statistics."""
+"""Property graph: building, traversal, statistics."""
 
 from __future__ import annotations
 
@@ -35,13 +35,19 @@ def contains(repositories: DataFrame, files: DataFrame) -> DataFrame:
 def traverse(all_edges: DataFrame, start: DataFrame, depth: int = 1, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) reachable over at most `depth` edges of the types, in either direction.
 
-    Nodes are (label, repo_id, id). Each hop joins the edges with the newest nodes only; what was met before is
-    taken out again by an anti-join, so hops don't grow by walks that come back.
+    Nodes are (label, repo_id, id), so a walk stays in its repository although others have equal paths; a start
+    (label, repo, id) with an empty repo stands for the nodes of that name in all repositories. Each hop joins the
+    edges with the newest nodes only; what was met before is taken out again by an anti-join, so hops don't grow
+    by walks that come back.
     """
     e = all_edges.where(F.col("type").isin(allowed(types)))
-    ends = lambda x: F.struct(F.col(f"{x}_label").alias("label"), F.when(F.col(f"{x}_label") == "File", F.lit("")).otherwise(F.col("repo_id")).alias("repo"), F.col(x).alias("id"))
+    ends = lambda x: F.struct(F.col(f"{x}_label").alias("label"), F.col("repo_id").alias("repo"), F.col(x).alias("id"))
     e = e.select(*e.columns, ends("src").alias("a"), ends("dst").alias("b"))
-    frontier = start.select(F.struct(F.col("label"), F.col("repo"), F.col("id")).alias("n")).distinct()
+    loose = start.where("repo = ''").select("label", "id").distinct()
+    named = start.where("repo <> ''").select(F.struct("label", "repo", "id").alias("n"))
+    for x in "ab":
+        named = named.unionAll(e.join(loose, (F.col(f"{x}.label") == loose["label"]) & (F.col(f"{x}.id") == loose["id"]), "left_semi").select(F.col(x).alias("n")))
+    frontier = named.distinct()
     seen, found = frontier, None
     for _ in range(clamp_depth(depth)):
         hop = e.join(frontier, F.col("a") == F.col("n"), "left_semi").unionAll(e.join(frontier, F.col("b") == F.col("n"), "left_semi")).distinct()
@@ -62,10 +68,37 @@ def stats(nodes: DataFrame, all_edges: DataFrame, by: list[str] | None = None) -
     return both.withColumn("density", F.when(F.col("node_count") > 1, F.round(F.col("edge_count") / possible, 6)).otherwise(0.0))
 
 
-def directions(all_edges: DataFrame) -> DataFrame:
-    """(node, direction, type, n) of every node: how many edges leave and reach it."""
-    both = all_edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit("outgoing").alias("direction"), "type"), F.struct(F.col("dst").alias("node"), F.lit("incoming").alias("direction"), "type"))).alias("e"))
-    return both.groupBy("e.node", "e.direction", "e.type").agg(F.count(F.lit(1)).alias("n"))
+def directions(all_edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(node, direction, type, n) of every node: how many edges leave and reach it (F22). Nodes of different
+    repositories are apart with by = ("repo_id",), whose columns come first."""
+    end = lambda name, direction: F.struct(F.col(name).alias("node"), F.lit(direction).alias("direction"))
+    both = all_edges.select(*by, "type", F.explode(F.array(end("src", "outgoing"), end("dst", "incoming"))).alias("e"))
+    return both.groupBy(*by, "e.node", "e.direction", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What a relationship is called at either end.
+SECTIONS = {("outgoing", "DEFINES"): "Defines", ("outgoing", "IMPORTS"): "Imports", ("outgoing", "CALLS"): "Calls", ("incoming", "IMPORTS"): "Used by", ("incoming", "CALLS"): "Used by"}
+
+
+def explore(all_edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """(repo_id, node, section, others) of each node in focus (repo_id, node): what it defines, imports and calls, and
+    who uses it, sorted (F22, module exploration). Nodes without edges give no row."""
+    name = lambda direction: F.coalesce(*[F.when(F.col("type") == t, s) for (d, t), s in SECTIONS.items() if d == direction], F.lit("Other"))
+    out = all_edges.join(focus.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi").select("repo_id", F.col("src").alias("node"), name("outgoing").alias("section"), F.col("dst").alias("other"))
+    into = all_edges.join(focus.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi").select("repo_id", F.col("dst").alias("node"), name("incoming").alias("section"), F.col("src").alias("other"))
+    return out.unionAll(into).groupBy("repo_id", "node", "section").agg(F.sort_array(F.collect_set("other")).alias("others"))
+
+
+def repositories(repos: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, name, files) of every repository, also of those without files."""
+    n = files.groupBy(F.col("repo_id").alias("id")).agg(F.count(F.lit(1)).alias("files"))
+    return repos.join(n, "id", "left").select("id", "name", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def node_names(nodes: DataFrame) -> DataFrame:
+    """(id, name): a node's path, else its name, else its id, else `unknown` (P17); a column may be missing."""
+    some = [F.col(c).cast("string") for c in ("path", "name", "id") if c in nodes.columns]
+    return nodes.select("id", F.coalesce(*some, F.lit("unknown")).alias("name"))
 
 
 def shown(all_edges: DataFrame, most: int = 5) -> DataFrame:
@@ -74,9 +107,27 @@ def shown(all_edges: DataFrame, most: int = 5) -> DataFrame:
     return all_edges.where("type <> 'CONTAINS'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def file_key(*tables: DataFrame) -> list[str]:
+    """What names a file in all the tables: repository and path, or the path alone if one doesn't know repositories."""
+    return ["repo_id", "path"] if all("repo_id" in t.columns for t in tables) else ["path"]
+
+
+def file_pull_requests(modifies: DataFrame, files: DataFrame) -> DataFrame:
+    """Pull requests of each known file."""
+    key = file_key(modifies, files)
+    return modifies.join(files.select(*key).distinct(), key).select(*key, "number")
+
+
 def pull_request_impact(modifies: DataFrame, files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(number, path, block): files a pull request changes, with the blocks they define, if any."""
-    return modifies.join(files.select("path"), "path").join(blocks.select(F.col("src").alias("path"), F.col("name").alias("block")).distinct(), "path", "left").select("number", "path", "block")
+    """(number, path, block): files a pull request changes, with the blocks they define, if any.
+
+    With repo_id in modifies and files, files are told apart by it, and it stands before path.
+    """
+    key = file_key(modifies, files)
+    known = modifies.select("number", *key).join(files.select(*key).distinct(), key)
+    blocks = blocks.withColumnRenamed("src", "path")
+    defined = blocks.select(*file_key(blocks, known), F.col("name").alias("block")).distinct()
+    return known.join(defined, file_key(blocks, known), "left").select("number", *key, "block")
 
 
 def last_by_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -28,6 +28,24 @@ def callers(changed: DataFrame, defines: DataFrame, calls: DataFrame) -> DataFra
     return mine.join(calls.select("repo_id", "name", "path"), ["repo_id", "name"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
 
 
+def caller_counts(changed: DataFrame, defines: DataFrame, calls: DataFrame) -> DataFrame:
+    """(repo_id, changed, callers): how many files callers() finds for each changed file that has any.
+
+    A name that many files define and many call would make all their pairs. The callers of a file with one name are
+    the name's callers less the file itself, so names are counted once; only files with several names, whose callers
+    may call more than one of them, are joined.
+    """
+    mine = defines.select("repo_id", "path", "name").join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi").distinct()
+    names = mine.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("name"))
+    made = calls.select("repo_id", "name", "path").distinct()
+    own = made.select("repo_id", "name", "path", F.lit(1).alias("own"))
+    single = names.where("names = 1").join(made.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("all")), ["repo_id", "name"])
+    single = single.join(own, ["repo_id", "name", "path"], "left").select("repo_id", F.col("path").alias("changed"), (F.col("all") - F.coalesce("own", F.lit(0))).alias("callers"))
+    several = names.where("names > 1").select("repo_id", "path")
+    more = callers(several, defines, calls).groupBy("repo_id", "changed").agg(F.count(F.lit(1)).alias("callers"))
+    return single.where("callers > 0").unionByName(more)
+
+
 def symbol_importers(changed: DataFrame, defines: DataFrame, imports: DataFrame) -> DataFrame:
     """Files that import a module whose name ends with a name that the changed file defines (J7); as J5, by suffixes."""
     mine = defines.join(changed, ["repo_id", "path"], "left_semi").select("repo_id", F.col("path").alias("changed"), F.col("name").alias("symbol"))
@@ -39,12 +57,33 @@ def symbol_importers(changed: DataFrame, defines: DataFrame, imports: DataFrame)
     return mine.join(found, ["repo_id", "symbol"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
 
 
+def first_hits(mine: DataFrame, named: DataFrame, limit: int) -> DataFrame:
+    """(repo_id, changed, path) from mine (repo_id, path, name) and named (repo_id, name, path), equal names: of each
+    name only the first limit + 1 paths by (critical, path).
+
+    A path that no other kind of hit names scores the same as all others of its kind, but for being critical. So if it
+    is among the first `limit` of a file, it is among the first of each of its names, the file itself not counted.
+    """
+    order = Window.partitionBy("repo_id", "name").orderBy(is_critical(F.col("path")).desc(), "path")
+    first = named.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit + 1).drop("_n")
+    return mine.withColumnRenamed("path", "changed").join(first, ["repo_id", "name"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
+
+
 def radius(changed: DataFrame, imports: DataFrame, defines: DataFrame, calls: DataFrame, limit: int = 10, together: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """Ranked dependants of every changed file, at most `limit` each (V9).
 
-    Hits weigh 1, 1 and 0.5; the relationship is that of the first kind of hit; critical paths gain 5.
+    Hits weigh 1, 1 and 0.5; the relationship is that of the first kind of hit; critical paths gain 5. Callers are
+    not joined in full: those that no other kind of hit names come from the first of each name (first_hits), and those
+    that one does are looked up.
     """
-    kinds = ((stem_importers(changed, imports), 1, "IMPORTS", 1.0), (callers(changed, defines, calls), 2, "CALLS", 1.0), (symbol_importers(changed, defines, imports), 3, "IMPORTS", 0.5))
+    file = changed.select("repo_id", "path").distinct()
+    mine = defines.select("repo_id", "path", "name").join(file, ["repo_id", "path"], "left_semi").distinct()
+    made = calls.select("repo_id", "name", "path").distinct()
+    stems, symbols = stem_importers(changed, imports), symbol_importers(changed, defines, imports)
+    others = stems.unionByName(symbols).distinct()
+    also = others.join(mine.withColumnRenamed("path", "changed"), ["repo_id", "changed"]).join(made, ["repo_id", "name", "path"], "left_semi").select("repo_id", "changed", "path").distinct()
+    called = first_hits(mine, made, limit).unionByName(also).distinct()
+    kinds = ((stems, 1, "IMPORTS", 1.0), (called, 2, "CALLS", 1.0), (symbols, 3, "IMPORTS", 0.5))
     hits = None
     for rows, place, name, weight in kinds:
         part = rows.select("repo_id", "changed", "path", F.lit(place).alias("place"), F.lit(name).alias("relationship"), F.lit(weight).alias("weight"))

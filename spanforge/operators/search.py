@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spanforge.functions.paths import is_test
-from spanforge.functions.vector import cosine
+from spanforge.functions.vector import cosine  # noqa: F401  for callers that score pairs
+from spanforge.operators.graph import file_key
 
-#: A query set up to this size is sent to every task; a larger one is refused, so that it is searched in parts.
-MOST_QUERIES = 10_000
+#: Bytes of a query set's vectors up to which it is sent to every task; a larger one is refused, to be searched in parts.
+MOST_BYTES = 128 << 20
 
 
 def filters(corpus: DataFrame, repo: str | None = None, path: str | None = None, path_contains: str | None = None, kind: str | None = None) -> DataFrame:
@@ -22,15 +27,56 @@ def filters(corpus: DataFrame, repo: str | None = None, path: str | None = None,
     return corpus
 
 
+def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of the most frequent length that have a direction, and these as unit vectors."""
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    wanted = np.bincount(size).argmax() if len(size) else 0
+    at = np.flatnonzero(size == wanted)
+    if not wanted or not len(at):
+        return at[:0], np.zeros((0, 0))
+    x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), wanted)
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], x[good] / norm[good][:, None]
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", keep: tuple[str, ...] = (), skip_self: bool = True, digits: int = 6) -> DataFrame:
     """(qid, id, score, rank): the k most similar rows for each query (qid, query), ties to the lower id.
 
-    The query set is small by contract and checked; each task scores its rows against it and keeps k a query
-    (Spark prunes window ranks before the shuffle), so what moves is k rows a query and task.
+    The query set, small by contract and checked by its bytes, is one matrix that goes to each task; batches of rows
+    are multiplied with it, and of a batch only rows that may be among a query's k go on, so what moves is about k
+    rows a query and batch. Vectors that are null, zero, not finite or of another length than the queries' take no
+    part; queries are as long as most of them are. Scores are cosines in doubles, no less than -1 nor more than 1.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search them in parts")
-    scored = corpus.join(F.broadcast(queries), (F.col(id_col) != F.col("qid")) if skip_self else F.lit(True)).select("qid", id_col, *keep, F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score")).where("score is not null")
+    wanted = [*dict.fromkeys([id_col, *keep])]
+    fields = corpus.select(*wanted).schema.fields
+    number = queries.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
+    if number[0] * (number[1] or 0) * 8 > MOST_BYTES:
+        raise ValueError(f"the queries' vectors take more than {MOST_BYTES} bytes; search them in parts")
+    listed = queries.select("qid", F.col("query").cast("array<double>")).toArrow()
+    at, matrix = unit(listed.column("query").combine_chunks())
+    qids = listed.column("qid").combine_chunks().take(pa.array(at, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, x = unit(batch.column(len(wanted)))
+            if not len(place) or not len(at) or x.shape[1] != matrix.shape[1]:
+                continue
+            score = np.clip(matrix @ x.T, -1, 1)
+            if skip_self:
+                ids = batch.column(0).take(pa.array(place))
+                same = pc.index_in(ids, value_set=qids.cast(ids.type)).to_numpy(zero_copy_only=False) if ids.type == qids.type or pa.types.is_integer(ids.type) else np.full(len(place), np.nan)
+                hit = np.flatnonzero(~np.isnan(same.astype(float)))
+                score[same[hit].astype(int), hit] = -np.inf
+            n = min(k, len(place))
+            # Scores are rounded later, so those that may be equal to the last one then go on too.
+            least = np.maximum(np.partition(score, len(place) - n, axis=1)[:, len(place) - n], -2)[:, None] - 2 * 10.0**-digits
+            q, row = np.nonzero(score >= least)
+            rows = pa.array(place[row])
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), *[batch.column(i).take(rows) for i in range(len(wanted))], pa.array(score[q, row])], ["qid", *wanted, "raw"])
+
+    schema = StructType([queries.schema["qid"], *fields, StructField("raw", DoubleType())])
+    scored = corpus.where(F.col("embedding").isNotNull()).select(*wanted, "embedding").mapInArrow(run, schema).select("qid", *wanted, F.round("raw", digits).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -43,27 +89,35 @@ def pool_size(limit: int, rerank: bool = False, exclude_tests: bool = False, boo
 def co_references(refs: DataFrame, sources: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, neighbour): files that refer to the same target in the same repository in the same way.
 
-    With `by`, columns of refs, only references alike in these meet, and the columns come first.
+    With `by`, columns of refs, only references alike in these meet, and the columns come first; ("repo_id",) tells
+    apart files that have the same path in several repositories. Sources (path, or repo_id and path) limit the files.
     """
-    a = refs.select(*by, "repo_id", "type", "dst", F.col("src").alias("path"))
+    key = [*dict.fromkeys([*by, "repo_id", "type", "dst"])]
+    a = refs.select(*key, F.col("src").alias("path"))
     if sources is not None:
-        a = a.join(sources.select("path").distinct(), "path", "left_semi")
-    b = refs.select(*by, "repo_id", "type", "dst", F.col("src").alias("neighbour"))
-    return a.join(b, [*by, "repo_id", "type", "dst"]).where("path <> neighbour").select(*by, "path", "neighbour").distinct()
+        a = a.join(sources.select(*file_key(sources)).distinct(), file_key(sources), "left_semi")
+    b = refs.select(*key, F.col("src").alias("neighbour"))
+    return a.join(b, key).where("path <> neighbour").select(*by, "path", "neighbour").distinct()
 
 
 def boosted(pool: DataFrame, refs: DataFrame, weight: float = 0.05, digits: int = 6) -> DataFrame:
-    """Adds weight to a score for each other path of the same query's pool that shares a reference (V5)."""
-    paths = pool.select("qid", F.col("path").alias("src")).distinct()
-    near = co_references(refs.select("src", "repo_id", "type", "dst").join(paths, "src"), by=("qid",))
-    counts = near.groupBy("qid", "path").agg(F.count(F.lit(1)).alias("together"))
-    return pool.join(counts, ["qid", "path"], "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("together", F.lit(0)), digits)).drop("together")
+    """Adds weight to a score for each other path of the same query's pool that shares a reference (V5). If the pool
+    has repo_id, its files are those of that repository."""
+    key = file_key(pool)
+    paths = pool.select("qid", *key[:-1], F.col("path").alias("src")).distinct()
+    near = co_references(refs.select("src", "repo_id", "type", "dst").join(paths, [*key[:-1], "src"]), by=("qid", *key[:-1]))
+    counts = near.groupBy("qid", *key).agg(F.count(F.lit(1)).alias("together"))
+    return pool.join(counts, ["qid", *key], "left").withColumn("score", F.round(F.col("score") + weight * F.coalesce("together", F.lit(0)), digits)).drop("together")
 
 
 def hybrid(corpus: DataFrame, query: DataFrame, refs: DataFrame | None, limit: int = 10, exclude_tests: bool = True, weight: float = 0.05, rerank: Callable[[DataFrame], DataFrame] | None = None, **conditions) -> DataFrame:
-    """Search, drop test files, boost, rerank and cut: each step sees the candidates of the one before it."""
+    """Search, drop test files, boost, rerank and cut: each step sees the candidates of the one before it.
+
+    If corpus has repo_id, results carry it, and the boost tells files of different repositories apart.
+    """
     boost = refs is not None and weight != 0
-    pool = nearest(filters(corpus, **conditions), query, pool_size(limit, rerank is not None, exclude_tests, boost), keep=("path",)).drop("rank")
+    file = file_key(corpus)
+    pool = nearest(filters(corpus, **conditions), query, pool_size(limit, rerank is not None, exclude_tests, boost), keep=tuple(file)).drop("rank")
     if exclude_tests:
         pool = pool.where(~is_test(F.col("path")))
     if boost:
@@ -71,7 +125,12 @@ def hybrid(corpus: DataFrame, query: DataFrame, refs: DataFrame | None, limit: i
     if rerank is not None:
         pool = rerank(pool)
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("qid", "id", "path", "score", "rank")
+    return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("qid", "id", *file, "score", "rank")
+
+
+def embedded_queries(rows: DataFrame, embed: Callable[[Column], Column], fallback: Callable[[Column], Column]) -> DataFrame:
+    """(qid, query) from (qid, text): by the model, or by the fallback where it gives no vector."""
+    return rows.select("qid", F.coalesce(embed(F.col("text")), fallback(F.col("text"))).alias("query"))
 
 
 def fallback_scores(ranked: DataFrame, group: str, order: list[Column]) -> DataFrame:
