@@ -79,16 +79,19 @@ def radius(changed: DataFrame, imports: DataFrame, defines: DataFrame, calls: Da
     file = changed.select("repo_id", "path").distinct()
     mine = defines.select("repo_id", "path", "name").join(file, ["repo_id", "path"], "left_semi").distinct()
     made = calls.select("repo_id", "name", "path").distinct()
-    stems, symbols = stem_importers(changed, imports), symbol_importers(changed, defines, imports)
-    others = stems.unionByName(symbols).distinct()
-    also = others.join(mine.withColumnRenamed("path", "changed"), ["repo_id", "changed"]).join(made, ["repo_id", "name", "path"], "left_semi").select("repo_id", "changed", "path").distinct()
-    called = first_hits(mine, made, limit).unionByName(also).distinct()
-    kinds = ((stems, 1, "IMPORTS", 1.0), (called, 2, "CALLS", 1.0), (symbols, 3, "IMPORTS", 0.5))
-    hits = None
-    for rows, place, name, weight in kinds:
-        part = rows.select("repo_id", "changed", "path", F.lit(place).alias("place"), F.lit(name).alias("relationship"), F.lit(weight).alias("weight"))
-        hits = part if hits is None else hits.unionByName(part)
-    total = hits.groupBy("repo_id", "changed", "path").agg((F.sum("weight") + F.when(is_critical(F.col("path")), 5.0).otherwise(0.0)).alias("score"), F.min_by("relationship", "place").alias("relationship"))
+    key = ["repo_id", "changed", "path"]
+    flags = lambda rows, *on: rows.select(*key, *[F.lit(f in on).alias(f) for f in ("stem", "call", "symbol")])
+    alike = lambda rows: rows.groupBy(*key).agg(*[F.max(f).alias(f) for f in ("stem", "call", "symbol")])
+    named = alike(flags(stem_importers(changed, imports), "stem").unionAll(flags(symbol_importers(changed, defines, imports), "symbol")))
+    # A file's names, of those it defines or calls, are few, so a pair is looked up in the names of its two files.
+    names = lambda x, path, out: x.groupBy("repo_id", F.col("path").alias(path)).agg(F.collect_set("name").alias(out))
+    named = named.join(names(mine, "changed", "_defined"), ["repo_id", "changed"], "left").join(names(made, "path", "_called"), ["repo_id", "path"], "left")
+    named = named.select(*key, "stem", F.coalesce(F.arrays_overlap("_defined", "_called"), F.lit(False)).alias("call"), "symbol")
+    hits = alike(named.unionAll(flags(first_hits(mine, made, limit), "call")))
+    part = lambda flag, weight: F.when(F.col(flag), weight).otherwise(0.0)
+    score = part("stem", 1.0) + part("call", 1.0) + part("symbol", 0.5) + F.when(is_critical(F.col("path")), 5.0).otherwise(0.0)
+    relationship = F.when(F.col("stem") | ~F.col("call"), "IMPORTS").otherwise("CALLS")
+    total = hits.select(*key, score.alias("score"), relationship.alias("relationship"))
     order = Window.partitionBy("repo_id", "changed").orderBy(F.col("score").desc(), "path")
     out = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     for rows, flag in ((together, "co_changed"), (deleted, "co_deleted")):
