@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import hashing, paths, text
 from spanforge.operators import governance, graph, impact, mutation, retrieval, review, search
+from spanforge.plans import runs
 from spanforge.plans.views import Views, sql
 from spanforge.sources import files, languages, parsing
 
@@ -216,6 +217,60 @@ def last_by_key(v: Views) -> DataFrame:
     return graph.last_by_key(rows, ["user_id"], "place").select("user_id", "event_type", "last_id")
 
 
+# Files of several repositories with the same paths (J4, J8-J10, F22), module exploration and lists.
+
+
+@query(sql("""SELECT a.repo_id, a.src AS path, count(DISTINCT b.src) AS neighbours FROM sedge a JOIN sedge b ON a.repo_id = b.repo_id AND a.type = b.type AND a.dst = b.dst AND a.src <> b.src
+WHERE a.type = 'IMPORTS' GROUP BY 1, 2"""))
+def shared_neighbors(v: Views) -> DataFrame:
+    near = search.co_references(v.sedge.where("type = 'IMPORTS'"), by=("repo_id",))
+    return near.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("neighbours"))
+
+
+@query(sql("SELECT DISTINCT src, dst, repo_id FROM e WHERE src = 'f1' OR dst IN (SELECT dst FROM e WHERE src = 'f1')", "e AS (SELECT * FROM sedge WHERE type = 'IMPORTS' AND repo_id = '1')"))
+def shared_traverse_d2(v: Views) -> DataFrame:
+    start = v.spark.createDataFrame([("File", "1", "f1")], "label string, repo string, id string")
+    return graph.traverse(v.sedge, start, 2, ["IMPORTS"])[1].select("src", "dst", "repo_id")
+
+
+@query(sql("SELECT repo_id, src AS node, 'outgoing' AS direction, type, count(*) AS n FROM sedge GROUP BY ALL UNION ALL SELECT repo_id, dst, 'incoming', type, count(*) FROM sedge GROUP BY ALL"))
+def shared_directions(v: Views) -> DataFrame:
+    return graph.directions(v.sedge, ("repo_id",))
+
+
+@query(sql("SELECT DISTINCT number, repo_id, path, name AS block FROM smodifies LEFT JOIN sdefines USING (repo_id, path)"))
+def shared_pr_impact(v: Views) -> DataFrame:
+    return graph.pull_request_impact(v.smodifies, v.smodifies.select("repo_id", "path"), v.sdefines)
+
+
+@query(sql("SELECT repo_id, path, number FROM smodifies"))
+def shared_file_prs(v: Views) -> DataFrame:
+    return graph.file_pull_requests(v.smodifies, v.smodifies.select("repo_id", "path"))
+
+
+@query(sql("SELECT repo_id, src AS node, CASE type WHEN 'IMPORTS' THEN 'Imports' ELSE 'Calls' END AS section, string_agg(DISTINCT dst, ',' ORDER BY dst) AS others FROM sedge GROUP BY 1, 2, 3"))
+def explore_module(v: Views) -> DataFrame:
+    found = graph.explore(v.sedge, v.sedge.select("repo_id", F.col("src").alias("node")).distinct())
+    return found.withColumn("others", F.array_join("others", ","))
+
+
+@query(sql("SELECT id, name, count(path) AS files FROM repository LEFT JOIN file ON repo_id = id GROUP BY 1, 2"))
+def list_repos(v: Views) -> DataFrame:
+    return graph.repositories(v.repository, v.file)
+
+
+@query("SELECT doc_id::VARCHAR AS id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN 'd' || doc_id END, CASE WHEN doc_id % 2 = 0 THEN source END, doc_id::VARCHAR) AS name FROM documents")
+def node_names(v: Views) -> DataFrame:
+    rows = v.table("documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("d"), "doc_id")).alias("path"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("name"))
+    return graph.node_names(rows)
+
+
+@query(sql(f"""SELECT q.vec_id AS qid, c.id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) AS rank
+FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id AND c.repo = 'src1' QUALIFY rank <= 10"""))
+def vector_repo_batch(v: Views) -> DataFrame:
+    return search.nearest(search.filters(v.vectors, repo="src1"), hundredths(v), 10).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
 # Impact (J5-J7, J13, V9).
 
 
@@ -269,6 +324,47 @@ def context_budget(v: Views) -> DataFrame:
     return review.budgeted(items, "conv_id", ["turn", "role"], "t", 200)
 
 
+@query("""WITH RECURSIVE i AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text) // 4) AS n, (length(text) // 4)::BIGINT AS t FROM conversations),
+s AS (SELECT conv_id, 1::BIGINT AS n, t AS total, true AS kept FROM i WHERE n = 1
+  UNION ALL SELECT s.conv_id, i.n, CASE WHEN x THEN total ELSE total + t END, NOT x
+  FROM s JOIN i ON i.conv_id = s.conv_id AND i.n = s.n + 1, LATERAL (SELECT total >= 200 OR (total + t > 200 AND total > 0) AS x))
+SELECT conv_id, turn, role, t, kept FROM s JOIN i USING (conv_id, n)""")
+def context_items(v: Views) -> DataFrame:
+    items = v.table("conversations").withColumn("t", text.token_estimate(F.col("text")))
+    return review.budgeted_items(items, "conv_id", ["turn", "role"], "t", 200)
+
+
+@query(sql("SELECT path, repo AS symbol, (SELECT count(*) FROM doc_paths x WHERE starts_with(x.repo, d.repo)) - 1 AS files FROM doc_paths d"))
+def symbol_references(v: Views) -> DataFrame:
+    rows = v.doc_paths.select("path", F.col("repo").alias("symbol"), F.concat(F.lit("x = 1\nmod "), "repo").alias("content"))
+    return review.symbol_references(rows, rows)
+
+
+@query(sql("SELECT path, CASE WHEN starts_with(path, 'core/') THEN 'not published' ELSE 'workspace member with path dependencies' END AS note FROM ifile"))
+def crate_notes(v: Views) -> DataFrame:
+    manifests = [("core/Cargo.toml", "publish = false"), ("src/Cargo.toml", 'core = { path = "../core" }'), ("Cargo.toml", "[workspace]")]
+    return review.crate_notes(v.ifile, v.spark.createDataFrame(manifests, "path string, content string"))
+
+
+@query("SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END END AS content FROM orders".replace("o_orderkey AS path", "'o' || o_orderkey AS path"))
+def historical_files(v: Views) -> DataFrame:
+    o = v.table("orders").withColumn("path", F.concat(F.lit("o"), "o_orderkey"))
+    disk = o.where("o_orderkey % 3 <> 0").select("path", F.col("o_orderstatus").alias("content"))
+    return review.historical(o, disk, o.where("o_orderkey % 2 = 0").select("path", F.col("o_orderpriority").alias("content")))
+
+
+@query("SELECT p_partkey AS key, p_partkey % 4 IN (0, 3) AS safe FROM part")
+def inside_root(v: Views) -> DataFrame:
+    path = F.element_at(F.array(*map(F.lit, ("a/../b", "../secret", "/repo2/x", "a/../../repo/x"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = v.table("part").select(F.col("p_partkey").alias("key"), F.concat(path, F.col("p_partkey").cast("string")).alias("path"))
+    return rows.select("key", paths.inside("/repo", F.col("path")).alias("safe"))
+
+
+@query("SELECT count(*) AS files_synced, count(*) FILTER (op <> 'R') AS changed, count(*) FILTER (op = 'R') AS deleted FROM (SELECT user_id, max_by(CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'R' ELSE 'M' END, (ts, event_id)) AS op FROM events GROUP BY 1)")
+def sync_counts(v: Views) -> DataFrame:
+    return runs.synced(QUERIES["changeset_latest"](v.spark, v.sf_dir))
+
+
 def changes(v: Views) -> DataFrame:
     """Paths with a diff that adds an import of the document's source and takes other lines away."""
     diff = F.concat(F.lit("+++ b/x\n+import "), "repo", F.lit(".a\n-"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n-")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spanforge.operators.governance import rejected
+
 #: git's letters for changes.
 LETTERS = {"A": "A", "D": "R", "M": "M"}
 MOST_CHANGES = 100
@@ -71,14 +73,17 @@ def apply_changes(rows: DataFrame, changes: DataFrame, fresh: DataFrame, key: li
 
 
 class Store:
-    """Named tables in a folder; each write is a new snapshot folder, and a small pointer file names the current one.
+    """Named tables in a folder. A commit changes any number of tables and notes together, or nothing.
 
-    Readers keep the snapshot they began with. The pointer is replaced by a rename, so a write shows wholly or
-    not at all; one writer at a time. `at_version` reads older snapshots, `vacuum` removes them.
+    A table's rows lie in buckets by a hash of the columns `by` (repository and path where it has them); a version
+    names a folder for each bucket, and a change writes only the buckets whose rows it touches. The whole state is a
+    small numbered file that appears by one rename, and the highest number holds: readers keep the state they began
+    with, and a crash leaves the one before. One writer at a time: a number that another has taken is an error.
+    `at_version` reads older versions, `vacuum` removes them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, dimension: int | None = None) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, dimension: int | None = None, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -89,64 +94,162 @@ class Store:
             elif int(kept) != dimension:
                 raise ValueError(f"the store holds vectors of {kept} numbers, not {dimension}")
 
-    def _read(self, name: str) -> list:
-        path = self._path(f"{self.root}/{name}/_current.json")
-        if not self._fs.exists(path):
-            return []
-        stream = self._fs.open(path)
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def state(self) -> dict:
+        """{number, tables: {name: {schema, by, buckets, versions: [{bucket: folder}]}}, metadata}"""
+        names = [n for n in self._names(f"{self.root}/_state") if n.endswith(".json") and not n.startswith("_")]
+        if not names:
+            return {"number": 0, "tables": {}, "metadata": {}}
+        stream = self._fs.open(self._path(f"{self.root}/_state/{names[-1]}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _point(self, name: str, versions: list) -> None:
-        final, new = self._path(f"{self.root}/{name}/_current.json"), self._path(f"{self.root}/{name}/_{uuid.uuid4().hex}")
+    def commit(self, tables: dict[str, dict] | None = None, metadata: dict[str, str] | None = None, state: dict | None = None) -> None:
+        """Make new versions (from written() and replaced()) current, and set notes, all at once."""
+        state = state or self.state()
+        for name, table in (tables or {}).items():
+            before = state["tables"].get(name, {"versions": []})
+            state["tables"][name] = {**table, "versions": [*before["versions"], table["versions"][-1]]}
+        state["metadata"] |= metadata or {}
+        state["number"] += 1
+        final, new = self._path(f"{self.root}/_state/{state['number']:012d}.json"), self._path(f"{self.root}/_state/_{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(versions).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(new, final):
-            raise OSError(f"can't commit {name}")
-
-    def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        folder = f"v-{uuid.uuid4().hex}"
-        (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(f"{self.root}/{name}/{folder}")
-        self._point(name, [*self._read(name), {"folder": folder, "schema": rows.schema.json()}])
+        if self._fs.exists(final) or not self._fs.rename(new, final):
+            self._fs.delete(new, False)
+            raise OSError("another writer has committed; nothing was changed")
+
+    def _bucket(self, by: list[str], buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in by]), F.lit(buckets)).cast("int")
+
+    def written(self, name: str, rows: DataFrame, by: list[str] | None = None, buckets: int | None = None, rest: dict | None = None) -> dict:
+        """A new version of a table: rows written to folders of their own, and the rest of the buckets as they were."""
+        by = by or (["repo_id", "path"] if {"repo_id", "path"} <= set(rows.columns) else rows.columns[:1])
+        buckets, folder = buckets or self.buckets, f"v-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket(by, buckets)).write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{folder}")
+        new = {n.removeprefix("_bucket="): f"{folder}/{n}" for n in self._names(f"{self.root}/{name}/{folder}") if n.startswith("_bucket=")}
+        return {"schema": rows.schema.json(), "by": by, "buckets": buckets, "versions": [{**(rest or {}), **new}]}
+
+    def replaced(self, name: str, gone: DataFrame, key: list[str], rows: DataFrame | None = None) -> dict:
+        """A new version without the rows of the keys that go, and with other rows; only the buckets of both are read
+        and written, if the key tells the bucket."""
+        table = self.state()["tables"][name]
+        version, by, buckets = table["versions"][-1], table["by"], table["buckets"]
+        if set(by) <= set(key):
+            keys = gone.select(*by)
+            if rows is not None:
+                keys = keys.unionByName(rows.select(*by))
+            touched = {str(r[0]) for r in keys.select(self._bucket(by, buckets)).distinct().collect()}
+        else:
+            touched = {str(b) for b in range(buckets)}
+        now = delete(self._rows(name, table, {b: f for b, f in version.items() if b in touched}), gone, key)
+        if rows is not None:
+            now = now.unionByName(rows.select(*now.columns))
+        return self.written(name, now, by, buckets, {b: f for b, f in version.items() if b not in touched})
+
+    def _rows(self, name: str, table: dict, version: dict) -> DataFrame:
+        schema = StructType.fromJson(json.loads(table["schema"]))
+        if not version:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for f in version.values()])
+
+    def write(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
+        self.commit({name: self.written(name, rows, by)})
 
     def read(self, name: str, at_version: int = -1) -> DataFrame:
-        v = self._read(name)[at_version]
-        return self.spark.read.schema(StructType.fromJson(json.loads(v["schema"]))).parquet(f"{self.root}/{name}/{v['folder']}")
+        table = self.state()["tables"][name]
+        return self._rows(name, table, table["versions"][at_version])
 
     def exists(self, name: str) -> bool:
-        return bool(self._read(name))
+        return name in self.state()["tables"]
 
-    def ensure(self, name: str, schema: str) -> None:
+    def ensure(self, name: str, schema: str, by: list[str] | None = None) -> None:
+        """The table, empty if it isn't there yet."""
         if not self.exists(name):
-            self.write(name, self.spark.createDataFrame([], schema))
+            self.write(name, self.spark.createDataFrame([], schema), by)
 
     def merge(self, name: str, incoming: DataFrame, key: list[str], order: str | None = None) -> None:
-        self.write(name, upsert(self.read(name), incoming, key, order) if self.exists(name) else incoming.dropDuplicates(key))
-
-    def remove(self, name: str, gone: DataFrame, key: list[str]) -> None:
-        self.write(name, delete(self.read(name), gone, key))
+        if order is not None:
+            value = F.struct(*[c for c in incoming.columns if c not in key])
+            incoming = incoming.groupBy(*key).agg(F.max_by(value, F.col(order)).alias("_v")).select(*key, "_v.*")
+        else:
+            incoming = incoming.dropDuplicates(key)
+        if self.exists(name):
+            self.commit({name: self.replaced(name, incoming.select(*key), key, incoming)})
+        else:
+            self.write(name, incoming, by=None if {"repo_id", "path"} <= set(key) else key)
+
+    def remove(self, name: str, gone: DataFrame, key: list[str]) -> int:
+        """Delete by key; how many rows went (K9)."""
+        n = self.read(name).join(gone, key, "left_semi").count()
+        if n:
+            self.commit({name: self.replaced(name, gone, key)})
+        return n
 
     def vacuum(self, name: str, keep: int = 1) -> None:
-        versions = self._read(name)
-        self._point(name, versions[-keep:])
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/{name}/{v['folder']}"), True)
-
-    def copy_to(self, other: Store, names: list[str]) -> None:
-        """Migration to another store."""
-        for name in names:
-            other.write(name, self.read(name))
+        """Forget all versions but the last ones, then delete the folders that none of these has."""
+        state = self.state()
+        table = state["tables"][name]
+        table["versions"] = table["versions"][-keep:]
+        self.commit(state=state)
+        kept = {f for v in table["versions"] for f in v.values()}
+        for folder in self._names(f"{self.root}/{name}"):
+            for part in self._names(f"{self.root}/{name}/{folder}"):
+                if part.startswith("_bucket=") and f"{folder}/{part}" not in kept:
+                    self._fs.delete(self._path(f"{self.root}/{name}/{folder}/{part}"), True)
+
+    def copy_to(self, other: Store, names: list[str], least: float = 0.5) -> dict[str, bool]:
+        """Migration to another store in one commit, and for each table whether it holds enough there."""
+        other.commit({name: other.written(name, self.read(name), self.state()["tables"][name]["by"]) for name in names})
+        return {name: other.read(name).count() >= least * self.read(name).count() for name in names}
 
     def metadata(self, key: str) -> str | None:
         """Of the store, such as a repository's last indexed commit."""
-        return dict(self._read("_metadata")).get(key)
+        return self.state()["metadata"].get(key)
 
     def set_metadata(self, key: str, value: str) -> None:
-        self._point("_metadata", [[k, v] for k, v in ({**dict(self._read("_metadata")), key: value}).items()])
+        self.commit(metadata={key: value})
+
+
+POLICY = "id string, type string, pattern string, severity string, message string, precept_id string"
+
+
+def put_policies(store: Store, policies: DataFrame) -> None:
+    """Create or replace policies by id (K12); those that break their bounds are refused as a whole."""
+    faults = rejected(policies, "policy_rule").limit(5).collect()
+    if faults:
+        raise ValueError("; ".join(f"{f['id']}: {f['field']} {f['reason']}" for f in faults))
+    store.ensure("policy", POLICY, by=["id"])
+    store.merge("policy", policies.select(*[x.split()[0] for x in POLICY.split(", ")]), ["id"])
+
+
+def policies(store: Store) -> DataFrame:
+    """All policies, by id."""
+    store.ensure("policy", POLICY, by=["id"])
+    return store.read("policy").orderBy("id")
+
+
+def drop_policy(store: Store, policy_id: str) -> bool:
+    """Whether there was one."""
+    store.ensure("policy", POLICY, by=["id"])
+    return store.remove("policy", store.spark.createDataFrame([(policy_id,)], "id string"), ["id"]) > 0
+
+
+def put_pull_requests(store: Store, requests: DataFrame, changed: DataFrame) -> None:
+    """Upsert (repo_id, number, title) and the files (repo_id, number, path) they change, those that are there."""
+    store.ensure("pull_request", "repo_id string, number long, title string", by=["repo_id", "number"])
+    store.ensure("modifies", "repo_id string, number long, path string", by=["repo_id", "number"])
+    key = ["repo_id", "number"]
+    requests = requests.dropDuplicates(key)
+    known = changed.select("repo_id", "number", "path").distinct().join(store.read("file").select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    known = known.join(requests.select(*key), key, "left_semi")
+    store.commit({"pull_request": store.replaced("pull_request", requests.select(*key), key, requests), "modifies": store.replaced("modifies", requests.select(*key), key, known)})
 
 
 def plan_sync(changes: DataFrame, last: str | None, head: str) -> str:

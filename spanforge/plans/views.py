@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -72,6 +72,22 @@ class Views:
         targets = self.graph.select(F.col("dst_label").alias("label"), "repo_id", F.col("dst").alias("id")).distinct()
         return self.file.select(F.lit("File").alias("label"), "repo_id", F.col("path").alias("id")).unionByName(targets)
 
+    # The same edges with files whose paths several repositories have.
+    def shared_path(self, column: str) -> Column:
+        return F.concat(F.lit("f"), F.expr(f"cast(substr({column}, 2) as bigint) div 5"))
+
+    @cached_property
+    def sedge(self) -> DataFrame:
+        return self.graph.withColumn("src", self.shared_path("src")).distinct()
+
+    @cached_property
+    def sdefines(self) -> DataFrame:
+        return self.defines.select("repo_id", self.shared_path("src").alias("path"), F.col("dst").alias("name")).distinct()
+
+    @cached_property
+    def smodifies(self) -> DataFrame:
+        return self.modifies.join(self.file, "path").select("number", "repo_id", self.shared_path("path").alias("path")).distinct()
+
     # A second graph, of parts: files that import modules named for a part and a symbol of it.
     @cached_property
     def ifile(self) -> DataFrame:
@@ -111,6 +127,9 @@ doc_paths AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE 'src/'
 vectors AS (SELECT vec_id AS id, embedding, path, type, repo, label FROM embeddings JOIN doc_paths ON vec_id = doc_id),
 graph AS (SELECT src, 'File' AS src_label, dst, 'Module' AS dst_label, 'IMPORTS' AS type, repo_id FROM imports
   UNION ALL SELECT src, 'File', dst, 'Function', 'CALLS', repo_id FROM calls),
+sedge AS (SELECT DISTINCT 'f' || (substr(src, 2)::BIGINT // 5) AS src, src_label, dst, dst_label, type, repo_id FROM graph),
+sdefines AS (SELECT DISTINCT repo_id, 'f' || (substr(src, 2)::BIGINT // 5) AS path, dst AS name FROM defines),
+smodifies AS (SELECT DISTINCT number, repo_id, 'f' || (substr(path, 2)::BIGINT // 5) AS path FROM modifies JOIN file USING (path)),
 nodes AS (SELECT 'File' AS label, repo_id, path AS id FROM file UNION ALL SELECT DISTINCT dst_label, repo_id, dst FROM graph),
 ifile AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'core/' ELSE 'src/' END || 'p' || p_partkey || '.rs' AS path, (p_partkey % 5)::VARCHAR AS repo_id, p_partkey AS key FROM part),
 idef AS (SELECT DISTINCT path, 's' || l_suppkey AS name, repo_id FROM lineitem JOIN ifile ON key = l_partkey WHERE l_linenumber = 1),

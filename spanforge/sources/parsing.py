@@ -86,9 +86,13 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("repo_id", "path", "content", "language").mapInPandas(run, NODES)
 
 
+def file_id() -> Column:
+    return stable_uuid("repo_id", "path")
+
+
 def node_ids(nodes: DataFrame) -> DataFrame:
     """Adds the ids of files and of nodes, which are the same in every run."""
-    return nodes.withColumn("file_id", stable_uuid("repo_id", "path")).withColumn("id", stable_uuid("repo_id", "path", "name", "kind"))
+    return nodes.withColumn("file_id", file_id()).withColumn("id", stable_uuid("repo_id", "path", "name", "kind"))
 
 
 def exports(nodes: DataFrame) -> DataFrame:

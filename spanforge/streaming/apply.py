@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.operators.mutation import Store, apply_changes, latest_operation
+from spanforge.operators.mutation import Store, latest_operation
+
+KEY = ["repo_id", "path"]
 
 CHANGE = "repo_id string, path string, op string, seq long"
 
@@ -19,18 +21,18 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
 def run(stream: DataFrame, store: Store, table: str, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
     """Apply all that has arrived to a table of the store: removals, then additions and modifications.
 
-    load gives the fresh rows of the keys it is handed. A batch is one snapshot; the store notes its number, so
-    one that is repeated after a failure is skipped, and rows are never applied twice.
+    load gives the fresh rows of the keys it is handed. The rows of a batch and its number are one commit, so one that
+    is repeated after a failure is skipped, and rows are never applied twice. Only the buckets it touches are written.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         done = store.metadata(f"batch:{table}")
         if done is not None and number <= int(done):
             return
-        last = latest_operation(batch, ["repo_id", "path"], ["seq"])
-        fresh = load(last.where("op <> 'R'").select("repo_id", "path"))
-        store.write(table, apply_changes(store.read(table), last, fresh, ["repo_id", "path"]))
-        store.set_metadata(f"batch:{table}", str(number))
+        last = latest_operation(batch, KEY, ["seq"])
+        come = last.where("op <> 'R'").select(*KEY)
+        fresh = load(come).join(come, KEY, "left_semi")
+        store.commit({table: store.replaced(table, last.select(*KEY), KEY, fresh)}, {f"batch:{table}": str(number)})
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
