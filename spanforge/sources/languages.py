@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Extensions of each language. The numbers say how many kinds of syntax define, import and call.
+# Extensions of each language, and how many kinds of syntax define, import and call in its grammar;
+# languages without any are indexed as whole files.
 LANGUAGES = """
 python .py 2 2 1
 javascript .js,.jsx 3 1 1

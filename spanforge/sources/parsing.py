@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.hashing import stable_uuid
 from spanforge.functions.text import docstring
+from spanforge.sources import syntax
 
 NODES = "repo_id string, path string, type string, kind string, name string, content string, start_line int, end_line int, error string"
 
-#: For languages without a parser at hand: patterns of definitions, imports and calls, by family.
+#: For other languages than Python and those of syntax.py: patterns of definitions, imports and calls, by family.
 FAMILIES = {
     "c-like": (r"\b(class|struct|enum|interface|trait|fn|func|function|fun|def|type)\s+([A-Za-z_]\w*)", r"^\s*(?:import|use|using|#include|require)\s+[\"'<(]?([\w./:@-]+)", r"\b([A-Za-z_][\w.]*)\s*\("),
     "words": (r"\b(def|class|module|function|defmodule|data|let)\s+([A-Za-z_]\w*)", r"^\s*(?:import|require|open|load)\s+[\"'(]?([\w./:]+)", r"\b([A-Za-z_][\w.]*)\s*\("),
@@ -76,7 +77,7 @@ def parse(files: DataFrame) -> DataFrame:
                 if content is None or language is None:
                     continue
                 try:
-                    nodes = python_nodes(content) if language == "python" else pattern_nodes(content, language)
+                    nodes = python_nodes(content) if language == "python" else syntax.nodes(content, language) if language in syntax.LANGUAGES else pattern_nodes(content, language)
                     rows += [(repo, path, *n, None) for n in nodes]
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append((repo, path, "error", None, None, None, None, None, str(e)))
