@@ -681,10 +681,7 @@ def search_context_batch(v: Views) -> DataFrame:
 
 @query(f"""SELECT q.vec_id AS qid, count(c.vec_id) AS hits, round(max({COSINE}), 6) AS best FROM embeddings q LEFT JOIN embeddings c ON c.vec_id <> q.vec_id AND {COSINE} >= 0.3 WHERE q.vec_id % 100 = 0 GROUP BY 1""")
 def verify_concept_batch(v: Views) -> DataFrame:
-    queries = hundredths(v)
-    scored = v.table("embeddings").join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", F.round(search.cosine(F.col("embedding"), F.col("query")), 6).alias("s"))
-    found = scored.where("s >= 0.3").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("s"), 6).alias("best"))
-    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "best")
+    return search.alike(v.table("embeddings"), hundredths(v), 0.3, "vec_id")
 
 
 # What needs Python: rows only, with unit tests.

@@ -9,15 +9,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from spanforge.functions.paths import is_test
 from spanforge.functions.vector import cosine  # noqa: F401  for callers that score pairs
 from spanforge.operators.graph import file_key
 
-#: Bytes of a query set's vectors up to which it is sent to every task; a larger one is refused, to be searched in parts.
+#: Bytes of a query set's vectors up to which it is sent to every task; a larger one meets the rows in blocks.
 MOST_BYTES = 128 << 20
 
+#: Scores that one step of a pair of blocks holds.
+STEP_SCORES = 1 << 24
+
 
 def filters(corpus: DataFrame, repo: str | None = None, path: str | None = None, path_contains: str | None = None, kind: str | None = None) -> DataFrame:
     """Conditions that all hold, before any scoring, so that they reach the scan."""
@@ -27,60 +31,113 @@ def filters(corpus: DataFrame, repo: str | None = None, path: str | None = None,
     return corpus
 
 
-def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the vectors of the most frequent length that have a direction, and these as unit vectors."""
+def unit(vectors: pa.Array, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of the wanted length that have a direction, and these as unit vectors."""
     size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-    wanted = np.bincount(size).argmax() if len(size) else 0
     at = np.flatnonzero(size == wanted)
     if not wanted or not len(at):
-        return at[:0], np.zeros((0, 0))
+        return at[:0], np.zeros((0, wanted))
     x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), wanted)
     norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(norm) & (norm > 0)
     return at[good], x[good] / norm[good][:, None]
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", keep: tuple[str, ...] = (), skip_self: bool = True, digits: int = 6) -> DataFrame:
+def against(corpus: DataFrame, queries: DataFrame, wanted: list[str], id_col: str, skip_self: bool, work: Callable[..., pa.RecordBatch], schema: StructType, most_bytes: int) -> DataFrame:
+    """work(qids, scores, rows) of each batch of rows and the queries it meets; each query meets each row once.
+
+    Up to most_bytes of vectors the queries are one matrix that goes to each task. Beyond, queries and rows are dealt
+    into blocks of about that size and each pair of blocks is one group, so nothing that grows reaches the driver.
+    """
+    sizes = queries.groupBy(F.coalesce(F.size("query"), F.lit(0)).alias("size")).agg(F.count(F.lit(1)).alias("n")).where("size > 0")
+    length = sizes.orderBy(F.col("n").desc(), "size").first()
+    length, number = length or (0, 0)
+    queries = queries.where(F.size("query") == length).select("qid", F.col("query").cast("array<double>").alias("query"))
+    rows = corpus.where(F.size("embedding") == length).select(*wanted, "embedding")
+
+    def meet(qids: pa.Array, matrix: np.ndarray, batch: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
+        place, x = unit(column(batch, len(wanted)), length)
+        if not len(place) or not len(matrix):
+            return
+        score = np.clip(matrix @ x.T, -1, 1)
+        if skip_self:
+            ids = column(batch, wanted.index(id_col)).take(pa.array(place))
+            if ids.type == qids.type or (pa.types.is_integer(ids.type) and pa.types.is_integer(qids.type)):
+                same = pc.index_in(ids, value_set=qids.cast(ids.type)).to_numpy(zero_copy_only=False).astype(float)
+                hit = np.flatnonzero(~np.isnan(same))
+                score[same[hit].astype(int), hit] = -np.inf
+        yield work(qids, score, [column(batch, i).take(pa.array(place)) for i in range(len(wanted))])
+
+    def heads(table: pa.Table, i: int) -> tuple[pa.Array, np.ndarray]:
+        at, matrix = unit(column(table, i + 1), length)
+        return column(table, i).take(pa.array(at, pa.int64())), matrix
+
+    if number * length * 8 <= most_bytes:
+        qids, matrix = heads(queries.toArrow(), 0)
+        return rows.mapInArrow(lambda batches: (out for batch in batches for out in meet(qids, matrix, batch)), schema)
+
+    blocks = -(-number * length * 8 // most_bytes)
+    parts = max(1, -(-rows.count() * length * 8 // most_bytes))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("qid", "query", deal(blocks, "qid").alias("block_"), every(parts).alias("part_"))
+    right = rows.select("*", deal(parts, id_col, "embedding").alias("part_")).select("*", every(blocks).alias("block_"))
+    empty = pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, to_arrow_schema(schema).types)})
+
+    def pair(asked: pa.Table, found: pa.Table) -> pa.Table:
+        qids, matrix = heads(asked, 0)
+        out = []
+        step = max(1, STEP_SCORES // max(1, len(matrix)))
+        for start in range(0, found.num_rows, step):
+            out += meet(qids, matrix, found.slice(start, step))
+        return pa.Table.from_batches(out).cast(empty.schema) if out else empty
+
+    return left.groupBy("block_", "part_").cogroup(right.groupBy("block_", "part_")).applyInArrow(pair, schema)
+
+
+def column(batch: pa.RecordBatch | pa.Table, i: int) -> pa.Array:
+    found = batch.column(i)
+    return found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], found.type)
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", keep: tuple[str, ...] = (), skip_self: bool = True, digits: int = 6, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(qid, id, score, rank): the k most similar rows for each query (qid, query), ties to the lower id.
 
-    The query set, small by contract and checked by its bytes, is one matrix that goes to each task; batches of rows
-    are multiplied with it, and of a batch only rows that may be among a query's k go on, so what moves is about k
-    rows a query and batch. Vectors that are null, zero, not finite or of another length than the queries' take no
-    part; queries are as long as most of them are. Scores are cosines in doubles, no less than -1 nor more than 1.
+    Batches of rows are multiplied with the queries, in blocks where these are many, and of a batch only rows that may
+    be among a query's k go on, so what moves is about k rows a query and batch. Vectors that are null, zero, not
+    finite or of another length than the queries' take no part; queries are as long as most of them are. Scores are
+    cosines in doubles, no less than -1 nor more than 1.
     """
     wanted = [*dict.fromkeys([id_col, *keep])]
-    fields = corpus.select(*wanted).schema.fields
-    number = queries.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
-    if number[0] * (number[1] or 0) * 8 > MOST_BYTES:
-        raise ValueError(f"the queries' vectors take more than {MOST_BYTES} bytes; search them in parts")
-    listed = queries.select("qid", F.col("query").cast("array<double>")).toArrow()
-    at, matrix = unit(listed.column("query").combine_chunks())
-    qids = listed.column("qid").combine_chunks().take(pa.array(at, pa.int64()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, x = unit(batch.column(len(wanted)))
-            if not len(place) or not len(at) or x.shape[1] != matrix.shape[1]:
-                continue
-            score = np.clip(matrix @ x.T, -1, 1)
-            if skip_self:
-                ids = batch.column(0).take(pa.array(place))
-                same = pc.index_in(ids, value_set=qids.cast(ids.type)).to_numpy(zero_copy_only=False) if ids.type == qids.type or pa.types.is_integer(ids.type) else np.full(len(place), np.nan)
-                hit = np.flatnonzero(~np.isnan(same.astype(float)))
-                score[same[hit].astype(int), hit] = -np.inf
-            n = min(k, len(place))
-            # Scores are rounded later, so those that may be equal to the last one then go on too.
-            least = np.maximum(np.partition(score, len(place) - n, axis=1)[:, len(place) - n], -2)[:, None] - 2 * 10.0**-digits
-            q, row = np.nonzero(score >= least)
-            rows = pa.array(place[row])
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), *[batch.column(i).take(rows) for i in range(len(wanted))], pa.array(score[q, row])], ["qid", *wanted, "raw"])
-
-    schema = StructType([queries.schema["qid"], *fields, StructField("raw", DoubleType())])
-    scored = corpus.where(F.col("embedding").isNotNull()).select(*wanted, "embedding").mapInArrow(run, schema).select("qid", *wanted, F.round("raw", digits).alias("score"))
+
+    def best(qids: pa.Array, score: np.ndarray, rows: list[pa.Array]) -> pa.RecordBatch:
+        n = min(k, score.shape[1])
+        # Scores are rounded later, so those that may be equal to the last one then go on too.
+        least = np.maximum(np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n], -2)[:, None] - 2 * 10.0**-digits
+        q, row = np.nonzero(score >= least)
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(q)), *[c.take(pa.array(row)) for c in rows], pa.array(score[q, row])], ["qid", *wanted, "raw"])
+
+    schema = StructType([queries.schema["qid"], *corpus.select(*wanted).schema.fields, StructField("raw", DoubleType())])
+    scored = against(corpus, queries, wanted, id_col, skip_self, best, schema, most_bytes).select("qid", *wanted, F.round("raw", digits).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def alike(corpus: DataFrame, queries: DataFrame, least: float, id_col: str = "id", skip_self: bool = True, digits: int = 6, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(qid, hits, best): how many rows score least or more for each query, and the highest score; 0 and null where
+    none does. Counts are summed for each batch before they move."""
+
+    def tally(qids: pa.Array, score: np.ndarray, rows: list[pa.Array]) -> pa.RecordBatch:
+        hits = (np.round(score, digits) >= least).sum(1)
+        q = np.flatnonzero(hits)
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(q)), pa.array(hits[q].astype(np.int64)), pa.array(score[q].max(1, initial=-1.0))], ["qid", "hits", "best"])
+
+    schema = StructType([queries.schema["qid"], StructField("hits", LongType()), StructField("best", DoubleType())])
+    parts = against(corpus, queries, [id_col], id_col, skip_self, tally, schema, most_bytes)
+    found = parts.groupBy("qid").agg(F.sum("hits").alias("hits"), F.round(F.max("best"), digits).alias("best"))
+    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "best")
+
+
 def pool_size(limit: int, rerank: bool = False, exclude_tests: bool = False, boost: bool = False) -> int:
     """Candidates to fetch, so that later filters and ranks have enough to choose from (V4)."""
     return int(limit * ((10 if rerank else 1) + 0.5 * exclude_tests + 2 * boost))

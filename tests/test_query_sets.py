@@ -30,3 +30,19 @@ def test_whole_registry_and_documents_are_read(spark):
     found = catalog.QUERIES["embed_hash_documents"](spark, DATA)
     assert found.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert {len(r.vector) for r in found.limit(50).collect()} == {64}
+
+
+def test_blocks_give_what_one_matrix_gives(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    queries = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS qid", "embedding AS query")
+    for search_for in (lambda **how: search.nearest(rows, queries, 5, "vec_id", **how), lambda **how: search.alike(rows, queries, 0.3, "vec_id", **how)):
+        whole = sorted(map(tuple, search_for().collect()))
+        assert whole and whole == sorted(map(tuple, search_for(most_bytes=800).collect()))
+
+
+def test_rows_of_another_length_do_not_hide_the_others(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(9)] + [(9, [1.0, 0.0]), (10, None), (11, [0.0, 0.0])], "id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(100, [2.0, 0.0]), (101, None)], "qid long, query array<double>")
+    for most in (search.MOST_BYTES, 8):
+        assert [(r.qid, r.id, r.score) for r in search.nearest(rows, queries, 3, most_bytes=most).collect()] == [(100, 9, 1.0)]
+        assert sorted((r.qid, r.hits, r.best) for r in search.alike(rows, queries, 0.5, most_bytes=most).collect()) == [(100, 1, 1.0), (101, 0, None)]
