@@ -560,12 +560,6 @@ def token_estimate(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", text.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("""SELECT doc_id, trim(regexp_extract(left(c, 500), '(?s)\"\"\"(.*?)\"\"\"', 1), E' \\n\\t\\r') AS docstring FROM (SELECT doc_id, '#!x' || E'\\n\"\"\" ' || left(coalesce(text, ''), 120) || E'\\n\"\"\"\\ncode' AS c FROM documents)""")
-def docstring(v: Views) -> DataFrame:
-    c = F.concat(F.lit('#!x\n""" '), F.substring(F.coalesce("text", F.lit("")), 1, 120), F.lit('\n"""\ncode'))
-    return v.table("documents").select("doc_id", text.docstring(c).alias("docstring"))
-
-
 @query("""SELECT doc_id, trim(CASE WHEN regexp_matches(h, '(?s)\"\"\".*?\"\"\"') THEN regexp_extract(h, '(?s)\"\"\"(.*?)\"\"\"', 1) ELSE regexp_extract(h, '(?s)''''''(.*?)''''''', 1) END, E' \\n\\t\\r\\x0B\\f') AS docstring
 FROM (SELECT doc_id, left('#!x' || E'\\n\"\"\" ' || coalesce(text, '') || E'\\n\"\"\"\\ncode', 500) AS h FROM documents)""")
 def docstring_whole(v: Views) -> DataFrame:
@@ -639,12 +633,6 @@ def path_match(v: Views) -> DataFrame:
     return a.join(b, "k").where(retrieval.same_path(F.col("path"), F.col("name")) | retrieval.same_path(F.col("path"), F.lit(".py"))).select("path", "other")
 
 
-@query("""SELECT 'python' AS language, 1::BIGINT AS extensions, 2 AS definitions UNION ALL SELECT 'cpp', 5, 4 UNION ALL SELECT 'rust', 1, 6 UNION ALL SELECT 'kotlin', 2, 3""")
-def language_matrix(v: Views) -> DataFrame:
-    rows = languages.languages(v.spark).groupBy("language").agg(F.count(F.lit(1)).alias("extensions"), F.max("definitions").alias("definitions"))
-    return rows.where(F.col("language").isin("python", "cpp", "rust", "kotlin"))
-
-
 @query("""SELECT * FROM (VALUES ('bash', 2, 1), ('c_sharp', 1, 5), ('cpp', 5, 4), ('css', 1, 0), ('dart', 1, 3), ('elixir', 2, 1), ('go', 1, 3), ('haskell', 1, 4), ('html', 2, 0), ('java', 1, 4), ('javascript', 2, 3), ('json', 1, 0), ('kotlin', 2, 3), ('lua', 1, 2), ('ocaml', 2, 3), ('php', 1, 3), ('python', 1, 2), ('ruby', 1, 4), ('rust', 1, 6), ('scala', 1, 4), ('sql', 1, 0), ('swift', 1, 5), ('toml', 1, 0), ('typescript', 2, 3), ('yaml', 2, 0), ('zig', 1, 1)) AS t(language, extensions, definitions)""")
 def language_matrix_whole(v: Views) -> DataFrame:
     return languages.languages(v.spark).groupBy("language").agg(F.count(F.lit(1)).alias("extensions"), F.max("definitions").alias("definitions"))

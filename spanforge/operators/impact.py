@@ -12,7 +12,8 @@ def stem_importers(changed: DataFrame, imports: DataFrame) -> DataFrame:
     """(changed, path): files that import a module whose name begins with the changed file's stem.
 
     A prefix condition would compare every pair. Instead each distinct module is listed under its prefixes of
-    the lengths that stems have, which the equality of the join then finds.
+    the lengths that stems have, which the equality of the join then finds. What is broadcast has a row for each
+    distinct length, so no more rows than the longest file name has characters.
     """
     stems = changed.select("repo_id", F.col("path").alias("changed"), stem(F.col("path")).alias("stem"))
     lengths = stems.select(F.length("stem").alias("n")).where("n > 0").distinct()
@@ -47,7 +48,9 @@ def caller_counts(changed: DataFrame, defines: DataFrame, calls: DataFrame) -> D
 
 
 def symbol_importers(changed: DataFrame, defines: DataFrame, imports: DataFrame) -> DataFrame:
-    """Files that import a module whose name ends with a name that the changed file defines (J7); as J5, by suffixes."""
+    """Files that import a module whose name ends with a name that the changed file defines (J7); as J5, by suffixes.
+
+    A row for each distinct length of a name is broadcast, no more than the longest name has characters."""
     mine = defines.join(changed, ["repo_id", "path"], "left_semi").select("repo_id", F.col("path").alias("changed"), F.col("name").alias("symbol"))
     lengths = mine.select(F.length("symbol").alias("n")).where("n > 0").distinct()
     modules = imports.select("repo_id", "module").distinct()
