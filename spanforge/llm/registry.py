@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import html, mixing, packing, quality, sharding, shingles, substrings, tokens, vectors, warc
+from spanforge.llm import bestfit, html, infill, mixing, packing, quality, ranking, sharding, shingles, substrings, tokens, vectors, warc
 from spanforge.llm.shared import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +15,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+#: That of op11.
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +71,19 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.restored(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return infill.digests(rows, output_sha256=rows["output"], restored_sha256=rows["restored"])
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -78,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_warc_archives": op10_warc_archives,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +127,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first < page_id OR page_id IS NULL THEN first END AS refers_to
         FROM f
     """,
+    "op12_fill_in_middle": infill.SQL,
+    "op13_ranked_search": ranking.SQL,
 }
