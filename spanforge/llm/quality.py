@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spanforge.llm.shared import steps
-from spanforge.llm.words import SPACE, U64, Words, flat, mixed, prefix_hash, span_hash, words
+from spanforge.llm.words import SPACE, U64, Words, digested, flat, mixed, prefix_hash, span_hash, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -128,7 +128,7 @@ def duplicate_lines(raw: np.ndarray, at: np.ndarray, prefix: np.ndarray, w: Word
     start, doc, end = start[by], doc[by], np.sort(end)
     some = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, doc = start[some], end[some], doc[some]
-    key = span_hash(prefix, start, end) ^ mixed(doc.astype(U64) + U64(1))
+    key = digested(raw, start, end, span_hash(prefix, start, end)) ^ mixed(doc.astype(U64) + U64(1))
     _, kept = np.unique(key, return_index=True)
     return np.bincount(doc, minlength=n) - np.bincount(doc[kept], minlength=n)
 

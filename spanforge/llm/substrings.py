@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegralType
 
 from spanforge.llm.shared import STEP_BYTES, drop, packed, partitions, stage, steps
 from spanforge.llm.suffixes import deep_shallow
-from spanforge.llm.words import U64, flat, mixed, prefix_hash, scale, span_hash
+from spanforge.llm.words import U64, digested, flat, mixed, prefix_hash, scale
 
 #: Bytes of an anchor; entries that a task packs at a time, and that one part of the index should hold; runs sorted together.
 GRAM, PACK, PART, SORT = 32, 1 << 18, 1 << 19, 20_000
@@ -72,7 +72,7 @@ def runs(raw: np.ndarray, at: np.ndarray, least: int) -> Runs:
     doc = np.searchsorted(at, first, "right") - 1
     stop = last + least
     a = anchor[first]
-    return Runs(doc, first - at[doc], stop - first, a - first, mixed(gram[a]), span_hash(prefix, first, stop))
+    return Runs(doc, first - at[doc], stop - first, a - first, mixed(gram[a]), digested(raw, first, stop, np.zeros(len(first), U64), 0))
 
 
 def sections(raw: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -344,7 +344,7 @@ def removal(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, judged on the input as it is.
 
     The windows of `least` bytes are gathered to runs of one anchor; runs without a partner of the same anchor
-    go at once, runs that are equal as a whole are settled by 128 bits of hashes of their bytes and their anchors,
+    go at once, runs that are equal as a whole are settled by 64 bits of BLAKE2b of their bytes and the hash of their anchors,
     and the rest are suffix-sorted within their anchor by deep-shallow sorting, which decides each of their windows
     by its bytes. Anchors deal the work out, and hot ones are dealt on by the bytes around them; no text is
     compared with all others.

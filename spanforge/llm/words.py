@@ -1,11 +1,14 @@
 """Words `[^\\x20\\x09-\\x0D]+` of many texts at once, with 64-bit hashes, in NumPy.
 
 All hashes come from one prefix sum of table[byte] * BASE**position modulo 2**64, so that the hash of any
-span is one subtraction and one multiplication. They do not depend on the process, batch or position.
+span is one subtraction and one multiplication. They do not depend on the process, batch or position. Modulo a power
+of two, long texts can be made whose sums are equal whatever the base; so spans of more than LONG bytes, few among
+words, have a cryptographic digest instead where equal hashes are taken for equal bytes (`digested`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,6 +101,20 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((prefix[end] - prefix[start]) * back(start) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Bytes up to which the hash of a span is that of the prefix sums.
+LONG = 32
+
+
+def digested(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, longer: int = LONG) -> np.ndarray:
+    """hashes, in place, with 64 bits of BLAKE2b for each span of more than `longer` bytes."""
+    at = np.flatnonzero(end - start > longer)
+    if len(at):
+        data, digest = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+        found = b"".join([digest(data[a:b], digest_size=8).digest() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        hashes[at] = np.frombuffer(found, "<u8")
+    return hashes
+
+
 @dataclass
 class Words:
     start: np.ndarray
@@ -124,4 +141,4 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False, prefix: np.ndarr
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, at)
     doc = np.repeat(np.arange(n), np.diff(first))
-    return Words(start, end, doc, span_hash(prefix_hash(raw) if prefix is None else prefix, start, end), first)
+    return Words(start, end, doc, digested(raw, start, end, span_hash(prefix_hash(raw) if prefix is None else prefix, start, end)), first)
