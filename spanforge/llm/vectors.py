@@ -16,8 +16,8 @@ from spanforge.llm.shared import partitions, stage
 BLOCK, BLOCK_BYTES = 1 << 16, 32 << 20
 #: Vectors of a cell that is worth a pivot; pivots at most; leading numbers of a vector that are compared before the whole.
 CELL, MOST_PIVOTS, HEAD = 4096, 256, 12
-#: Rows of one side that are multiplied at a time.
-STRIDE = 1024
+#: Rows of either side that are multiplied at a time.
+STRIDE, TILE = 1024, 4096
 
 
 def slack(size: int) -> float:
@@ -239,42 +239,96 @@ class Cell:
             self.copies = np.concatenate([h[1] for h in self.hosts]) if self.hosts else np.zeros(0, np.int64)
             self.x = np.concatenate([h[2] for h in self.hosts]) if self.hosts else np.zeros((0, 1))
             self.n = np.zeros(len(self.number), np.int64)
-            self.parent, self.ready, self.hosts = list(range(len(self.number))), True, []
+            self.parent, self.ready, self.hosts = np.arange(len(self.number)), True, []
             self.head = headed(self.x)
             for a in range(0, len(self.x), STRIDE):
-                i, j = self.linked(self.x[a : a + STRIDE], a + STRIDE)  # those before, themselves included
-                i, j = (i + a)[i + a > j], j[i + a > j]
-                np.add.at(self.n, i, self.copies[j])
-                np.add.at(self.n, j, self.copies[i])
-                self.join(i, j)
-
-    def linked(self, x: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places in x and among the hosts before `end` of the pairs that link, sorted."""
-        found, head = [], headed(x)
-        least = self.threshold - 2.0**-40  # far more than products are off by
-        for b in range(0, len(self.x) if end is None else min(end, len(self.x)), 8 * STRIDE):
-            y = self.x[b : min(b + 8 * STRIDE, end or len(self.x))]
-            i, j = np.nonzero(head @ self.head[b : b + len(y)].T >= least)
-            self.compared += len(i)
-            if 8 * len(i) > len(x) * len(y):  # many: all of them at once
-                i, j = np.nonzero(x @ y.T >= self.threshold)
-            elif len(i):
-                near = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) >= self.threshold
-                i, j = i[near], j[near]
-            found.append((i, j + b))
-        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        by = np.lexsort((j, i))
-        return i[by], j[by]
+                self.meet(self.x[a : a + STRIDE], self.copies[a : a + STRIDE], a)
+
+    def meet(self, x: np.ndarray, copies: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(n, first): how many vectors among the hosts each of x links with, copies counted, and one of them (or -1).
+
+        Counts of the hosts and their components follow. With `own`, x are the hosts from there on, and meet those
+        before them. A tile of x and hosts at a time, and no pairs outlive their tile: in a dense one, links are counted
+        by products, and once they tie all of a tile's rows and hosts together, nothing is left to look at.
+        """
+        n, first = np.zeros(len(x), np.int64), np.full(len(x), -1)
+        if own is not None:
+            first[:] = own + np.arange(len(x))
+        head, least = headed(x), self.threshold - 2.0**-40  # far more than products are off by
+        end = len(self.x) if own is None else own + len(x)
+        for b in range(0, end, TILE):
+            y = self.x[b : min(b + TILE, end)]
+            near = head @ self.head[b : b + len(y)].T >= least
+            some = int(np.count_nonzero(near))
+            if own is not None and b + len(y) > own:  # only hosts before the row itself
+                near &= np.arange(b, b + len(y)) < (own + np.arange(len(x)))[:, None]
+            if 8 * some > near.size:  # many: all of them at once
+                self.compared += near.size
+                near &= x @ y.T >= self.threshold
+                links = near.astype(np.float64)  # sums of whole numbers below 2**53: exact
+                sums = (links @ self.copies[b : b + len(y)]).astype(np.int64)
+                self.n[b : b + len(y)] += (copies @ links).astype(np.int64)
+                i = np.flatnonzero(near.any(1))
+                one = b + near[i].argmax(1)
+            else:
+                i, j = np.nonzero(near)
+                self.compared += len(i)
+                keep = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) >= self.threshold if len(i) else np.zeros(0, bool)
+                pair_i, pair_j = i[keep], b + j[keep]
+                near = None
+                sums = np.bincount(pair_i, self.copies[pair_j], len(x)).astype(np.int64)
+                self.n[b : b + len(y)] += np.bincount(pair_j - b, copies[pair_i], len(y)).astype(np.int64)
+                i, at = np.unique(pair_i, return_index=True)
+                one = pair_j[at]
+            n += sums
+            if own is not None:
+                self.n[own : own + len(x)] += sums
+            if not len(i):
+                continue
+            new = first[i] < 0
+            first[i[new]] = one[new]
+            self.join(first[i], one)
+            roots = self.roots(np.concatenate([np.arange(b, b + len(y)), first[i]]))
+            host, mine = roots[: len(y)], roots[len(y) :]
+            if (roots == roots[0]).all():
+                continue
+            if near is not None:
+                row, label = self.labels(near[i], host)
+            else:
+                row, label = np.searchsorted(i, pair_i), host[pair_j - b]
+            other = np.flatnonzero(mine[row] != label)
+            pairs = np.unique(np.stack([mine[row[other]], label[other]]), axis=1)
+            self.join(*pairs)
+        return n, first
+
+    @staticmethod
+    def labels(links: np.ndarray, host: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, label) of each label among the hosts that a row links with: a few labels by columns, else by pairs."""
+        known, at = np.unique(host, return_inverse=True)
+        if len(known) > 64:
+            row, j = np.nonzero(links)
+            return row, host[j]
+        found = np.stack([links[:, at == k].any(1) for k in range(len(known))], axis=1)
+        row, k = np.nonzero(found)
+        return row, known[k]
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        r = self.parent[i]
+        while (r != (up := self.parent[r])).any():
+            r = up
+        self.parent[i] = r
+        return r
 
     def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        while (up := self.parent[i]) != i:
+            self.parent[i] = self.parent[up]
+            i = int(self.parent[i])
         return i
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        i, j = self.roots(i), self.roots(j)
+        differ = np.flatnonzero(i != j)
+        for a, b in zip(i[differ].tolist(), j[differ].tolist(), strict=True):
             a, b = self.root(a), self.root(b)
             if a != b:
                 self.parent[max(a, b)] = min(a, b)
@@ -283,14 +337,11 @@ class Cell:
         self.begin()
         if not len(self.number):
             return
-        i, j = self.linked(x)
-        if not len(i):
-            return
-        np.add.at(self.n, j, copies[i])
-        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        self.join(np.repeat(j[first], np.diff(np.append(first, len(i)))), j)
-        total = np.add.reduceat(self.copies[j], first)
-        yield links_of(number[i[first]].tolist(), total.tolist(), self.number[j[first]].tolist())
+        for a in range(0, len(x), STRIDE):
+            n, first = self.meet(x[a : a + STRIDE], copies[a : a + STRIDE])
+            i = np.flatnonzero(first >= 0)
+            if len(i):
+                yield links_of(number[a + i].tolist(), n[i].tolist(), self.number[first[i]].tolist())
 
     def done(self) -> Iterator[pa.RecordBatch]:
         self.begin()

@@ -1,5 +1,8 @@
 """The bounds of the metric join: they keep every link, and prune."""
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -63,3 +66,53 @@ def test_links_equal_sql(spark):
     want = sorted(con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({ORACLE_SQL['op7_metric_range_join']})").fetchall())
     got = sorted(tuple(r) for r in vectors.near_duplicates(df).collect())
     assert got == want and sum(n > 0 for _, n, *_ in got) > 400
+
+
+def linked_blocks(x, copies, guests=0):
+    """What a cell says of x, the last `guests` of which pass by: links by number, and components."""
+    k = len(x) - guests
+    cell = vectors.Cell((x.shape[1], 0, 0), 0.95)
+    cell.hosts.append((np.arange(k), copies[:k], x[:k]))
+    batches = [*cell.guests(np.arange(k, len(x)), copies[k:], x[k:]), *cell.done()] if guests else [*cell.done()]
+    n, parent = np.zeros(len(x), int), list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for number, links, other in (r for b in batches for r in zip(*b.to_pydict().values(), strict=True)):
+        n[number] += links
+        if other is not None:
+            parent[root(number)] = root(other)
+    return n, [root(i) for i in range(len(x))]
+
+
+def test_blocks_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(vectors, "STRIDE", 16)
+    monkeypatch.setattr(vectors, "TILE", 24)
+    rng = np.random.default_rng(9)
+    for spread, groups in ((0.02, 1), (0.05, 9), (0.12, 30), (0.3, 3)):
+        x = clustered(230, 8, groups, spread, seed=groups)
+        copies = rng.integers(1, 4, len(x))
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        for guests in (0, 90):
+            seen = near.copy()
+            seen[len(x) - guests :, len(x) - guests :] = False  # guests don't meet one another here
+            n, roots = linked_blocks(x, copies, guests)
+            assert n.tolist() == (seen @ copies).tolist()
+            want = np.arange(len(x))
+            for _ in range(len(x)):
+                want = np.minimum(want, np.where(seen, want, len(x)).min(1))
+            assert len(set(zip(want.tolist(), roots, strict=True))) == len(set(roots)) == len(set(want.tolist()))
+
+
+def test_a_dense_cluster_is_counted_without_its_pairs():
+    x = clustered(20_000, 16, 1, 0.01)
+    tracemalloc.start()
+    began = time.perf_counter()
+    n, roots = linked_blocks(x, np.ones(len(x), int))
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert (n == len(x) - 1).all() and set(roots) == {roots[0]}
