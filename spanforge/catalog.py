@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import hashing, paths, text
-from spanforge.operators import governance, graph, impact, mutation, retrieval, review, search
+from spanforge.operators import governance, graph, impact, knn, mutation, retrieval, review, search
 from spanforge.plans import runs
 from spanforge.plans.views import Views, sql
 from spanforge.sources import files, languages, parsing
@@ -122,6 +122,27 @@ def fallback_scores(v: Views) -> DataFrame:
     return search.fallback_scores(v.table("conversations"), "conv_id", [F.col("turn")]).select("conv_id", "turn", "score")
 
 
+# Search by an index of lists around centroids (V2, V3): the exact way, and what few probes find.
+
+
+def indexed(v: Views) -> knn.Index:
+    e = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return knn.build(e.join(v.vectors.select("id", "path", "repo"), "id", "left"), keep=("path", "repo"))
+
+
+@query(sql(f"""SELECT q.vec_id AS qid, c.vec_id AS id, v.path, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.vec_id) AS rank
+FROM embeddings c LEFT JOIN vectors v ON v.id = c.vec_id, embeddings q WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 10"""))
+def vector_index_exact(v: Views) -> DataFrame:
+    return knn.nearest(indexed(v), hundredths(v), 10, exact=True).select("qid", "id", "path", "score", "rank")
+
+
+@query()
+def vector_index_recall(v: Views) -> DataFrame:
+    found = knn.nearest(indexed(v), hundredths(v), 10)
+    true = search.nearest(v.table("embeddings"), hundredths(v), 10, "vec_id").withColumnRenamed("vec_id", "id")
+    return knn.recall(found, true, ["qid", "id"])
+
+
 # Graph (J1-J4, J8-J10, A1-A7, F22, V14).
 
 
