@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from unicodedata import combining, east_asian_width
 
@@ -21,7 +21,7 @@ def names(text: str) -> frozenset[str]:
 #: Element names by their part in HTML's rules.
 VOID = names("area base br col embed hr img input link meta param source track wbr")
 RAW = names("script style textarea title xmp iframe noembed noframes")
-HIDDEN = names("head script style template noscript iframe noembed noframes object audio video canvas datalist param source track meta link base title colgroup col")
+HIDDEN = names("head script style template noscript rp iframe noembed noframes object audio video canvas datalist param source track meta link base title colgroup col")
 HEAD = names("head title base link meta style script template noscript")
 BLOCK = names("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp listing plaintext textarea caption")
 SPACED = names("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp listing")
@@ -61,6 +61,8 @@ DISPLAY = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?"
 VISIBILITY = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)")
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 KEEP_SPACE = re.compile(r"(?i)(?:^|;)\s*white-space\s*:\s*(?:pre|break-spaces)")
+#: Kinds of input whose value isn't shown as text.
+VALUELESS = names("hidden password checkbox radio file image range color")
 #: Elements nested deeper become siblings, as in browsers; a table column is padded to this at most.
 DEEPEST, WIDEST, GUTTER = 400, 80, "  "
 
@@ -82,8 +84,10 @@ def opens_value(html: str, first: int, at: int) -> bool:
     return at >= first and html[at] == "="
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes): kinds are text, raw (text as it stands), start and end."""
+def tokens(html: str, drawn: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kinds are text, raw (text as it stands), start and end.
+
+    drawn tells whether the place that has been reached is within svg or math, where `<![CDATA[` begins text."""
     at, n = 0, len(html)
     while at < n:
         cut = html.find("<", at)
@@ -95,6 +99,10 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         if html.startswith("<!--", cut):
             end = html.find("-->", cut + 2)
             at = n if end < 0 else end + 3
+        elif html.startswith("<![CDATA[", cut) and drawn():
+            end = html.find("]]>", cut)
+            yield "raw", html[cut + 9 : n if end < 0 else end], ""
+            at = n if end < 0 else end + 3
         elif html.startswith(("<!", "<?"), cut):
             end = html.find(">", cut)
             at = n if end < 0 else end + 1
@@ -156,7 +164,7 @@ def tree(html: str) -> Node:
         if found:
             del stack[found:]
 
-    for kind, name, rest in tokens(html):
+    for kind, name, rest in tokens(html, lambda: bool(stack[-1].foreign)):
         if kind in ("text", "raw") and stack[-1].tag != "title" and (stack[-1].veiled or stack[-1].foreign == "svg" and all(x.tag != "text" for x in stack)):
             continue
         if kind == "text":
@@ -303,8 +311,9 @@ def element(node: Node, page: Page, keep: bool, depth: int) -> None:
     if tag == "br":
         page.newline()
     elif tag == "input":
-        if a.get("type", "").lower() in ("submit", "button", "reset") and a.get("value") and not node.veiled:
-            page.text(a["value"], False)
+        shows = a.get("value") if a.get("type", "").lower() not in VALUELESS else None
+        if shows and not node.veiled:
+            page.text(shows, False)
     elif tag == "q" and not node.veiled:
         page.word("“")
         flow(node, page, keep, depth)
@@ -321,7 +330,9 @@ def element(node: Node, page: Page, keep: bool, depth: int) -> None:
         page.block(True)
     elif tag in ("ul", "ol", "menu", "dir"):
         page.block(depth == 0)
-        number = int(a["start"]) if re.fullmatch(r"-?\d{1,9}", a.get("start", "")) else 1
+        down = tag == "ol" and "reversed" in a
+        items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if down else 1
+        number = int(a["start"]) if re.fullmatch(r"-?\d{1,9}", a.get("start", "")) else items
         for child in node.children:
             if isinstance(child, str):
                 page.text(child, keep)
@@ -335,7 +346,7 @@ def element(node: Node, page: Page, keep: bool, depth: int) -> None:
                 page.block(False)
                 for line in indented(inner(child, keep, depth + 1), mark, " " * len(mark)):
                     page.put(line)
-                number += 1
+                number += -1 if down else 1
         page.block(depth == 0)
     elif tag in ("blockquote", "dd"):
         page.block(tag in SPACED)

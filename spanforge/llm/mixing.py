@@ -64,7 +64,7 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: st
     """doc_id, source, size, source_size, target, shard, shard_size, start, quota and taken of every document.
 
     Sizes are words. Blocks of `block` words go to sources by Sainte-Laguë, then by it to each source's shards
-    (about shard_words each; documents fall into them by a seeded digest of their id), which gives integer
+    (about shard_words each; documents fall into them by a seeded digest of their id, or of their text if it is null), which gives integer
     quotas per shard. A shard's documents stand in seeded order; its quota of blocks is read off from the start
     of that sequence, and over it again where the quota is larger than the shard. `start` is the document's
     first word there and taken the number of its words in the blocks, at most 3 times its size.
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: st
     comes first, and rows of one id and size stand in the order of a hash of their texts.
     """
     more = [] if row_col is None else [docs[row_col].alias("at"), F.xxhash64(docs[text_col]).alias("hash")]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("/"), F.xxhash64(docs[text_col]).cast("string")))))
     sized, _ = stage(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), key.alias("key"), *more), "mix")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     sources = sources.withColumns({"blocks": F.ceil(F.col("total") / block), "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))})

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from spanforge.llm import bpe
 from spanforge.llm.shared import steps
-from spanforge.llm.tokens import forget, kept_ids, lowered, tokenizer
+from spanforge.llm.tokens import cut_at_spaces, forget, kept_ids, lowered, tokenizer
 
 K1, B = 1.2, 0.75
 #: Tokens of an index shard: it bounds a shard's memory and the cost of a query.
@@ -172,11 +173,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     end = end_id.to_bytes(bytes_each, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = kept_ids(tokenizer_path, width).__getitem__
+        if cut_at_spaces(tokenizer_path):
+            get = kept_ids(tokenizer_path, width).__getitem__
+            of = lambda text: b"".join(map(get, lowered(text).split()))
+        else:
+            of = bpe.encoder(tokenizer_path)[0]
         for batch in steps(batches, 1):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.frombuffer(b"".join(map(get, lowered(text or b"").split())) + end, width)
+                ids = np.frombuffer(of(text or b"") + end, width)
                 whole = len(ids) // length * length
                 for at in range(0, whole, length):
                     piece = ids[at : at + length]
@@ -187,6 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
             yield batch_of(out, [batch.schema.field(0).type, *[pa.int64()] * 5, pa.binary()], ["id", "start", "length", "ids_crc32", "doc_tokens", "signature", "ids"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         forget()  # encoding is over once its shuffle is read, and workers live on
         packer, number = Packer(length), TaskContext.get().partitionId() << 40
         id_type, out = pa.int64(), []

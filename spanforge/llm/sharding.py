@@ -100,7 +100,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, block_rows: int = 100_000, id_c
     along the widest dimension until each leaf holds its equal part of the bytes. Rows alike in a dimension are
     ordered by the text's checksum, then the id's hash, so equal texts stay together where a split allows it,
     and one value or one text that fills several shards is divided. Slots number the rows of a shard: a count by
-    block of ids, then a position within the block, so that no task orders a whole shard.
+    block of ids and texts, then a position within the block, so that no task orders a whole shard.
 
     Null ids and categories are values like others; rows that are alike get slots each; an empty table gives no
     rows. Only split points and sums by node come to the driver.
@@ -115,7 +115,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, block_rows: int = 100_000, id_c
     rows, _ = stage(docs.select(docs[id_col].alias("id"), size.alias("size"), crc.alias("text_crc32"), *[k.alias(n) for n, k in keys.items()]), "shards")
     root = tree(rows, shards, list(bins))
     blocks = max(1, rows.count() // (shards * block_rows))
-    placed = rows.select("id", "size", "text_crc32", shard_of(root).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block"))
+    placed = rows.select("id", "size", "text_crc32", shard_of(root).cast("int").alias("shard"), F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(blocks)).alias("block"))
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("offset"))
     slot = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "size")) - 1
