@@ -164,7 +164,7 @@ def define_edges(v: Views) -> DataFrame:
 @query(sql("""SELECT f.path, count(DISTINCT b.src) AS neighbours FROM file f LEFT JOIN graph a ON a.src = f.path
 LEFT JOIN graph b ON a.dst = b.dst AND a.repo_id = b.repo_id AND a.type = b.type AND a.type = 'IMPORTS' AND a.src <> b.src GROUP BY f.path"""))
 def neighbors_batch(v: Views) -> DataFrame:
-    near = search.co_references(v.imports.withColumn("type", F.lit("IMPORTS"))).groupBy("path").agg(F.count(F.lit(1)).alias("neighbours"))
+    near = search.co_reference_counts(v.imports.withColumn("type", F.lit("IMPORTS")))
     return v.file.select("path").join(near, "path", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 
 
@@ -195,6 +195,27 @@ def traverse_d3(v: Views) -> DataFrame:
     return walk(v, 3)
 
 
+# Every order whose number is divisible by 100 is a start of its own.
+STARTS = ["""
+link AS (SELECT 'f:' || src AS a, 'm:' || repo_id || ':' || dst AS b FROM imports UNION SELECT 'm:' || repo_id || ':' || dst, 'f:' || src FROM imports)""", """
+w AS (SELECT o_orderkey AS qid, 'f:o' || o_orderkey AS n, 0 AS d FROM orders WHERE o_orderkey % 100 = 0 UNION SELECT qid, b, d + 1 FROM w JOIN link ON a = n WHERE d < 3)"""]
+
+
+def walks(v: Views, depth: int) -> tuple[DataFrame, DataFrame]:
+    starts = v.file.withColumn("qid", F.expr("cast(substr(path, 2) as bigint)")).where("qid % 100 = 0").select("qid", F.lit("File").alias("label"), F.col("repo_id").alias("repo"), F.col("path").alias("id"))
+    return graph.traverse_from(graph.adjacency(v.graph, ["IMPORTS"]), starts, depth)
+
+
+@query(sql("SELECT qid, src, dst, repo_id FROM w JOIN imports ON n = 'f:' || src WHERE d < 3 UNION SELECT qid, src, dst, repo_id FROM w JOIN imports ON n = 'm:' || repo_id || ':' || dst WHERE d < 3", *STARTS))
+def traverse_starts_d3(v: Views) -> DataFrame:
+    return walks(v, 3)[1].select("qid", "src", "dst", "repo_id")
+
+
+@query(sql("SELECT qid, CASE WHEN n LIKE 'f:%' THEN 'File' ELSE 'Module' END AS label, split_part(n, ':', -1) AS id, min(d)::INT AS depth FROM w WHERE d < 3 GROUP BY ALL", *STARTS))
+def traverse_starts_nodes(v: Views) -> DataFrame:
+    return walks(v, 2)[0].select("qid", "label", "id", "depth")
+
+
 @query(sql("SELECT n AS node_count, m AS edge_count, round(m / (n * (n - 1)), 6) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM graph) AS m)"))
 def graph_stats(v: Views) -> DataFrame:
     return graph.stats(v.nodes, v.graph)
@@ -244,8 +265,8 @@ def last_by_key(v: Views) -> DataFrame:
 @query(sql("""SELECT a.repo_id, a.src AS path, count(DISTINCT b.src) AS neighbours FROM sedge a JOIN sedge b ON a.repo_id = b.repo_id AND a.type = b.type AND a.dst = b.dst AND a.src <> b.src
 WHERE a.type = 'IMPORTS' GROUP BY 1, 2"""))
 def shared_neighbors(v: Views) -> DataFrame:
-    near = search.co_references(v.sedge.where("type = 'IMPORTS'"), by=("repo_id",))
-    return near.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("neighbours"))
+    near = search.co_reference_counts(v.sedge.where("type = 'IMPORTS'"), by=("repo_id",))
+    return near.select("repo_id", "path", "neighbours")
 
 
 @query(sql("SELECT DISTINCT src, dst, repo_id FROM e WHERE src = 'f1' OR dst IN (SELECT dst FROM e WHERE src = 'f1')", "e AS (SELECT * FROM sedge WHERE type = 'IMPORTS' AND repo_id = '1')"))
@@ -669,7 +690,7 @@ def export_signatures(v: Views) -> DataFrame:
 JOIN doc_paths x ON x.path = r.path LEFT JOIN doc_paths y ON y.repo = x.repo AND y.path <> r.path GROUP BY 1, 2"""))
 def search_context(v: Views) -> DataFrame:
     top = search.nearest(v.vectors, zero(v), 3, keep=("path",)).select("id", "path")
-    near = search.co_references(v.doc_refs, top).groupBy("path").agg(F.count(F.lit(1)).alias("around"))
+    near = search.co_reference_counts(v.doc_refs).withColumnRenamed("neighbours", "around")
     return top.join(near, "path", "left").select("id", "path", F.coalesce("around", F.lit(0)).alias("around"))
 
 
@@ -684,7 +705,7 @@ def verify_concept(v: Views) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) <= 3) r JOIN doc_paths x ON x.path = r.path LEFT JOIN doc_paths y ON y.repo = x.repo AND y.path <> r.path GROUP BY 1, 2, 3"""))
 def search_context_batch(v: Views) -> DataFrame:
     top = search.nearest(v.vectors, hundredths(v), 3, keep=("path",)).select("qid", "id", "path")
-    near = search.co_references(v.doc_refs, top).groupBy("path").agg(F.count(F.lit(1)).alias("around"))  # the same for every query
+    near = search.co_reference_counts(v.doc_refs).withColumnRenamed("neighbours", "around")  # the same for every query
     return top.join(near, "path", "left").select("qid", "id", "path", F.coalesce("around", F.lit(0)).alias("around"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.plans import staging
+
 #: The types of relationship.
 RELATIONSHIPS = ("IMPORTS", "CALLS", "DEFINES", "CONTAINS", "MODIFIES", "BELONGS_TO")
 EDGE = "id string, src string, src_label string, dst string, dst_label string, type string, repo_id string"
@@ -32,29 +34,58 @@ def contains(repositories: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(repositories.select(F.col("id").alias("repo_id")), "repo_id").select(F.col("repo_id").alias("src"), F.col("path").alias("dst"), "repo_id")
 
 
-def traverse(all_edges: DataFrame, start: DataFrame, depth: int = 1, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) reachable over at most `depth` edges of the types, in either direction.
+NODE = ["label", "repo", "id"]
 
-    Nodes are (label, repo_id, id), so a walk stays in its repository although others have equal paths; a start
-    (label, repo, id) with an empty repo stands for the nodes of that name in all repositories. Each hop joins the
-    edges with the newest nodes only; what was met before is taken out again by an anti-join, so hops don't grow
-    by walks that come back.
-    """
+
+def by_both_ends(all_edges: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(label, repo, id, to, edge): each edge of the types under its two ends, with the other end in `to`."""
     e = all_edges.where(F.col("type").isin(allowed(types)))
-    ends = lambda x: F.struct(F.col(f"{x}_label").alias("label"), F.col("repo_id").alias("repo"), F.col(x).alias("id"))
-    e = e.select(*e.columns, ends("src").alias("a"), ends("dst").alias("b"))
-    loose = start.where("repo = ''").select("label", "id").distinct()
-    named = start.where("repo <> ''").select(F.struct("label", "repo", "id").alias("n"))
-    for x in "ab":
-        named = named.unionAll(e.join(loose, (F.col(f"{x}.label") == loose["label"]) & (F.col(f"{x}.id") == loose["id"]), "left_semi").select(F.col(x).alias("n")))
-    frontier = named.distinct()
-    seen, found = frontier, None
-    for _ in range(clamp_depth(depth)):
-        hop = e.join(frontier, F.col("a") == F.col("n"), "left_semi").unionAll(e.join(frontier, F.col("b") == F.col("n"), "left_semi")).distinct()
-        found = hop if found is None else found.unionAll(hop).distinct()
-        frontier = hop.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(seen, "n", "left_anti")
-        seen = seen.unionAll(frontier)
-    return seen.select("n.label", "n.repo", "n.id"), found.drop("a", "b")
+    end = lambda x: F.struct(F.col(f"{x}_label").alias("label"), F.col("repo_id").alias("repo"), F.col(x).alias("id"))
+    ways = F.explode(F.array(*[F.struct(end(x).alias("n"), end(y).alias("to")) for x, y in (("src", "dst"), ("dst", "src"))]))
+    return e.select(F.struct(*e.columns).alias("edge"), ways.alias("w")).select("w.n.*", "w.to", "edge")
+
+
+def adjacency(all_edges: DataFrame, types: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """by_both_ends as a written table, bucketed by node: hops from it read one file a bucket and don't move it."""
+    return staging.bucketed(by_both_ends(all_edges, types), "adjacency", NODE, buckets)
+
+
+def traverse_from(neighbours: DataFrame, starts: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) reachable from each start over at most `depth` edges, in either direction.
+
+    neighbours: by_both_ends or adjacency of the edges; starts: (qid, label, repo, id), of which several may have one
+    qid. Nodes are (qid, label, repo, id, depth), with the least depth; edges are (qid, the columns of edges), each
+    once for a qid. A start with an empty repo stands for the nodes of that name in all repositories; one without
+    edges is a node alone.
+
+    The frontier is pairs of qid and node. Each hop is one join of it with the neighbours and is written, as is the
+    next frontier, without what an earlier one had; so every hop's plan has the same size, and Spark knows whether a
+    frontier is small enough to be broadcast.
+    """
+    loose = starts.where("repo = ''")
+    named = starts.where("repo <> ''").select("qid", *NODE)
+    some = neighbours.select(*NODE).join(loose.select("label", "id").distinct(), ["label", "id"], "left_semi").distinct()
+    frontier = staging.staged(named.unionByName(loose.drop("repo").join(some, ["label", "id"]).select("qid", *NODE)).distinct(), "frontier")
+    seen, found = [frontier.withColumn("depth", F.lit(0))], None
+    depth = clamp_depth(depth)
+    for hop in range(1, depth + 1):
+        met = staging.staged(neighbours.join(frontier, NODE).select("qid", "to", "edge"), "hop")
+        found = met if found is None else found.unionAll(met)
+        new = met.select("qid", "to.*").distinct()
+        for old in seen[-2:]:  # a neighbour's depth differs by one at most, so only the last two can hold it again
+            new = new.join(old, ["qid", *NODE], "left_anti")
+        frontier = staging.staged(new, "frontier") if hop < depth else new
+        seen.append(frontier.withColumn("depth", F.lit(hop)))
+    nodes = seen[0]
+    for level in seen[1:]:
+        nodes = nodes.unionByName(level)
+    return nodes, found.select("qid", "edge").distinct().select("qid", "edge.*")
+
+
+def traverse(all_edges: DataFrame, start: DataFrame, depth: int = 1, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) reachable from the starts (label, repo, id) taken together; see traverse_from."""
+    nodes, edges_ = traverse_from(by_both_ends(all_edges, types), start.select(F.lit(0).alias("qid"), *NODE), depth)
+    return nodes.select(*NODE), edges_.drop("qid")
 
 
 def stats(nodes: DataFrame, all_edges: DataFrame, by: list[str] | None = None) -> DataFrame:

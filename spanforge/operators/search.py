@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from spanforge.functions.paths import is_test
 from spanforge.functions.vector import cosine  # noqa: F401  for callers that score pairs
 from spanforge.operators.graph import file_key
+from spanforge.plans.staging import staged
 
 #: Bytes of a query set's vectors up to which it is sent to every task; a larger one meets the rows in blocks.
 MOST_BYTES = 128 << 20
@@ -157,6 +158,55 @@ def co_references(refs: DataFrame, sources: DataFrame | None = None, by: tuple[s
     return a.join(b, key).where("path <> neighbour").select(*by, "path", "neighbour").distinct()
 
 
+#: Files up to which a target's files are paired, and targets with more up to which a file's are counted by subsets.
+LIGHT, MOST_SUBSETS = 64, 6
+
+
+def co_reference_counts(refs: DataFrame, by: tuple[str, ...] = (), light: int = LIGHT, most_subsets: int = MOST_SUBSETS) -> DataFrame:
+    """(by, path, neighbours): how many other files refer to a target that the file refers to (J4); none is no row.
+
+    Targets of at most `light` files pair these. Heavier ones never do: the files that share one of a file's heavy
+    targets are counted by inclusion and exclusion over the sets of heavy targets that files have, each file adding to
+    the count of each subset of its own; work is linear in their edges. Files with more than `most_subsets` heavy
+    targets are few kinds by nature; for each kind, bitmaps of the targets' files are united. Light pairs that
+    share a heavy target, too, are left out, so each neighbour counts once.
+    """
+    target = [*dict.fromkeys([*by, "repo_id", "type", "dst"])]
+    file = [*by, "path"]
+    edges = staged(refs.select(*target, F.col("src").alias("path")).distinct(), "references")
+    # Files and targets of several get numbers, which hold once written.
+    files = staged(edges.select(*file).distinct().withColumn("no", F.monotonically_increasing_id()), "reference-files")
+    several = edges.groupBy(*target).agg(F.count(F.lit(1)).alias("files")).where("files > 1")
+    several = staged(several.select(*target, (F.col("files") > light).alias("heavy"), F.monotonically_increasing_id().alias("target")), "reference-targets")
+    numbered = staged(edges.join(several, target).join(files, file).select(*by, "no", "target", "heavy"), "numbered-references")
+
+    on_heavy = numbered.where("heavy")
+    sets = staged(on_heavy.groupBy("no", *by).agg(F.sort_array(F.collect_list("target")).alias("set")), "heavy-sets")  # a file has no more than its own targets
+    kinds = sets.groupBy(*by, "set").agg(F.count(F.lit(1)).alias("n"))
+    # By kind: how many files have a target of it. A part of a kind's set is held by each kind that has all of it.
+    narrow = kinds.where(F.size("set") <= most_subsets)
+    every = F.expr("transform(sequence(1, shiftleft(1, size(set)) - 1), m -> named_struct('part', filter(set, (t, i) -> (shiftright(m, i) & 1) = 1), 'sign', if(bit_count(m) % 2 = 1, 1, -1)))")
+    asked = narrow.select(*by, "set", "n", F.explode(every).alias("p")).select(*by, "set", "n", "p.part", "p.sign")
+    wide = kinds.where(F.size("set") > most_subsets)
+    parts = asked.select(*by, "part").distinct().withColumn("first", F.element_at("part", 1))
+    wide_hits = wide.select(*by, "set", "n", F.explode("set").alias("first")).join(parts, [*by, "first"]).where(F.size(F.array_except("part", "set")) == 0)
+    held = asked.select(*by, "n", "part").unionByName(wide_hits.select(*by, "n", "part")).groupBy(*by, "part").agg(F.sum("n").alias("held"))
+    counted = asked.join(held, [*by, "part"]).groupBy(*by, "set").agg(F.sum(F.col("sign") * F.col("held")).alias("near"))
+
+    maps = on_heavy.join(wide.select(F.explode("set").alias("target")).distinct(), "target", "left_semi").groupBy("target", F.expr("bitmap_bucket_number(no)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(no))").alias("map"))
+    united = wide.select(*by, "set", F.explode("set").alias("target")).join(maps, "target").groupBy(*by, "set", "bucket").agg(F.expr("bitmap_count(bitmap_or_agg(map))").alias("near"))
+    near = counted.unionByName(united.groupBy(*by, "set").agg(F.sum("near").alias("near")))
+    by_heavy = sets.join(near, [*by, "set"]).select("no", (F.col("near") - 1).alias("n"))
+
+    on_light = numbered.where("not heavy").select("target", "no")
+    pairs = on_light.join(on_light.withColumnRenamed("no", "other"), "target").where("no <> other").select("no", "other").distinct()
+    there = sets.select("no", "set")
+    apart = pairs.join(there, "no", "left").join(there.select(F.col("no").alias("other"), F.col("set").alias("others")), "other", "left").where(~F.coalesce(F.arrays_overlap("set", "others"), F.lit(False)))
+    by_light = apart.groupBy("no").agg(F.count(F.lit(1)).alias("n"))
+    total = by_heavy.unionByName(by_light).groupBy("no").agg(F.sum("n").alias("neighbours")).where("neighbours > 0")
+    return files.join(total, "no").select(*file, "neighbours")
+
+
 def boosted(pool: DataFrame, refs: DataFrame, weight: float = 0.05, digits: int = 6) -> DataFrame:
     """Adds weight to a score for each other path of the same query's pool that shares a reference (V5). If the pool
     has repo_id, its files are those of that repository."""
