@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import hashing, paths, text
-from spanforge.operators import governance, graph, impact, knn, mutation, retrieval, review, search
-from spanforge.plans import runs
+from spanforge.operators import governance, graph, impact, knn, lexical, mutation, retrieval, review, search, substring
+from spanforge.plans import runs, staging
 from spanforge.plans.views import Views, sql
 from spanforge.sources import files, languages, parsing
 
@@ -143,6 +143,56 @@ def vector_index_recall(v: Views) -> DataFrame:
     return knn.recall(found, true, ["qid", "id"])
 
 
+# Scores from the corpus (V6, V11): reranking by BM25, projected tf-idf vectors; and substrings by trigrams.
+
+TERMS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+LEXICON = [f"""
+split AS MATERIALIZED (SELECT doc_id AS id, {TERMS} AS ts FROM documents)""", """
+corpus AS MATERIALIZED (SELECT count(*) AS nn, avg(len(ts)) AS mean FROM split)""", """
+occ AS MATERIALIZED (SELECT id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT id, len(ts) AS n, unnest(ts) AS term FROM split) GROUP BY ALL)""", """
+idf AS MATERIALIZED (SELECT term, ln(1 + ((any_value(nn) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE))) AS idf FROM occ, corpus GROUP BY term)"""]
+
+
+def query_texts(v: Views) -> DataFrame:
+    return v.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "text")
+
+
+@query(sql("""SELECT qid, id, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10""", f"""
+pool AS MATERIALIZED (SELECT q.vec_id AS qid, c.id, c.path, {COSINE} AS score FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) <= 125)""", f"""
+kept AS MATERIALIZED (SELECT * FROM pool WHERE NOT {TEST})""", *LEXICON, """
+asked AS (SELECT DISTINCT id AS qid, term FROM occ WHERE id % 100 = 0)""", """
+hits AS MATERIALIZED (SELECT k.qid, k.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS s FROM kept k JOIN asked a ON a.qid = k.qid JOIN occ o ON o.id = k.id AND o.term = a.term JOIN idf i ON i.term = a.term, corpus GROUP BY 1, 2)""", """
+scored AS (SELECT k.qid, k.id, k.path, round(coalesce(s, 0.0), 6) AS score FROM kept k LEFT JOIN hits h ON h.qid = k.qid AND h.id = k.id)"""))
+def hybrid_reranked(v: Views) -> DataFrame:
+    rerank = lexical.reranker(v.table("documents"), query_texts(v), "doc_id")
+    return search.hybrid(v.vectors, hundredths(v), v.doc_refs, rerank=rerank).select("qid", "id", "path", "score", F.col("rank").cast("long"))
+
+
+@query(sql("""SELECT q.id AS qid, c.id, round(list_cosine_similarity(c.v, q.v), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(c.v, q.v), 6) DESC, c.id) AS rank
+FROM projected c, projected q WHERE q.id % 100 = 0 AND c.id <> q.id QUALIFY rank <= 10""", *LEXICON, """
+projected AS MATERIALIZED (SELECT id, list(x ORDER BY j) AS v FROM (SELECT id, j, sum((1 + ln(tf::DOUBLE)) * idf * CASE WHEN md5(term)[j] < '8' THEN 1 ELSE -1 END) AS x FROM occ JOIN idf USING (term), range(1, 33) r(j) GROUP BY id, j) GROUP BY id)"""))
+def tfidf_topk(v: Views) -> DataFrame:
+    docs = v.table("documents").select(F.col("doc_id").alias("id"), "text")
+    made = staging.staged(lexical.vectors(docs, lexical.statistics(docs)), "tfidf").withColumnRenamed("vector", "embedding")
+    asked = made.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    return search.nearest(made, asked, 10).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
+@query("SELECT item_id, doc_id FROM (SELECT item_id, substr(text, 6, 30) AS needle FROM benchmark) JOIN documents ON contains(text, needle)")
+def substring_search(v: Views) -> DataFrame:
+    docs = v.table("documents")
+    needles = v.table("benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 6, 30).alias("needle"))
+    return substring.search(substring.build(docs, "doc_id"), docs, needles, "doc_id").select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
+
+
+@query("SELECT '::s' || s_suppkey AS symbol, count(*) AS files FROM supplier JOIN lineitem ON l_linenumber = 2 AND contains('p' || l_partkey || '::s' || l_suppkey, '::s' || s_suppkey) GROUP BY 1")
+def symbol_grep(v: Views) -> DataFrame:
+    lines = v.table("lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("p"), "l_partkey", F.lit("::s"), "l_suppkey").alias("text"))
+    needles = v.table("supplier").select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("::s"), "s_suppkey").alias("needle"))
+    found = substring.search(substring.build(lines), lines, needles)
+    return found.groupBy(F.concat(F.lit("::s"), "qid").alias("symbol")).agg(F.count(F.lit(1)).alias("files"))
+
+
 # Graph (J1-J4, J8-J10, A1-A7, F22, V14).
 
 
@@ -434,6 +484,16 @@ def blockers(v: Views) -> DataFrame:
     return review.by_severity(review.violations(POLICIES, changes(v)))
 
 
+RULE = """CASE WHEN p_partkey % 50 = 7 THEN '*e*' ELSE CASE p_partkey % 5 WHEN 0 THEN 'src/??/src' || (p_partkey % 20) || '/*' WHEN 1 THEN '*/d' || p_partkey || '.py'
+WHEN 2 THEN 'src/en/src' || (p_partkey % 20) || '/d' || p_partkey || '.py' WHEN 3 THEN '*/src' || (p_partkey % 20) || '/d[0-4]*' ELSE '?rc/*' || p_partkey || '.py' END END"""
+
+
+@query(sql(f"SELECT p_partkey::VARCHAR AS policy_id, path, CASE WHEN p_size % 2 = 0 THEN 'block' ELSE 'warn' END AS severity FROM part JOIN doc_paths ON path GLOB ({RULE})"))
+def policy_table(v: Views) -> DataFrame:
+    rules = v.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("protected_write").alias("type"), F.expr(RULE).alias("pattern"), F.when(F.col("p_size") % 2 == 0, "block").otherwise("warn").alias("severity"), F.col("p_name").alias("message"))
+    return review.path_violations(rules, v.doc_paths).select("policy_id", "path", "severity")
+
+
 DIFF = "diff --git a/lib/one.rs b/lib/one.rs\n--- a/lib/one.rs\n+++ b/lib/one.rs\n-pub fn gone(x: u8) {}\n-  pub struct Gone;\n+pub fn new() {}\ndiff --git a/two.py b/two.py\n-def old():\n-class Old:\n x = 1\ndiff --git a/Cargo.lock b/Cargo.lock\n+a\n"
 
 
@@ -557,6 +617,39 @@ def gold_missing(v: Views) -> DataFrame:
     return retrieval.missing(results, wanted).select("qid", "expected")
 
 
+# Expected paths that are written otherwise than found ones: shorter, longer, in capitals, or elsewhere.
+BY_PATH = [f"""
+sres AS MATERIALIZED (SELECT q.vec_id AS qid, c.path, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, c.id) AS rank FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id QUALIFY rank <= 10)""", """
+sgold AS MATERIALIZED (SELECT q.vec_id AS qid, CASE c.id % 4 WHEN 0 THEN 'D' || c.id || '.PY' WHEN 1 THEN 'repo/' || c.path WHEN 2 THEN c.path ELSE 'lib/d' || c.id || '.py' END AS expected
+  FROM embeddings q JOIN vectors c ON q.label = c.label AND q.vec_id <> c.id WHERE q.vec_id % 100 = 0)""", """
+smatch AS MATERIALIZED (SELECT DISTINCT qid, path, rank, lower(expected) AS expected FROM sres JOIN sgold USING (qid) WHERE ends_with(lower(path), lower(expected)) OR ends_with(lower(expected), lower(path)))"""]
+
+
+def by_path(v: Views) -> tuple[DataFrame, DataFrame]:
+    found = search.nearest(v.vectors, hundredths(v), 10, keep=("path",)).select("qid", "path", F.col("rank").cast("long").alias("rank"))
+    name = F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".py"))
+    k = F.col("id") % 4
+    expected = F.when(k == 0, F.upper(name)).when(k == 1, F.concat(F.lit("repo/"), "path")).when(k == 2, F.col("path")).otherwise(F.concat(F.lit("lib/"), name))
+    q = v.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return found, v.vectors.join(q, "label").where("id <> qid").select("qid", expected.alias("expected"))
+
+
+@query(sql("SELECT * FROM smatch", *BY_PATH))
+def path_suffix_pairs(v: Views) -> DataFrame:
+    return retrieval.suffix_matches(*by_path(v))
+
+
+@query(sql("""SELECT g.qid, round(coalesce(1.0 / any_value(first), 0), 6) AS reciprocal_rank, round(coalesce(any_value(h3), 0) / count(DISTINCT lower(expected)), 6) AS recall_at_3, round(coalesce(any_value(h5), 0) / count(DISTINCT lower(expected)), 6) AS recall_at_5
+FROM sgold g LEFT JOIN (SELECT qid, min(rank) AS first, count(DISTINCT expected) FILTER (rank <= 3) AS h3, count(DISTINCT expected) FILTER (rank <= 5) AS h5 FROM smatch GROUP BY 1) m ON m.qid = g.qid GROUP BY 1""", *BY_PATH))
+def recall_by_suffix(v: Views) -> DataFrame:
+    return retrieval.judged_by_path(*by_path(v))
+
+
+@query(sql("SELECT qid, expected FROM sgold g WHERE NOT EXISTS (SELECT 1 FROM smatch m WHERE m.qid = g.qid AND m.expected = lower(g.expected))", *BY_PATH))
+def gold_missing_by_suffix(v: Views) -> DataFrame:
+    return retrieval.missing_by_path(*by_path(v))
+
+
 @query("""SELECT source, base, experiment, CASE WHEN base <> 0 THEN round((experiment - base) / base * 100, 2) END AS lift_percent,
 CASE WHEN base = 0 THEN 'N/A' WHEN round((experiment - base) / base * 100, 2) > 0 THEN 'better' WHEN round((experiment - base) / base * 100, 2) < 0 THEN 'worse' ELSE 'same' END AS badge
 FROM (SELECT source, count(*) FILTER (lang = 'en')::BIGINT AS base, count(*) FILTER (lang <> 'en')::BIGINT AS experiment FROM documents GROUP BY 1)""")

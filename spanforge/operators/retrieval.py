@@ -25,6 +25,36 @@ def judged(results: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (3, 5))
     return wanted.join(by, "qid", "left").select("qid", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), *recall)
 
 
+def suffix_matches(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, path, rank, expected) of results (qid, path, rank) and expected paths (qid, expected) of which one ends
+    with the other, in lower case (P16); expected ones are in lower case.
+
+    Both ways are equalities: a path is listed with its ends of the lengths that the other side has for the same
+    query, so no pair is tested that doesn't match.
+    """
+    r = results.where("path is not null").select("qid", "path", "rank", F.lower("path").alias("low"))
+    g = gold.where("expected is not null").select("qid", F.lower("expected").alias("expected")).distinct()
+    lengths = lambda rows, c: rows.groupBy("qid").agg(F.collect_set(F.length(c)).alias("lengths"))
+    ends = lambda c, longest: F.explode(F.transform(F.filter("lengths", lambda n: n <= longest), lambda n: F.col(c).substr(F.length(c) - n + 1, n)))
+    longer = r.join(lengths(g, "expected"), "qid").select("qid", "path", "rank", ends("low", F.length("low")).alias("expected")).join(g, ["qid", "expected"])
+    shorter = g.join(lengths(r, "low"), "qid").select("qid", "expected", ends("expected", F.length("expected") - 1).alias("low")).join(r, ["qid", "low"])
+    return longer.select("qid", "path", "rank", "expected").unionByName(shorter.select("qid", "path", "rank", "expected"))
+
+
+def judged_by_path(results: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """judged() where a result is relevant if its path and an expected one match by their ends."""
+    wanted = gold.groupBy("qid").agg(F.count_distinct(F.lower("expected")).alias("n"))
+    by = suffix_matches(results, gold).groupBy("qid").agg(F.min("rank").alias("first"), *[F.count_distinct(F.when(F.col("rank") <= k, F.col("expected"))).alias(f"h{k}") for k in cuts])
+    recall = [F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.coalesce(f"h{k}", F.lit(0)) / F.greatest("n", F.lit(1)), 6)).alias(f"recall_at_{k}") for k in cuts]
+    return wanted.join(by, "qid", "left").select("qid", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), *recall)
+
+
+def missing_by_path(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, expected): expected paths that no result matches by its end (U5), as they are written."""
+    found = suffix_matches(results, gold).select("qid", F.col("expected").alias("low")).distinct()
+    return gold.where("expected is not null").withColumn("low", F.lower("expected")).join(found, ["qid", "low"], "left_anti").select("qid", "expected")
+
+
 def summary(by_query: DataFrame, by: list[str] | None = None, cuts: tuple[int, ...] = (3, 5)) -> DataFrame:
     """Queries, MRR, mean recalls and hit rate."""
     mean = lambda c: F.coalesce(F.round(F.avg(c), 4), F.lit(0.0))
