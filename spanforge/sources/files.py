@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 
 import pandas as pd
@@ -19,12 +21,28 @@ def lenient_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
 
 
-def source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """(repo_id, path, content, language) of a folder's files that are neither ignored nor of an unknown kind.
+def source_files(spark: SparkSession, root: str, repo_id: str, tracked: list[str] | None = None) -> DataFrame:
+    """(repo_id, path, content, language) of a folder's files that are neither ignored nor of an unknown kind (S2-S5);
+    of tracked ones only, if they are given (S1)."""
+    rows = _sources(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, repo_id)
+    if tracked is None:
+        return rows
+    return rows.join(spark.createDataFrame([(p,) for p in tracked], "path string"), "path", "left_semi").select(*rows.columns)
 
-    What is left out is decided from paths alone; contents of other files are not read.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+def named_files(spark: SparkSession, root: str, repo_id: str, paths: list[str]) -> DataFrame:
+    """The same of the named files that are there; no others are listed or opened. For a bounded number of names."""
+    jvm = spark.sparkContext._jvm
+    places = [jvm.org.apache.hadoop.fs.Path(root, p) for p in paths]
+    system = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [p.toString() for p in places if system.exists(p)]
+    if not there:
+        return spark.createDataFrame([], "repo_id string, path string, content string, language string")
+    escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in there]
+    return _sources(spark.read.format("binaryFile").load(escaped), root, repo_id)
+
+
+def _sources(found: DataFrame, root: str, repo_id: str) -> DataFrame:
     base = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^/?" + base.replace(".", r"\.").lstrip("/") + "/", "")
     ext = F.lower(extension(path))
@@ -33,8 +51,18 @@ def source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     return kept.select(F.lit(repo_id).alias("repo_id"), F.col("_p").alias("path"), lenient_text("content").alias("content"), language.alias("language"))
 
 
+def head_commit(root: str, seconds: int = 30) -> str | None:
+    """The commit that is checked out; null without version control."""
+    try:
+        return subprocess.run(["git", "rev-parse", "HEAD"], cwd=root, capture_output=True, text=True, timeout=seconds, check=True).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def tracked_files(root: str, seconds: int = 30) -> list[str] | None:
-    """Paths under version control; null without it or if it fails."""
+    """Paths under version control; null if the folder isn't the top of a checkout, or if it fails."""
+    if not os.path.exists(os.path.join(root, ".git")):
+        return None
     try:
         return subprocess.run(["git", "ls-files", "-z"], cwd=root, capture_output=True, text=True, timeout=seconds, check=True).stdout.split("\0")[:-1]
     except (OSError, subprocess.SubprocessError):

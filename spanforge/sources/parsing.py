@@ -66,14 +66,24 @@ def pattern_nodes(content: str, language: str) -> Iterator[tuple]:
                 yield "call", "call", m[1], line, number, number
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Nodes of (repo_id, path, content, language); a file that can't be parsed gives a row with its error (Q11)."""
+#: Characters of a file that its summary looks at.
+HEAD = 500
+
+
+def parse(files: DataFrame, heads: bool = False) -> DataFrame:
+    """Nodes of (repo_id, path, content, language); a file that can't be parsed gives a row with its error (Q11).
+
+    With heads, a row of type `source` for each file, too: its language as kind and the begin of its text, so that one
+    pass over the files is enough for all that is made of them.
+    """
     columns = [x.split()[0] for x in NODES.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for repo, path, content, language in part[["repo_id", "path", "content", "language"]].itertuples(index=False):
+                if heads:
+                    rows.append((repo, path, "source", language, None, None if content is None else content[:HEAD], None, None, None))
                 if content is None or language is None:
                     continue
                 try:
