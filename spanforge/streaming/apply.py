@@ -18,12 +18,10 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(CHANGE).json(folder)
 
 
-def run(stream: DataFrame, store: Store, table: str, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
-    """Apply all that has arrived to a table of the store: removals, then additions and modifications.
-
-    load gives the fresh rows of the keys it is handed. The rows of a batch and its number are one commit, so one that
-    is repeated after a failure is skipped, and rows are never applied twice. Only the buckets it touches are written.
-    """
+def apply_batch(store: Store, table: str, load: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """What applies a batch of changes to a table: removals, then additions and modifications, as one commit with the
+    batch's number, so one that is repeated after a failure is skipped. load gives the fresh rows of the keys it is
+    handed. Only the buckets that a batch touches are written."""
 
     def apply(batch: DataFrame, number: int) -> None:
         done = store.metadata(f"batch:{table}")
@@ -34,5 +32,11 @@ def run(stream: DataFrame, store: Store, table: str, load: Callable[[DataFrame],
         fresh = load(come).join(come, KEY, "left_semi")
         store.commit({table: store.replaced(table, last.select(*KEY), KEY, fresh)}, {f"batch:{table}": str(number)})
 
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return apply
+
+
+def run(stream: DataFrame, store: Store, table: str, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+    """Apply all that has arrived to a table of the store; of a file's changes in a batch the last one counts. Changes
+    that come in another order than they were made, over batches, need ordered.run."""
+    query = stream.writeStream.foreachBatch(apply_batch(store, table, load)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
