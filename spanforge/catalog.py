@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions import hashing, paths, text
-from spanforge.operators import governance, graph, impact, knn, lexical, mutation, retrieval, review, search, substring
+from spanforge.functions import hashing, paths, sqlnames, text
+from spanforge.operators import governance, graph, impact, knn, lexical, mutation, retrieval, review, search, snapshot, substring
 from spanforge.plans import runs, staging
 from spanforge.plans.views import Views, sql
 from spanforge.sources import files, languages, parsing
@@ -570,6 +570,47 @@ def migration_verify(v: Views) -> DataFrame:
     return retrieval.migrated(v.nodes, v.nodes.where("repo_id <> '0'"))
 
 
+# Tables compared by content (U7, A16): the same changes as changeset_snapshots, read from the buckets that differ.
+
+
+@query(ORACLE_SQL["changeset_snapshots"])
+def snapshot_changes(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("v"))
+    place = staging.place(v.spark, "snapshots")
+    snapshot.write(o.where("key % 3 <> 0"), ["key"], f"{place}/old")
+    snapshot.write(o.withColumn("v", F.when(F.col("key") % 4 == 0, "Z").otherwise(F.col("v"))).where("key % 5 <> 0"), ["key"], f"{place}/new")
+    return snapshot.changes(v.spark, f"{place}/old", f"{place}/new", ["key"])
+
+
+@query("""SELECT o_orderpriority AS label, count(*) AS source_rows, count(*) AS target_rows, count(*) FILTER (o_orderkey % 997 = 0 AND o_orderpriority < '3') = 0 AS same FROM orders GROUP BY 1""")
+def migration_content(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderpriority").alias("label"), "o_orderkey", "o_orderstatus")
+    changed = (F.col("o_orderkey") % 997 == 0) & (F.col("label") < "3")
+    return snapshot.verified(o, o.withColumn("o_orderstatus", F.when(changed, "lost").otherwise(F.col("o_orderstatus"))), ["o_orderkey"])
+
+
+# In SQL alone (2.12): the functions by name, and summaries by a table function.
+
+
+@query(sql(f"""SELECT d.doc_id, regexp_replace(sha256(source || ':' || d.doc_id)[:32], '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') AS node_id, sha256(source || ':' || d.doc_id)[:16] AS short_id,
+(length(d.text) // 4)::BIGINT AS tokens, md5(CASE WHEN length(d.text) > 2000 THEN d.text[:990] || E'\\n...[TRUNCATED]...\\n' || right(d.text, 990) ELSE d.text END) AS digest, {TEST} AS test FROM documents d JOIN doc_paths p ON p.doc_id = d.doc_id"""))
+def sql_functions(v: Views) -> DataFrame:
+    sqlnames.register(v.spark)
+    return v.spark.sql("""SELECT doc_id, stable_uuid(source, CAST(doc_id AS STRING)) AS node_id, short_id(source, CAST(doc_id AS STRING)) AS short_id, token_estimate(text) AS tokens, md5(head_tail(text)) AS digest, is_test(path) AS test
+        FROM {docs} JOIN {paths} USING (doc_id)""", docs=v.table("documents"), paths=v.doc_paths.select("doc_id", "path"))
+
+
+@query(sql("""SELECT repo_id, path, left('File: ' || path || coalesce(E'\\nImports: ' || i, '') || coalesce(E'\\nDefines: ' || d, ''), 4000) AS summary FROM file
+JOIN (SELECT DISTINCT src AS s1 FROM imports) ON s1 = path
+LEFT JOIN (SELECT src, string_agg(dst, ', ' ORDER BY dst) AS i FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM imports) WHERE n <= 20 GROUP BY 1) ON src = path
+LEFT JOIN (SELECT src AS s2, string_agg('def ' || dst, ', ' ORDER BY dst) AS d FROM defines GROUP BY 1) ON s2 = path"""))
+def sql_file_summaries(v: Views) -> DataFrame:
+    sqlnames.register(v.spark)
+    return v.spark.sql("""SELECT * FROM file_summaries(TABLE(
+        SELECT repo_id, src AS path, 'import' AS type, 'function' AS kind, dst AS name, 1 AS start_line FROM {imports}
+        UNION ALL SELECT repo_id, src, 'definition', 'function', dst, 1 FROM {defines}))""", imports=v.imports, defines=v.defines)
+
+
 # Retrieval quality.
 
 GOLD = [f"""

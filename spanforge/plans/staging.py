@@ -25,17 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanforge/{name}-{uuid.uuid4().hex}"
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's name; what is written there goes with clear()."""
+    path = f"{shared_dir(spark)}/spanforge/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(("", path))
+    return path
 
 
 def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """df written once and read again; with `by`, as a table partitioned by these columns."""
     spark = df.sparkSession
-    path = _place(spark, name)
+    path = place(spark, name)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(("", path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +46,7 @@ def bucketed(df: DataFrame, name: str, by: list[str], buckets: int | None = None
     side as long as the other side has as many partitions. One file a bucket."""
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path, table = _place(spark, name), f"spanforge_{re.sub(r'[^a-z0-9]', '_', name.lower())}_{uuid.uuid4().hex}"
+    path, table = place(spark, name), f"spanforge_{re.sub(r'[^a-z0-9]', '_', name.lower())}_{uuid.uuid4().hex}"
     df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
     _written.setdefault(spark.sparkContext.applicationId, []).append((table, path))
     return spark.table(table)
