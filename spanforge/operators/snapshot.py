@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Parts that rows are dealt to by key, and buckets in each: the leaves and the level above them.
 PARTS, LEAVES = 64, 64
@@ -45,6 +48,8 @@ def write(rows: DataFrame, key: list[str], folder: str) -> None:
     dealt = rows.withColumns({"_leaf": leaf, "_part": (leaf / LEAVES).cast("int")})
     dealt.repartition("_part").sortWithinPartitions("_part", "_leaf").write.partitionBy("_part").parquet(f"{folder}/rows")
     sums(rows, key).coalesce(1).write.parquet(f"{folder}/sums")
+    schema = StructType([*rows.schema.fields, StructField("_leaf", IntegerType())]).json()  # without rows there is no file to tell it
+    rows.sparkSession.createDataFrame([(schema,)], "schema string").coalesce(1).write.text(f"{folder}/schema")
 
 
 def changes(spark: SparkSession, old: str, new: str, key: list[str]) -> DataFrame:
@@ -57,8 +62,9 @@ def changes(spark: SparkSession, old: str, new: str, key: list[str]) -> DataFram
     parts, leaves = sorted({r["part"] for r in found}), sorted({r["leaf"] for r in found})
 
     def differ(folder: str) -> DataFrame:
-        rows = spark.read.parquet(f"{folder}/rows").where(F.col("_part").isin(parts) & F.col("_leaf").isin(leaves))
-        kept = [c for c in rows.columns if c not in ("_leaf", "_part")]
+        schema = StructType.fromJson(json.loads(spark.read.text(f"{folder}/schema").first()[0]))
+        kept = schema.fieldNames()[:-1]
+        rows = spark.read.schema(schema.add("_part", IntegerType())).parquet(f"{folder}/rows").where(F.col("_part").isin(parts) & F.col("_leaf").isin(leaves))
         return rows.select(*key, F.to_json(F.struct(*sorted(kept)), {"ignoreNullFields": "false"}).alias("_row"))
 
     both = differ(old).withColumnRenamed("_row", "_a").join(differ(new).withColumnRenamed("_row", "_b"), key, "full_outer")
