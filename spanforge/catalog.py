@@ -346,6 +346,13 @@ def explore_module(v: Views) -> DataFrame:
     return found.withColumn("others", F.array_join("others", ","))
 
 
+@query(sql("""SELECT repo_id, node, section, string_agg(other, ',' ORDER BY other) FILTER (n <= 3) AS others, count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, node, section ORDER BY other) AS n FROM (
+SELECT DISTINCT repo_id, src AS node, CASE type WHEN 'IMPORTS' THEN 'Imports' ELSE 'Calls' END AS section, dst AS other FROM sedge UNION SELECT DISTINCT repo_id, dst, 'Used by', src FROM sedge)) GROUP BY 1, 2, 3"""))
+def explore_module_first(v: Views) -> DataFrame:
+    nodes = v.sedge.select("repo_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return graph.explore(v.sedge, nodes, most=3).withColumn("others", F.array_join("others", ","))
+
+
 @query(sql("SELECT id, name, count(path) AS files FROM repository LEFT JOIN file ON repo_id = id GROUP BY 1, 2"))
 def list_repos(v: Views) -> DataFrame:
     return graph.repositories(v.repository, v.file)
@@ -369,7 +376,7 @@ def vector_repo_batch(v: Views) -> DataFrame:
 @query(sql("""SELECT changed.repo_id, changed.path AS changed, count(DISTINCT i.path) AS importers FROM ifile changed JOIN iimp i
 ON i.repo_id = changed.repo_id AND starts_with(i.module, 'p' || changed.key) AND i.path <> changed.path GROUP BY 1, 2"""))
 def stem_importers(v: Views) -> DataFrame:
-    return impact.stem_importers(v.ifile, v.iimp).groupBy("repo_id", "changed").agg(F.count(F.lit(1)).alias("importers"))
+    return impact.importer_counts(v.ifile, v.iimp)
 
 
 @query(sql("""SELECT d.src AS path, count(DISTINCT c.src) AS callers FROM defines d JOIN calls c ON c.repo_id = d.repo_id AND c.dst = d.dst AND c.src <> d.src GROUP BY 1"""))
@@ -381,7 +388,7 @@ def function_callers(v: Views) -> DataFrame:
 @query(sql("""SELECT d.repo_id, d.path AS changed, count(DISTINCT i.path) AS importers FROM idef d JOIN iimp i
 ON i.repo_id = d.repo_id AND ends_with(i.module, d.name) AND i.path <> d.path GROUP BY 1, 2"""))
 def symbol_importers(v: Views) -> DataFrame:
-    return impact.symbol_importers(v.ifile, v.idef, v.iimp).groupBy("repo_id", "changed").agg(F.count(F.lit(1)).alias("importers"))
+    return impact.importer_counts(v.ifile, v.iimp, v.idef)
 
 
 HITS = ["""
@@ -762,6 +769,50 @@ def mermaid_id(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", text.diagram_id(F.col("url")).alias("id"))
 
 
+D, S = "repeat(chr(34), 3)", "repeat(chr(39), 3)"
+#: Double quotes, single ones, single before double, unclosed, unclosed before single, none.
+BRANCHES = f"""CASE doc_id % 6 WHEN 0 THEN concat({D}, ' ', t, ' ', {D}) WHEN 1 THEN concat('x ', {S}, t, {S}, ' y') WHEN 2 THEN concat({S}, 'a', {S}, ' ', {D}, t, {D}) WHEN 3 THEN concat({D}, t)
+WHEN 4 THEN concat({D}, t, {S}, 'b', {S}) ELSE text END"""
+
+
+@query(f"""SELECT doc_id, trim(CASE WHEN regexp_matches(h, '(?s)\"\"\".*?\"\"\"') THEN regexp_extract(h, '(?s)\"\"\"(.*?)\"\"\"', 1) ELSE regexp_extract(h, '(?s)''''''(.*?)''''''', 1) END, E' \\n\\t\\r\\x0B\\f') AS docstring
+FROM (SELECT doc_id, left({BRANCHES}, 500) AS h FROM (SELECT doc_id, text, left(text, 300) AS t FROM documents))""")
+def docstring_branches(v: Views) -> DataFrame:
+    rows = v.table("documents").select("doc_id", "text", F.left("text", F.lit(300)).alias("t"))
+    return rows.select("doc_id", text.docstring(F.expr(BRANCHES)).alias("docstring"))
+
+
+REPLY = """CASE event_id % 5 WHEN 0 THEN '{"risk_level": "HIGH", "confidence": ' || user_id || '}' WHEN 1 THEN '{"risk_level": null}' WHEN 2 THEN '{"confidence": 1, "risk_level": "' || event_type || '"}' WHEN 3 THEN 'no reply' ELSE props END"""
+
+
+@query(f"""SELECT event_id, coalesce(CASE WHEN json_valid(r) THEN json_extract_string(r, '$.risk_level') END, 'UNKNOWN') AS risk_level, coalesce(CASE WHEN json_valid(r) THEN json_extract_string(r, '$.confidence') END, '0') AS confidence
+FROM (SELECT event_id, {REPLY} AS r FROM events)""")
+def reply_fields(v: Views) -> DataFrame:
+    r = v.table("events").select("event_id", F.expr(REPLY).alias("r"))
+    return r.select("event_id", text.reply_field(F.col("r"), "$.risk_level", F.lit("UNKNOWN")).alias("risk_level"), text.reply_field(F.col("r"), "$.confidence", F.lit("0")).alias("confidence"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE text END AS shown, source FROM documents")
+def vector_payloads(v: Views) -> DataFrame:
+    own = F.map_filter(F.create_map(F.lit("source"), F.col("source"), F.lit("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), lambda _, x: x.isNotNull())
+    made = v.table("documents").select("doc_id", text.payload(F.col("text"), own).alias("p"))
+    return made.select("doc_id", F.col("p")["text"].alias("shown"), F.col("p")["source"].alias("source"))
+
+
+@query("""SELECT p_partkey AS key, replace(lower(p_type), ' ', '.') AS name FROM part
+WHERE split_part(lower(p_type), ' ', 1) NOT IN (SELECT split_part(lower(p_type), ' ', 1) FROM part WHERE p_size = 1 AND p_partkey % 3 = 0) AND split_part(lower(p_type), ' ', 1) <> 'wheel'""")
+def skip_list_join(v: Views) -> DataFrame:
+    rows = v.table("part").select(F.col("p_partkey").alias("key"), F.replace(F.lower("p_type"), F.lit(" "), F.lit(".")).alias("name"))
+    listed = v.table("part").where("p_size = 1 and p_partkey % 3 = 0").select(F.substring_index(F.lower("p_type"), " ", 1).alias("name"))
+    return paths.without_skipped(rows, "name", listed.unionByName(v.spark.createDataFrame([(m,) for m in paths.VENDOR], "name string")).distinct())
+
+
+@query(sql(f"""SELECT q.vec_id AS qid, c.id, c.path, {COSINE} AS score FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id AND c.path IN (SELECT path FROM doc_paths WHERE doc_id = 101)"""))
+def vector_path_batch(v: Views) -> DataFrame:
+    known = v.doc_paths.where("doc_id = 101").select("path").first()
+    return search.nearest(search.filters(v.vectors, path=known[0] if known else "-"), hundredths(v), 10, keep=("path",)).select("qid", "id", "path", "score")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.risk_level'), 'UNKNOWN') AS risk_level FROM events")
 def json_props(v: Views) -> DataFrame:
     return v.table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), text.reply_field(F.col("props"), "$.risk_level", F.lit("UNKNOWN")).alias("risk_level"))
@@ -830,9 +881,7 @@ def search_context(v: Views) -> DataFrame:
 
 @query(f"""SELECT count(*) AS hits, round(max({COSINE}), 6) AS best FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id <> 0 AND {COSINE} >= 0.3""")
 def verify_concept(v: Views) -> DataFrame:
-    e = v.table("embeddings")
-    scored = e.join(F.broadcast(zero(v)), F.col("vec_id") != F.col("qid")).select(F.round(search.cosine(F.col("embedding"), F.col("query")), 6).alias("s"))
-    return scored.where("s >= 0.3").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("s"), 6).alias("best"))
+    return search.alike(v.table("embeddings"), zero(v), 0.3, "vec_id").select("hits", "best")
 
 
 @query(sql(f"""SELECT r.qid, r.id, r.path, count(DISTINCT y.path) AS around FROM (SELECT q.vec_id AS qid, c.id, c.path FROM vectors c, embeddings q WHERE q.vec_id % 100 = 0 AND c.id <> q.vec_id

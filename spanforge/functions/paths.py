@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names that decide which files are looked at.
@@ -27,6 +27,21 @@ def modules_to_skip() -> list[str]:
     return sorted({*sys.stdlib_module_names, *VENDOR})
 
 
+def skip_list(spark: SparkSession, listed: str | None = None) -> DataFrame:
+    """(name) of modules to skip: those of a text file with a name a line, which pins them, else this interpreter's; and
+    the vendored tools (S15, U3)."""
+    if listed is None:
+        return spark.createDataFrame([(m,) for m in modules_to_skip()], "name string")
+    lines = spark.read.text(listed).select(F.trim("value").alias("name")).where("name <> '' and not startswith(name, '#')")
+    return lines.unionByName(spark.createDataFrame([(m,) for m in VENDOR], "name string")).distinct()
+
+
+def without_skipped(rows: DataFrame, name: str, skipped: DataFrame) -> DataFrame:
+    """Rows whose name's first dotted part isn't in the list (name), a table (P5); null names stay."""
+    first = F.substring_index(rows[name], ".", 1)
+    return rows.join(skipped.select(F.col("name").alias("_skipped")).distinct(), first == F.col("_skipped"), "left_anti")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -1,4 +1,4 @@
-"""Text functions as column expressions."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
@@ -36,6 +36,12 @@ def repo_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(url, r"\.git$", ""), r"[:/]([^/:]+/[^/:]+)$", 1), F.lit(""))
 
 
+def payload(text: Column, meta: Column) -> Column:
+    """What is kept beside a vector: the text and the caller's entries, of which an own `text` wins."""
+    own = F.coalesce(meta, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return F.when(F.map_contains_key(own, "text"), own).otherwise(F.map_concat(F.create_map(F.lit("text"), text), own))
+
+
 def reply_field(reply: Column, path: str, default: Column) -> Column:
     """A field of a JSON reply, or its default."""
     return F.coalesce(F.get_json_object(reply, path), default)

@@ -16,11 +16,28 @@ def stem_importers(changed: DataFrame, imports: DataFrame) -> DataFrame:
     distinct length, so no more rows than the longest file name has characters.
     """
     stems = changed.select("repo_id", F.col("path").alias("changed"), stem(F.col("path")).alias("stem"))
-    lengths = stems.select(F.length("stem").alias("n")).where("n > 0").distinct()
+    return stems.join(named_by(stems, imports, "stem"), ["repo_id", "stem"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
+
+
+def named_by(names: DataFrame, imports: DataFrame, name: str) -> DataFrame:
+    """(repo_id, name, path): files that import a module that begins with a name (a stem) or ends with it (a symbol)."""
+    lengths = names.select(F.length(name).alias("n")).where("n > 0").distinct()
     modules = imports.select("repo_id", "module").distinct()
-    prefixes = modules.join(F.broadcast(lengths), F.length("module") >= F.col("n")).select("repo_id", "module", F.expr("substr(module, 1, n)").alias("stem"))
-    hit = stems.join(prefixes, ["repo_id", "stem"]).select("repo_id", "changed", "module")
-    return hit.join(imports.select("repo_id", "module", "path"), ["repo_id", "module"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
+    part = F.expr("substr(module, 1, n)" if name == "stem" else "right(module, n)").alias(name)
+    parts = modules.join(F.broadcast(lengths), F.length("module") >= F.col("n")).select("repo_id", "module", part)
+    known = parts.join(names.select("repo_id", name).distinct(), ["repo_id", name], "left_semi")
+    return known.join(imports.select("repo_id", "module", "path"), ["repo_id", "module"]).select("repo_id", name, "path").distinct()
+
+
+def importer_counts(changed: DataFrame, imports: DataFrame, defines: DataFrame | None = None) -> DataFrame:
+    """(repo_id, changed, importers): how many files stem_importers finds, or symbol_importers if defines are given;
+    counted by stem or symbol, so a module that many import makes no pairs with the files that it is named for."""
+    if defines is None:
+        name, mine = "stem", changed.select("repo_id", "path", stem(F.col("path")).alias("stem"))
+    else:
+        name, mine = "symbol", defines.join(changed, ["repo_id", "path"], "left_semi").select("repo_id", "path", F.col("name").alias("symbol"))
+    found = named_by(mine, imports, name)
+    return caller_counts(changed, mine.withColumnRenamed(name, "name"), found.withColumnRenamed(name, "name")).withColumnRenamed("callers", "importers")
 
 
 def callers(changed: DataFrame, defines: DataFrame, calls: DataFrame) -> DataFrame:
@@ -52,12 +69,7 @@ def symbol_importers(changed: DataFrame, defines: DataFrame, imports: DataFrame)
 
     A row for each distinct length of a name is broadcast, no more than the longest name has characters."""
     mine = defines.join(changed, ["repo_id", "path"], "left_semi").select("repo_id", F.col("path").alias("changed"), F.col("name").alias("symbol"))
-    lengths = mine.select(F.length("symbol").alias("n")).where("n > 0").distinct()
-    modules = imports.select("repo_id", "module").distinct()
-    suffixes = modules.join(F.broadcast(lengths), F.length("module") >= F.col("n")).select("repo_id", "module", F.expr("right(module, n)").alias("symbol"))
-    symbols = mine.select("repo_id", "symbol").distinct().join(suffixes, ["repo_id", "symbol"])
-    found = symbols.join(imports.select("repo_id", "module", "path"), ["repo_id", "module"]).select("repo_id", "symbol", "path").distinct()
-    return mine.join(found, ["repo_id", "symbol"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
+    return mine.join(named_by(mine, imports, "symbol"), ["repo_id", "symbol"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
 
 
 def first_hits(mine: DataFrame, named: DataFrame, limit: int) -> DataFrame:

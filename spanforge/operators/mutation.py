@@ -1,15 +1,18 @@
-"""Changes to keyed tables, and a store of versioned snapshots."""
+"""Changes to keyed tables, and a store of versioned snapshots."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spanforge.functions.text import payload
 from spanforge.operators.governance import rejected
+from spanforge.plans.staging import staged
 
 #: git's letters for changes.
 LETTERS = {"A": "A", "D": "R", "M": "M"}
@@ -217,6 +220,21 @@ class Store:
         self.commit(metadata={key: value})
 
 
+VECTOR = "id string, embedding array<float>, payload map<string,string>"
+
+
+def add_texts(store: Store, rows: DataFrame, embed: Callable[[Column], Column], table: str = "added") -> DataFrame:
+    """Append (text, meta map<string,string>) to a table of vectors under random ids, as one batch (K1); (id, payload).
+
+    The rows are embedded and written once, before the table takes them, so a task that is run again gives no second id;
+    a failure leaves the table as it was.
+    """
+    store.ensure(table, VECTOR, by=["id"])
+    new = staged(rows.select(F.uuid().alias("id"), embed(F.col("text")).alias("embedding"), payload(F.col("text"), F.col("meta")).alias("payload")), "added")
+    store.commit({table: store.replaced(table, new.select("id"), ["id"], new)})
+    return new.select("id", "payload")
+
+
 POLICY = "id string, type string, pattern string, severity string, message string, precept_id string"
 
 
