@@ -473,7 +473,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     Null and empty pages give an empty text. Ids may be null or repeat, and rows that are alike give rows that are
     alike; other columns, whatever their names, are not read. Text between the cells of a table stands before the
-    table, where browsers put it. No shuffle; time and memory go with the length of a page, and a very long one is
+    table, where browsers put it. An empty table gives no rows. No shuffle; time and memory go with the length of a page, and a very long one is
     a step of its own.
     """
 

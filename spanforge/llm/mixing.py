@@ -72,7 +72,9 @@ def mix(docs: DataFrame, block: int = 16, shard_words: int = 4_000_000, seed: st
     Null texts have size 0, null sources form one source that comes last, null ids are as any other id, rows
     that are alike each count. An empty table gives no rows. Reruns agree. Windows go over shards, never over a
     source; only the table of sources is ordered as a whole. With row_col, a unique number of each row, that column
-    comes first, and rows of one id and size stand in the order of a hash of their texts.
+    comes first, and rows of one id and size stand in the order of a hash of their texts. Very long texts are counted
+    whole, in Spark; a document longer than its quota gives its first words. Other columns, whatever their names, are
+    not read.
     """
     more = [] if row_col is None else [docs[row_col].alias("at"), F.xxhash64(docs[text_col]).alias("hash")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("/"), F.xxhash64(docs[text_col]).cast("string")))))

@@ -166,7 +166,8 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     The base rules look at the number of words and at words in 3-word windows found twice. The verdict's own
     part is the suffix array of the text's words: its LCP intervals give the maximal repeats; those of at least
     min_repeat words are united into spans. Too large a covered part or too long a single repeat rejects.
-    Null and empty texts have no words, so they fail the base rules. Ids may be null or repeat. No shuffle;
+    Null and empty texts have no words, so they fail the base rules. Ids may be null or repeat. Other columns,
+    whatever their names, are not read; an empty table gives no rows. No shuffle;
     memory goes with the longest text, and texts are handled some megabytes at a time.
     """
 

@@ -103,7 +103,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, block_rows: int = 100_000, id_c
     block of ids and texts, then a position within the block, so that no task orders a whole shard.
 
     Null ids and categories are values like others; rows that are alike get slots each; an empty table gives no
-    rows. Only split points and sums by node come to the driver.
+    rows. Very long texts count with all their bytes; one that is more than a shard's part fills a shard alone. Columns
+    other than id, text and categories, whatever their names, are not read. Only split points and sums by node come to the driver.
     """
     size = F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary"))

@@ -197,8 +197,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text.
 
     Null texts count as empty: 0 bytes, 0 tokens. Special strings in texts count as the library's default has
-    it. Null ids and repeated rows stay, a row for each; other columns are not read. No shuffle; memory is a
-    batch and a bounded cache of words.
+    it. Null ids and repeated rows stay, a row for each; other columns are not read; an empty table gives no rows.
+    Very long texts are counted whole. No shuffle; memory is a batch and a bounded cache of words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
