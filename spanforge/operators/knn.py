@@ -19,9 +19,9 @@ from spanforge.plans.staging import staged
 #: Vectors at most that centroids are fitted on and probes are calibrated with; the index holds every vector.
 SAMPLE = 1 << 16
 #: Rows of a list aimed at, lists at most (each from 16 vectors of the sample at least), and rows of one block of a list.
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 256, 4096, 1 << 15
+LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 64, 4096, 1 << 15
 #: Rounds of the fit; queries that calibrate the probes; the recall at `TARGET_K` that these shall reach on the sample.
-ROUNDS, TRIALS, TARGET_K, TARGET = 12, 256, 10, 0.97
+ROUNDS, TRIALS, TARGET_K, TARGET = 12, 256, 10, 0.95
 #: Two cosines closer than this may be equal once rounded.
 SLACK = 2e-6
 
