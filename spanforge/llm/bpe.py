@@ -13,7 +13,7 @@ from spanforge.llm.shared import STEP_BYTES
 from spanforge.llm.tokens import BYTES
 
 #: Entries of a worker's cache of runs; beyond it the older half goes. It bounds memory and changes no result.
-CACHE_RUNS = 600_000
+CACHE_RUNS = 1_200_000
 
 #: Runs that are encoded each on their own: what is no white space with one space before it, and white space up to
 #: the last of its characters.
