@@ -83,8 +83,10 @@ def traverse_from(neighbours: DataFrame, starts: DataFrame, depth: int = 1) -> t
 
 
 def traverse(all_edges: DataFrame, start: DataFrame, depth: int = 1, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) reachable from the starts (label, repo, id) taken together; see traverse_from."""
-    nodes, edges_ = traverse_from(by_both_ends(all_edges, types), start.select(F.lit(0).alias("qid"), *NODE), depth)
+    """(nodes, edges) reachable from the starts (label, repo, id) taken together; see traverse_from. The edges of the
+    types are written once, so that hops don't work them out again."""
+    known = staging.staged(all_edges.where(F.col("type").isin(allowed(types))), "edges")
+    nodes, edges_ = traverse_from(by_both_ends(known, types), start.select(F.lit(0).alias("qid"), *NODE), depth)
     return nodes.select(*NODE), edges_.drop("qid")
 
 
