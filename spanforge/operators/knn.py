@@ -113,7 +113,7 @@ def build(corpus: DataFrame, id_col: str = "id", keep: tuple[str, ...] = (), vec
     length, number = top if top else (0, 0)
     rows = rows.where(F.size("embedding") == length)
     modulus = max(1, number // sample)
-    picked = rows.where(F.pmod(F.xxhash64("embedding"), F.lit(modulus)) == seed % modulus).select("embedding").limit(2 * sample).toArrow()
+    picked = rows.where(F.pmod(F.xxhash64(id_col), F.lit(modulus)) == seed % modulus).select("embedding").limit(2 * sample).toArrow()
     _, x = unit(column(picked, 0), length) if picked.num_rows else (None, np.zeros((0, length)))
     lists = int(max(1, min(MOST_LISTS, number // list_rows, len(x) // 16)))
     centroids = fitted(x, lists, seed) if len(x) else np.zeros((1, max(length, 1)))
