@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import retrieval, review, search, substring
+from spanforge.operators import graph, retrieval, review, search, substring
+from spanforge.plans import views
 
 
 def test_symbols_that_many_files_have_make_no_pairs(spark):
@@ -93,3 +94,17 @@ def test_scores_of_many_queries_are_taken_in_steps(spark, monkeypatch):
         assert sorted((r.qid, r.id, r["rank"]) for r in search.nearest(rows, queries, 7, most_bytes=most).collect()) == want
         shown.append(sorted((r.qid, r.hits, r.best) for r in search.alike(rows, queries, 0.5, most_bytes=most).collect()))
     assert shown[0] == shown[1] == shown[2]
+
+
+def test_edges_are_made_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES", 1000)
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    assert v.parts == -(-v.table("lineitem").count() // 1000) > 4
+    assert f"({'l_orderkey'}" in v.imports._jdf.queryExecution().optimizedPlan().toString().replace("RepartitionByExpression [", "(")
+
+
+def test_exploration_of_all_nodes_needs_no_focus(spark):
+    edges = spark.createDataFrame([("f1", "m", "IMPORTS", "r"), ("f2", "m", "IMPORTS", "r"), ("f1", "s", "CALLS", "q")], "src string, dst string, type string, repo_id string")
+    nodes = edges.selectExpr("repo_id", "explode(array(src, dst)) AS node").distinct()
+    for most in (None, 1):
+        assert sorted(map(str, graph.explore(edges, most=most).collect())) == sorted(map(str, graph.explore(edges, nodes, most).collect()))
