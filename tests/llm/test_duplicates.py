@@ -69,6 +69,18 @@ def corpus(seed=1):
     return rows
 
 
+def test_texts_nearly_alike_make_no_rows_of_pairs(make, monkeypatch):
+    base, other = prose(31, 150), prose(32, 150)
+    rows = [(i, " ".join(near(base, i, 7))) for i in range(150)] + [(200 + i, " ".join(near(other, i, 7))) for i in range(90)]
+    rows += [(300 + i, " ".join(near(near(base, i, 7), 900 + i, 2))) for i in range(0, 40, 4)]
+    compared = []
+    compare = shingles.Found.compare
+    monkeypatch.setattr(shingles.Found, "compare", lambda self, pairs: (compared.append(pairs.count()), compare(self, pairs)))
+    got = shingles.jaccard_components(make(rows)).collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute_jaccard(rows)
+    assert compared[-1] < 10 * len(rows)  # the lists are shared by 100 components and more: thousands of pairs
+
+
 @pytest.mark.parametrize("long", [32, 2])
 def test_jaccard_join_equals_brute_force(make, monkeypatch, long):
     monkeypatch.setattr(shingles, "LONG", long)  # long lists are rare in small tables
