@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.paths import is_critical, stem
+from spanforge.plans import staging
 
 
 def stem_importers(changed: DataFrame, imports: DataFrame) -> DataFrame:
@@ -87,22 +88,40 @@ def first_hits(mine: DataFrame, named: DataFrame, limit: int) -> DataFrame:
 def radius(changed: DataFrame, imports: DataFrame, defines: DataFrame, calls: DataFrame, limit: int = 10, together: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """Ranked dependants of every changed file, at most `limit` each (V9).
 
-    Hits weigh 1, 1 and 0.5; the relationship is that of the first kind of hit; critical paths gain 5. Callers are
-    not joined in full: those that no other kind of hit names come from the first of each name (first_hits), and those
-    that one does are looked up.
+    Hits weigh 1, 1 and 0.5; the relationship is that of the first kind of hit; critical paths gain 5. Only hits by stem
+    are all ranked. Callers that are no other kind of hit come from the first of each name (first_hits), and so do files
+    that only import a symbol. Files that do both are told as the symbol's importers are met. If a name of a file has
+    more than `limit` callers, there are `limit` hits of 1 at least, so what only imports a symbol must be critical; if
+    it has so many critical callers, what is not critical, or only imports a symbol, is not among the first.
     """
     file = changed.select("repo_id", "path").distinct()
-    mine = defines.select("repo_id", "path", "name").join(file, ["repo_id", "path"], "left_semi").distinct()
-    made = calls.select("repo_id", "name", "path").distinct()
+    # Each is read several times.
+    mine = staging.staged(defines.select("repo_id", "path", "name").join(file, ["repo_id", "path"], "left_semi").distinct(), "defined")
+    made = staging.staged(calls.select("repo_id", "name", "path").distinct(), "called")
+    imports = staging.staged(imports.select("repo_id", "module", "path").distinct(), "imported")
+    symbols = staging.staged(named_by(mine.withColumnRenamed("name", "symbol"), imports, "symbol").withColumnRenamed("symbol", "name"), "symbols")
     key = ["repo_id", "changed", "path"]
     flags = lambda rows, *on: rows.select(*key, *[F.lit(f in on).alias(f) for f in ("stem", "call", "symbol")])
     alike = lambda rows: rows.groupBy(*key).agg(*[F.max(f).alias(f) for f in ("stem", "call", "symbol")])
-    named = alike(flags(stem_importers(changed, imports), "stem").unionAll(flags(symbol_importers(changed, defines, imports), "symbol")))
-    # A file's names, of those it defines or calls, are few, so a pair is looked up in the names of its two files.
-    names = lambda x, path, out: x.groupBy("repo_id", F.col("path").alias(path)).agg(F.collect_set("name").alias(out))
-    named = named.join(names(mine, "changed", "_defined"), ["repo_id", "changed"], "left").join(names(made, "path", "_called"), ["repo_id", "path"], "left")
-    named = named.select(*key, "stem", F.coalesce(F.arrays_overlap("_defined", "_called"), F.lit(False)).alias("call"), "symbol")
-    hits = alike(named.unionAll(flags(first_hits(mine, made, limit), "call")))
+    # A file's names, of those it defines, calls or imports, are few, so a pair is looked up in the names of its files.
+    names = lambda x, out: x.groupBy("repo_id", "path").agg(F.collect_set("name").alias(out))
+    shared = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    counts = made.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_critical(F.col("path"))).alias("critical"))
+    own = mine.join(counts, ["repo_id", "name"], "left").groupBy("repo_id", F.col("path").alias("changed"))
+    own = own.agg(F.collect_set("name").alias("_defined"), F.coalesce(F.max("n"), F.lit(0)).alias("_callers"), F.coalesce(F.max("critical"), F.lit(0)).alias("_critical"))
+    called = names(made, "_called")
+
+    by_name = Window.partitionBy("repo_id", "name").orderBy(is_critical(F.col("path")).desc(), "path")
+    placed = symbols.withColumn("_first", F.row_number().over(by_name) <= limit + 1).withColumn("_core", is_critical(F.col("path")))
+    importing = placed.join(called, ["repo_id", "path"], "left")
+    met = mine.withColumnRenamed("path", "changed").join(own, ["repo_id", "changed"]).join(importing, ["repo_id", "name"])
+    met = met.where((F.col("path") != F.col("changed")) & (F.col("_core") | (F.col("_critical") <= limit)))
+    met = met.select(*key, F.lit(False).alias("stem"), shared("_defined", "_called").alias("call"), (F.col("_first") & (F.col("_critical") <= limit) & (F.col("_core") | (F.col("_callers") <= limit))).alias("alone"))
+    by_symbol = met.where("call or alone").select(*key, "stem", "call", F.lit(True).alias("symbol"))
+
+    stems = stem_importers(changed, imports).join(own, ["repo_id", "changed"], "left").join(called, ["repo_id", "path"], "left").join(names(symbols, "_imported"), ["repo_id", "path"], "left")
+    by_stem = stems.select(*key, F.lit(True).alias("stem"), shared("_defined", "_called").alias("call"), shared("_defined", "_imported").alias("symbol"))
+    hits = alike(by_symbol.unionAll(by_stem).unionAll(flags(first_hits(mine, made, limit), "call")))
     part = lambda flag, weight: F.when(F.col(flag), weight).otherwise(0.0)
     score = part("stem", 1.0) + part("call", 1.0) + part("symbol", 0.5) + F.when(is_critical(F.col("path")), 5.0).otherwise(0.0)
     relationship = F.when(F.col("stem") | ~F.col("call"), "IMPORTS").otherwise("CALLS")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import graph, retrieval, review, search, substring
+from spanforge.operators import graph, impact, retrieval, review, search, substring
 from spanforge.plans import views
 
 
@@ -108,3 +108,27 @@ def test_exploration_of_all_nodes_needs_no_focus(spark):
     nodes = edges.selectExpr("repo_id", "explode(array(src, dst)) AS node").distinct()
     for most in (None, 1):
         assert sorted(map(str, graph.explore(edges, most=most).collect())) == sorted(map(str, graph.explore(edges, nodes, most).collect()))
+
+
+def test_an_impact_radius_needs_no_row_for_each_importer_of_a_symbol(spark, monkeypatch):
+    monkeypatch.setattr(impact, "symbol_importers", None)  # makes a row for each pair of a file and an importer
+    rnd = random.Random(11)
+    files = [("r", f"{rnd.choice(['core/', 'src/', 'src/'])}p{i}.rs") for i in range(70)]
+    pick = lambda n: sorted({(*rnd.choice(files), f"s{min(rnd.randrange(9), rnd.randrange(9))}") for _ in range(n)})
+    defines, calls = pick(60), pick(260)
+    imports = sorted({(*rnd.choice(files), f"p{rnd.randrange(70)}::s{rnd.randrange(9)}") for _ in range(200)})
+    table = lambda rows, name: spark.createDataFrame(rows, f"repo_id string, path string, {name} string")
+    for limit in (2, 5, 10):
+        want = set()
+        for _, x in files:
+            scores = []
+            own = {n for _, p, n in defines if p == x}
+            for _, y in files:
+                stem = any(p == y and m.startswith(x.split("/")[1][:-3]) for _, p, m in imports)
+                call = any(p == y and n in own for _, p, n in calls)
+                symbol = any(p == y and m.endswith(n) for _, p, m in imports for n in own)
+                if x != y and (stem or call or symbol):
+                    scores.append((-(stem + call + symbol / 2 + 5 * y.startswith("core")), y, "IMPORTS" if stem or not call else "CALLS"))
+            want |= {(x, y, -s, kind, k) for k, (s, y, kind) in enumerate(sorted(scores)[:limit], 1)}
+        got = impact.radius(spark.createDataFrame(files, "repo_id string, path string"), table(imports, "module"), table(defines, "name"), table(calls, "name"), limit)
+        assert {(r.changed, r.path, r.score, r.relationship, r["rank"]) for r in got.collect()} == want
