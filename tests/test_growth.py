@@ -132,3 +132,11 @@ def test_an_impact_radius_needs_no_row_for_each_importer_of_a_symbol(spark, monk
             want |= {(x, y, -s, kind, k) for k, (s, y, kind) in enumerate(sorted(scores)[:limit], 1)}
         got = impact.radius(spark.createDataFrame(files, "repo_id string, path string"), table(imports, "module"), table(defines, "name"), table(calls, "name"), limit)
         assert {(r.changed, r.path, r.score, r.relationship, r["rank"]) for r in got.collect()} == want
+
+
+def test_shared_edges_are_made_distinct_as_numbers(spark):
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    plain = v.graph.withColumn("src", v.shared_path("src")).distinct()
+    assert v.sedge.exceptAll(plain).isEmpty() and plain.exceptAll(v.sedge).isEmpty()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in v.sedge._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert keys and all("src" not in line and "dst" not in line for line in keys)
