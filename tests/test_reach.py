@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.operators import graph, search
 from spanforge.plans import staging
@@ -67,6 +68,32 @@ def test_a_hops_plan_does_not_grow_and_bucketed_neighbours_stay(spark, net):
     assert scans == [2, 3]
 
 
+@pytest.mark.parametrize("hashed", [0, 1 << 18])
+def test_hops_move_numbers_and_do_not_sort_neighbours(spark, net, monkeypatch, hashed):
+    rows, edges = net
+    number = lambda c: F.expr(f"cast(substr({c}, 2) as bigint)").alias(c)
+    as_numbers = edges.where("dst <> 'hub'").withColumns({"src": number("src"), "dst": number("dst")})
+    monkeypatch.setattr(graph, "HASHED", hashed)
+    neighbours = graph.adjacency(as_numbers, buckets=5)
+    assert "edge" not in neighbours.columns and dict(neighbours.dtypes)["id"] == dict(neighbours.dtypes)["to"] == "bigint"
+    plans, staged = [], graph.staging.staged
+
+    def seen(df, name, by=None):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] if name == "hop" else [])
+        return staged(df, name, by)
+
+    monkeypatch.setattr(graph.staging, "staged", seen)
+    starts = [(1, "File", "p", 0), (2, "File", "", 1), (3, "Module", "q", 3), (4, "File", "p", 12345)]
+    numbered = [(int(e[0][1:]), e[1], int(e[2][1:]), *e[3:]) for e in rows if e[2] != "hub"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.traverse_from(neighbours, spark.createDataFrame(starts, "qid long, label string, repo string, id long"), 3, 5)
+        assert tuple({tuple(r) for r in x.collect()} for x in got) == brute(numbered, starts, 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 3 and all(("Sort [" not in p and "ShuffledHashJoin" in p) == (hashed > 0) for p in plans)
+
+
 def counts(rows, by):
     files = defaultdict(set)
     for src, _, dst, _, kind, repo in rows:
