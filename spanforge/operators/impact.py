@@ -47,22 +47,59 @@ def callers(changed: DataFrame, defines: DataFrame, calls: DataFrame) -> DataFra
     return mine.join(calls.select("repo_id", "name", "path"), ["repo_id", "name"]).where("path <> changed").select("repo_id", "changed", "path").distinct()
 
 
+#: Names of a file up to which they are counted in pairs.
+MOST_NAMES = 32
+
+
 def caller_counts(changed: DataFrame, defines: DataFrame, calls: DataFrame) -> DataFrame:
     """(repo_id, changed, callers): how many files callers() finds for each changed file that has any.
 
-    A name that many files define and many call would make all their pairs. The callers of a file with one name are
-    the name's callers less the file itself, so names are counted once; only files with several names, whose callers
-    may call more than one of them, are joined.
+    A name that many files define and many call would make all their pairs. A file's callers are those of each of its
+    names, so names are counted once, less those counted again (repeated_callers) and the file itself. Files that define
+    the same names are counted as one kind.
+    """
+    file = ["path", "repo_id"]
+    listed = lambda rows, out: rows.groupBy(*file).agg(F.sort_array(F.collect_set("name")).alias(out))
+    known = defines.select(*file, "name").join(changed.select(*file), file, "left_semi")
+    both = listed(known, "names").join(listed(calls.select(*file, "name").dropna(subset=file), "called"), file, "full")
+    files = staging.staged(both.withColumn("no", F.monotonically_increasing_id()), "files")
+    kinds = staging.staged(files.where("size(names) > 0").select("names", "repo_id").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    each = files.select(F.explode("called").alias("name"), "repo_id").groupBy("name", "repo_id").agg(F.count(F.lit(1)).alias("n"))
+    total = kinds.select("kind", "repo_id", F.explode("names").alias("name")).join(each, ["name", "repo_id"]).groupBy("kind").agg(F.sum("n").alias("n"))
+    again = repeated_callers(kinds.where("size(names) > 1"), files)
+    by_kind = kinds.join(total, "kind").join(again, "kind", "left").select("names", "repo_id", (F.col("n") - F.coalesce("again", F.lit(0))).alias("n"))
+    own = F.coalesce(F.arrays_overlap("names", "called"), F.lit(False)).cast("int")
+    found = files.where("size(names) > 0").join(by_kind, ["names", "repo_id"])
+    return found.select("repo_id", F.col("path").alias("changed"), (F.col("n") - own).alias("callers")).where("callers > 0")
+
+
+def repeated_callers(kinds: DataFrame, files: DataFrame) -> DataFrame:
+    """(kind, again) from kinds (kind, repo_id, names) and files (no, repo_id, called): a file that calls m of a kind's names
+    counts m - 1.
+
+    Few files call two names that some file defines together, so pairs of names are matched, of kinds and of files with at
+    most MOST_NAMES of them. A kind of two names takes a pair's number of files; of one with more, a file that calls m is
+    met m * (m - 1) / 2 times. What has more names is met name by name.
     """
-    mine = defines.select("repo_id", "path", "name").join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi").distinct()
-    names = mine.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("name"))
-    made = calls.select("repo_id", "name", "path").distinct()
-    own = made.select("repo_id", "name", "path", F.lit(1).alias("own"))
-    single = names.where("names = 1").join(made.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("all")), ["repo_id", "name"])
-    single = single.join(own, ["repo_id", "name", "path"], "left").select("repo_id", F.col("path").alias("changed"), (F.col("all") - F.coalesce("own", F.lit(0))).alias("callers"))
-    several = names.where("names > 1").select("repo_id", "path")
-    more = callers(several, defines, calls).groupBy("repo_id", "changed").agg(F.count(F.lit(1)).alias("callers"))
-    return single.where("callers > 0").unionByName(more)
+    def pairs(rows: DataFrame, names: str, *keep: str) -> DataFrame:
+        first = rows.select(*keep, "repo_id", names, F.explode(names).alias("a"))
+        return first.select(*keep, "repo_id", "a", F.explode(names).alias("b")).where("a < b")
+
+    def by_name(some: DataFrame, callers_: DataFrame) -> DataFrame:
+        asked = some.select("kind", "repo_id", F.explode("names").alias("name"))
+        met = asked.join(callers_.select("no", "repo_id", F.explode("called").alias("name")), ["name", "repo_id"])
+        return met.groupBy("kind", "no").agg((F.count(F.lit(1)) - 1).alias("n"))
+
+    pair = ["a", "b", "repo_id"]
+    narrow, wide = kinds.where(F.size("names") <= MOST_NAMES), kinds.where(F.size("names") > MOST_NAMES)
+    wanted = pairs(narrow.withColumn("two", F.size("names") == 2), "names", "kind", "two")
+    made = pairs(files.where(F.size("called") <= MOST_NAMES), "called", "no")
+    hits = staging.staged(made.join(wanted.select(*pair).distinct(), pair, "left_semi"), "called-pairs")
+    twos = wanted.where("two").join(hits.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")), pair).select("kind", "n")
+    more = wanted.where("not two").join(hits, pair).groupBy("kind", "no").agg(F.count(F.lit(1)).alias("p"))
+    more = more.select("kind", F.expr("cast(round((sqrt(1 + 8 * p) - 1) / 2) as bigint)").alias("n"))
+    rest = by_name(wide, files).unionByName(by_name(narrow, files.where(F.size("called") > MOST_NAMES))).select("kind", "n")
+    return twos.unionByName(more).unionByName(rest).groupBy("kind").agg(F.sum("n").alias("again"))
 
 
 def symbol_importers(changed: DataFrame, defines: DataFrame, imports: DataFrame) -> DataFrame:

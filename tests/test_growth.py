@@ -140,3 +140,22 @@ def test_shared_edges_are_made_distinct_as_numbers(spark):
     assert v.sedge.exceptAll(plain).isEmpty() and plain.exceptAll(v.sedge).isEmpty()
     keys = [line.split("Aggregate [")[1].split("]")[0] for line in v.sedge._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
     assert keys and all("src" not in line and "dst" not in line for line in keys)
+
+
+@pytest.mark.parametrize("most", [1, 3, 32])
+def test_callers_of_several_names_need_no_row_for_each_pair_of_files(spark, monkeypatch, most):
+    monkeypatch.setattr(impact, "callers", None)  # makes them
+    monkeypatch.setattr(impact, "MOST_NAMES", most)
+    rnd = random.Random(most)
+    files = [(r, f"f{i}") for r in "pq" for i in range(60)]
+    pick = lambda n, names: [(*rnd.choice(files), f"s{min(rnd.randrange(names), rnd.randrange(names))}") for _ in range(n)]
+    defines = pick(150, 12) + [("p", "f1", None), ("p", None, "s1"), (None, "f1", "s1"), ("p", "gone", "s1"), *[("q", "f2", f"s{i}") for i in range(40)]]
+    calls = pick(250, 12) + [("p", "f3", None), ("p", None, "s1"), (None, "f3", "s1"), *[("q", f, f"s{i}") for f in ("f2", "f4") for i in range(40)]]
+    table = lambda rows: spark.createDataFrame(rows, "repo_id string, path string, name string")
+    want = {}
+    for r, x in files:
+        own = {n for repo, p, n in defines if (repo, p) == (r, x) and n}
+        if found := {p for repo, p, n in calls if repo == r and n in own and p not in (None, x)}:
+            want[r, x] = len(found)
+    got = impact.caller_counts(spark.createDataFrame(files, "repo_id string, path string"), table(defines), table(calls)).collect()
+    assert {(r.repo_id, r.changed): r.callers for r in got} == want and len(got) == len(want)
