@@ -62,6 +62,16 @@ def test_the_table_function_equals_the_operator(spark):
         spark.sql("SELECT * FROM file_summaries(TABLE(SELECT repo_id, path, type, kind, start_line FROM {nodes}))", nodes=table).collect()
 
 
+def test_summaries_of_lists_of_names_equal_those_of_nodes(spark):
+    """A file's imports and definitions may come as lists, so Python is given few rows."""
+    sqlnames.register(spark)
+    rows = [(repo, f"f{i}", kind, "function", f"n{j:03}", 1) for repo in "pq" for i, n in enumerate((0, 1, 3, 19, 20, 21, 700)) for kind in ("import", "definition") for j in range(n)]
+    nodes = spark.createDataFrame(rows, "repo_id string, path string, type string, kind string, name string, start_line int")
+    lists = nodes.groupBy("repo_id", "path", "type", "kind", "start_line").agg(F.array_sort(F.collect_list("name")).alias("name"))
+    shown = lambda x: {tuple(r) for r in spark.sql("SELECT * FROM file_summaries(TABLE(SELECT * FROM {x}))", x=x).collect()}
+    assert shown(lists) == shown(nodes) and len(shown(lists)) == 12
+
+
 def test_joins_of_bucketed_tables_move_nothing(spark):
     """Files, blocks and edges in buckets by repository and path: deleting with closure has no exchange on them."""
     key = ["repo_id", "path"]
